@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows per Arrow batch handled at once by the kernels; bounds a worker's memory.
 SLICE_BYTES = 2 << 20
+#: Ids broadcast at most (8 bytes each); beyond that Spark joins by shuffling.
+BROADCAST_ROWS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +46,16 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, marked for broadcast only where it is counted to hold at most ``rows`` rows of ids."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not in the written table ``ids``; columns and their order stay."""
+    return docs.join(small(ids.select("doc_id").distinct()), "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+
+
 def sample_below(df: DataFrame, rows: int, most: int, key: str = "doc_id") -> DataFrame:
     """A repeatable sample of about ``most`` of ``rows`` rows, by a hash of ``key``."""
     if rows <= most:
@@ -70,14 +82,17 @@ def text_plane(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return plane[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES):
-    """Cut a batch into runs of rows of about ``most`` text bytes (one row at least)."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(lengths, dtype=np.int64)
+def slices(batch: pa.RecordBatch, *texts: str, most: int = SLICE_BYTES, rows: int = 1 << 14):
+    """Cut a batch into runs of at most ``rows`` rows and about ``most`` text bytes (one row at least)."""
+    ends = np.zeros(batch.num_rows, np.int64)
+    for text in texts or ("text",):
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0)
+        ends += np.asarray(sizes.to_numpy(zero_copy_only=False), np.int64)
+    ends = np.cumsum(ends)
     start = 0
     while start < len(ends):
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
+        stop = min(max(start + 1, int(np.searchsorted(ends, base + most, "right"))), start + rows)
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import table, without, written
 
 #: Words of a window, and pattern words broadcast at once.
 WIDTH, BLOCK_WORDS = 13, 2_000_000
@@ -183,7 +183,7 @@ def verdicts(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_wo
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that are not contaminated, with all their columns."""
     bad = written(verdicts(docs, benchmark).filter("contaminated").select("doc_id"), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, bad)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
