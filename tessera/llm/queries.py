@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import decontaminate, near_dedup
+from tessera.llm import decontaminate, near_dedup, packing
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op2_decontamination": decontaminate.op2_decontamination,
+        "op3_packing": packing.op3_packing,
         "op7_near_dedup": near_dedup.op7_near_dedup,
     }
 
