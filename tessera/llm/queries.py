@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import decontaminate, near_dedup, packing
+from tessera.llm import decontaminate, near_dedup, packing, toxicity
 
 
 def queries() -> dict[str, Callable]:
@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable]:
         "op2_decontamination": decontaminate.op2_decontamination,
         "op3_packing": packing.op3_packing,
         "op7_near_dedup": near_dedup.op7_near_dedup,
+        "op8_toxicity": toxicity.op8_toxicity,
     }
 
 
