@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import decontaminate, embedding_dedup, near_dedup, packing, toxicity
+from tessera.llm import decontaminate, embedding_dedup, near_dedup, packing, pii, toxicity
 
 
 def queries() -> dict[str, Callable]:
@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable]:
         "op3_packing": packing.op3_packing,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op10_pii": pii.op10_pii,
         "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     }
 
