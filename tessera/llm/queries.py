@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import decontaminate, embedding_dedup, near_dedup, packing, pii, toxicity
+from tessera.llm import decontaminate, embedding_dedup, language_id, near_dedup, packing, pii, toxicity
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_language_id": language_id.op1_language_id,
         "op2_decontamination": decontaminate.op2_decontamination,
         "op3_packing": packing.op3_packing,
         "op7_near_dedup": near_dedup.op7_near_dedup,
