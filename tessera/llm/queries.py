@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import decontaminate, embedding_dedup, language_id, near_dedup, packing, pii, toxicity
+from tessera.llm import decontaminate, embedding_dedup, language_id, near_dedup, packing, pii, sharding, toxicity
 
 
 def queries() -> dict[str, Callable]:
@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable]:
         "op1_language_id": language_id.op1_language_id,
         "op2_decontamination": decontaminate.op2_decontamination,
         "op3_packing": packing.op3_packing,
+        "op4_sharding": sharding.op4_sharding,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_toxicity": toxicity.op8_toxicity,
         "op10_pii": pii.op10_pii,
