@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import decontaminate, embedding_dedup, language_id, near_dedup, packing, pii, sharding, toxicity
+from tessera.llm import decontaminate, embedding_dedup, language_id, near_dedup, packing, pii, secrets, sharding, toxicity
 
 
 def queries() -> dict[str, Callable]:
@@ -13,6 +13,7 @@ def queries() -> dict[str, Callable]:
         "op2_decontamination": decontaminate.op2_decontamination,
         "op3_packing": packing.op3_packing,
         "op4_sharding": sharding.op4_sharding,
+        "op5_secret_scan": secrets.op5_secret_scan,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_toxicity": toxicity.op8_toxicity,
         "op10_pii": pii.op10_pii,
