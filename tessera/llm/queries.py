@@ -4,20 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import decontaminate, embedding_dedup, language_id, near_dedup, packing, pii, secrets, sharding, toxicity
+from tessera.llm import (
+    decontaminate,
+    embedding_dedup,
+    language_id,
+    near_dedup,
+    packing,
+    pii,
+    secrets,
+    sharding,
+    tokens,
+    toxicity,
+)
 
 
 def queries() -> dict[str, Callable]:
+    import corpus_pipeline
+
     return {
         "op1_language_id": language_id.op1_language_id,
         "op2_decontamination": decontaminate.op2_decontamination,
         "op3_packing": packing.op3_packing,
         "op4_sharding": sharding.op4_sharding,
         "op5_secret_scan": secrets.op5_secret_scan,
+        "op6_token_counts": tokens.op6_token_counts,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_toxicity": toxicity.op8_toxicity,
-        "op10_pii": pii.op10_pii,
         "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
+        "op10_pii": pii.op10_pii,
+        "pipeline": corpus_pipeline.run,
     }
 
 
