@@ -20,6 +20,7 @@ import re
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -319,8 +320,6 @@ def masked(text: str | None, model: Field) -> str | None:
 
 def mask(docs: DataFrame) -> DataFrame:
     """Documents with their personal data masked; n_chars follows the text where there is one."""
-    import pandas as pd
-
     shared = docs.sparkSession.sparkContext.broadcast(field().weights)
 
     def run(texts: pd.Series) -> pd.Series:
