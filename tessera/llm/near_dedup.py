@@ -9,10 +9,12 @@ coordinates estimate the Jaccard similarity with concentration bounds. Bands of
 pair with probability 5e-6.
 
 Documents with equal sets are one class and only its representative goes on.
-In each band bucket the members are compared with one member, never all with all.
-Members that are then still in different components are compared with each other,
-after further such rounds where that would be many pairs. Comparisons count the
-whole sets' common shingles.
+In each band bucket the members are compared with ``STARS`` of them, never all with
+all. Members that are then still in different components are paired, if their set
+sizes, the counts of their shingles in ``CELLS`` hash cells (without those that none
+of the others has, the cells' lesser counts bound the intersection, exactly) and four
+bits of each coordinate (a pair at 0.75 fails them with probability 1e-6) allow the
+similarity. Comparisons count the whole sets' common shingles.
 
 Edge cases: null, empty or blank text has an empty set and is linked with nothing;
 fewer than five words make one shingle; rows with equal doc_id are one node.
@@ -43,8 +45,12 @@ from tessera.llm.graph import components
 WIDTH, PERCENT = 5, 75
 T, ROWS = 128, 4
 BANDS = T // ROWS
-#: Star rounds at most before what is left is compared pair by pair.
-STAR_ROUNDS = 3
+#: Members of a bucket that all others are compared with: the least, and others that differ from bucket to bucket.
+STARS = 4
+#: Bits of the 4 * T that may differ: 4 T (1 - J) / 2 at J = 0.75, and five deviations.
+MOST_BITS = 120
+#: Hash cells whose counts bound an intersection.
+CELLS = 64
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, 9, 10, 11, 12, 13]] = False
@@ -92,8 +98,14 @@ def band_hashes(bins: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out.view(np.int64)
 
 
-_SIG = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
-_SIG_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
+def packed_bits(bins: np.ndarray) -> np.ndarray:
+    """Four bits of every coordinate, as 64-bit integers."""
+    four = np.ascontiguousarray(mix(bins) >> np.uint64(60)).astype(np.uint8)
+    return np.ascontiguousarray(four[:, 0::2] << 4 | four[:, 1::2]).view(np.int64)
+
+
+_SIG = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
+_SIG_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
 
 def _signatures(batches):
@@ -109,15 +121,18 @@ def _signatures(batches):
                 at = (np.cumsum(counts) - counts)[filled]
                 for k in (0, 1):
                     sets[k, filled] = np.add.reduceat(mix(ids + np.uint64(k << 60)), at)
-            bands = band_hashes(sketch(ids, owner, n))[filled]
-            ends = np.cumsum(np.where(counts > 0, BANDS, 0))
+            bins = sketch(ids, owner, n)[filled]
+            lists = lambda rows: pa.ListArray.from_arrays(
+                pa.array(np.concatenate(([0], np.cumsum((counts > 0) * rows.shape[1]))), pa.int32()), pa.array(rows.ravel())
+            )
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array(counts, pa.int64()),
                     pa.array(sets[0].view(np.int64)),
                     pa.array(sets[1].view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(bands.ravel())),
+                    lists(band_hashes(bins)),
+                    lists(packed_bits(bins)),
                 ],
                 schema=_SIG_ARROW,
             )
@@ -135,6 +150,14 @@ def _confirmed(batches):
             yield batch.select(["a", "b"]).filter(pa.array((both > 0) & (100 * both >= PERCENT * union)))
 
 
+def _sets(batches):
+    for whole in batches:
+        for batch in slices(whole):
+            keys = shingle_keys(batch.column("text"))
+            ids = batch.column("doc_id").take(pa.array((keys >> _ID_BITS).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array((keys & _ID_MASK).astype(np.int64))], names=["id", "shingle"])
+
+
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -148,23 +171,47 @@ def _in_components(buckets: DataFrame, comp: DataFrame) -> DataFrame:
         "h", "id", F.coalesce("component", "id").alias("c")
     )
     mixed = named.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("h")
-    return written(named.join(mixed, "h"), "mixed")
+    return named.join(mixed, "h")
 
 
-def _pairs_left(mixed: DataFrame) -> tuple[int, int]:
-    """Members of mixed buckets, and pairs of members in different components."""
-    sizes = mixed.groupBy("h", "c").count().groupBy("h").agg(
-        F.sum("count").alias("n"), F.sum(F.col("count").cast("double") * F.col("count")).alias("own")
+def _left_over(mixed: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of bucket members in different components that may still have the similarity."""
+    mixed = written(mixed, "mixed")
+    ids = written(mixed.select(F.col("id").alias("doc_id")).distinct(), "ids")
+    rows = texts.join(small(ids), "doc_id", "left_semi").mapInArrow(_sets, "id long, shingle long")
+    alone = rows.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).filter("id = other")
+    by_cell = lambda rows, c: rows.groupBy("id").agg(
+        *[F.count_if(F.pmod("shingle", F.lit(CELLS)) == k).alias(f"{c}{k}") for k in range(CELLS)]
+    )
+    alone = by_cell(alone, "u")
+    bits = [F.col("bits")[k].alias(f"x{k}") for k in range(T // 16)]
+    sets = reps.join(small(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), *bits)
+    shared = [(F.col(f"m{k}") - F.coalesce(f"u{k}", F.lit(0))).cast("int").alias(f"c{k}") for k in range(CELLS)]
+    sets = sets.join(by_cell(rows, "m").join(alone, "id", "left").select("id", *shared), "id")
+    # two sets of a link share PERCENT / (100 + PERCENT) of their sizes' sum or more, and the other has PERCENT % of n at least
+    most = sum((F.col(f"c{k}") for k in range(CELLS)), F.lit(0))
+    known = written(mixed.join(sets.filter((100 + PERCENT) * most * 100 >= PERCENT * (100 + PERCENT) * F.col("n")), "id"), "open")
+    one = known.select("h", *[F.col(c).alias(f"a_{c}") for c in known.columns if c != "h"])
+    two = known.select("h", *[F.col(c).alias(f"b_{c}") for c in known.columns if c != "h"])
+    differ = sum((F.bit_count(F.col(f"a_x{k}").bitwiseXOR(F.col(f"b_x{k}"))) for k in range(T // 16)), F.lit(0))
+    common = sum((F.least(f"a_c{k}", f"b_c{k}") for k in range(CELLS)), F.lit(0))
+    fits = (
+        (F.col("a_id") < F.col("b_id"))
+        & (F.col("a_c") != F.col("b_c"))
+        & (100 * F.least("a_n", "b_n") >= PERCENT * F.greatest("a_n", "b_n"))
+        & (differ <= MOST_BITS)
+        & ((100 + PERCENT) * common >= PERCENT * (F.col("a_n") + F.col("b_n")))
     )
-    n, pairs = sizes.agg(F.sum("n"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2)).first()
-    return int(n or 0), int(pairs or 0)
+    both = one.withColumnRenamed("h", "h_a").join(two.withColumnRenamed("h", "h_b"), (F.col("h_a") == F.col("h_b")) & fits)
+    return both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 
 
 def links_of(docs: DataFrame, sig: DataFrame, classes: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) between representatives that settle all components."""
+    """Confirmed links (a, b) between representatives that settle all components, as components so far."""
     reps = sig.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     banded = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("h"))
-    crowded = banded.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("h", "lo")
+    first = [F.min(F.struct((F.xxhash64("id", "h", F.lit(k)) if k else F.col("id")).alias("o"), "id"))["id"].alias(f"s{k}") for k in range(STARS)]
+    crowded = banded.groupBy("h").agg(F.count("*").alias("n"), *first).filter("n > 1").drop("n")
     buckets = written(banded.join(crowded, "h"), "buckets")
     need = written(buckets.select(F.col("id").alias("doc_id")).distinct(), "need")
     texts = written(
@@ -173,30 +220,12 @@ def links_of(docs: DataFrame, sig: DataFrame, classes: DataFrame) -> DataFrame:
         ),
         "texts",
     )
-    pairs = written(buckets.filter("id > lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    seen, links = pairs, _verify(pairs, texts)
-    for r in range(STAR_ROUNDS + 1):
-        mixed = _in_components(buckets, components(links))
-        members, left = _pairs_left(mixed)
-        if not left:
-            break
-        last = r == STAR_ROUNDS or left <= 4 * members
-        if last:
-            one = mixed.select("h", F.col("id").alias("a"), F.col("c").alias("ca"))
-            two = mixed.select("h", F.col("id").alias("b"), F.col("c").alias("cb"))
-            pairs = one.join(two, "h").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
-        else:
-            order = F.xxhash64("id", F.lit(r))
-            star = mixed.groupBy("h").agg(F.min(F.struct(order.alias("o"), "id", "c")).alias("s"))
-            star = star.select("h", F.col("s.id").alias("s"), F.col("s.c").alias("cs"))
-            pairs = mixed.join(star, "h").filter(F.col("c") != F.col("cs"))
-            pairs = pairs.select(F.least("id", "s").alias("a"), F.greatest("id", "s").alias("b"))
-        pairs = written(pairs.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(_verify(pairs, texts))
-        if last:
-            break
-        seen = seen.unionByName(pairs)
-    return links
+    stars = buckets.select("id", F.explode(F.array_distinct(F.array(*[f"s{k}" for k in range(STARS)]))).alias("s"))
+    pairs = stars.filter("id <> s").select(F.least("id", "s").alias("a"), F.greatest("id", "s").alias("b")).distinct()
+    links = _verify(pairs, texts)
+    comp = components(links)
+    late = _verify(_left_over(_in_components(buckets.select("h", "id"), comp), reps, texts), texts)
+    return comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(late)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
