@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
+from functools import cache
+
+#: Plan modules in order; each registers its queries with ``tessera.plans.registry``.
+MODULES = ("retrieval", "filters", "analytics", "temporal", "memory", "text", "quality", "governance", "evaluation", "graph")
+
+
+@cache
+def _gathered() -> tuple[dict, dict]:
+    from tessera.plans import registry
+
+    for name in MODULES:
+        importlib.import_module(f"tessera.plans.{name}")
+    return registry.QUERIES, registry.ORACLES
 
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return dict(_gathered()[0])
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_gathered()[1])
