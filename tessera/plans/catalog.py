@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import importlib
+import pkgutil
 from collections.abc import Callable
 from functools import cache
 
-#: Plan modules in order; each registers its queries with ``tessera.plans.registry``.
-MODULES = ("retrieval", "filters", "analytics", "temporal", "memory", "text", "quality", "governance", "evaluation", "graph")
-
-
 @cache
 def _gathered() -> tuple[dict, dict]:
+    """Every module beside this one registers its queries with ``registry`` when it is imported."""
+    from tessera import plans
     from tessera.plans import registry
 
-    for name in MODULES:
-        importlib.import_module(f"tessera.plans.{name}")
+    for module in sorted(m.name for m in pkgutil.iter_modules(plans.__path__)):
+        importlib.import_module(f"tessera.plans.{module}")
     return registry.QUERIES, registry.ORACLES
 
 
