@@ -11,8 +11,8 @@ def age_days(ts: Column, now: Column) -> Column:
 
 
 def half_life(days: Column, half: float) -> Column:
-    """2^(-days / half), within 0 and 1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.pow(F.lit(2.0), -days / half)))
+    """2^(-days / half), within 0 and 1; null for a missing age."""
+    return F.when(days.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.pow(F.lit(2.0), -days / half))))
 
 
 def frequency(n: Column) -> Column:
