@@ -1,0 +1,424 @@
+"""The operators against brute force, exact round trips and held-out accuracy, and their edge cases."""
+
+import hashlib
+import random
+import re
+import struct
+import zlib
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, embedding_dedup, graph, language_id, near_dedup, packing, pii, secrets, sharding, tokens, toxicity
+from tessera.llm.common import held_out, table
+
+
+def rows_of(frame):
+    return {r.doc_id: r for r in frame.collect()}
+
+
+def documents(spark, sf):
+    return [(r.doc_id, r.text) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
+
+
+# ---- 1 language ---------------------------------------------------------------------
+
+
+def test_language_on_held_out_rows(spark, sf):
+    docs = table(spark, sf, "documents")
+    got, truth = rows_of(language_id.identified(docs)), {r.doc_id: r.lang for r in docs.collect()}
+    own = [r for r in got.values() if r.held_out]
+    assert len(got) == len(truth) and own
+    assert sum(r.lang_pred == truth[r.doc_id] for r in own) >= 0.95 * len(own)
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_language_of_odd_texts(odd_docs, no_docs):
+    got = rows_of(language_id.identified(odd_docs))
+    assert got[1].lang_pred == got[2].lang_pred == got[3].lang_pred == "und"
+    assert got[9].lang_pred in ("de", "en")
+    assert language_id.identified(no_docs).count() == 0
+
+
+def test_viterbi_finds_the_switch(spark):
+    r = random.Random(1)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(6))
+    say = lambda letters, n: " ".join(word(letters) for _ in range(n))
+    rows = [(k, say("abcde", 60) if k % 2 else say("vwxyz", 60), "ab" if k % 2 else "vz") for k in range(60)]
+    rows.append((1001, say("abcde", 30) + " " + say("vwxyz", 50), None))
+    got = rows_of(language_id.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert got[1001].lang_pred == "vz" and got[1001].spans == "0:30:ab,30:80:vz"
+
+
+def test_shortcut_keeps_the_best_path():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for _ in range(200):
+        n = int(r.integers(1, 40))
+        scores = r.normal(0, 6, (n, 3))
+        first = np.array([0, n])
+        best = scores.sum(axis=0).argmax()
+        if language_id._steady(scores, first, np.array([best]))[0]:
+            path = language_id.viterbi(scores, first, np.array([0]))[0]
+            value = lambda p: sum(scores[k, p[k]] for k in range(n)) - language_id.PENALTY * sum(a != b for a, b in zip(p, p[1:]))
+            assert value([best] * n) >= value(list(path)) - 1e-9
+
+
+# ---- 2 decontamination ----------------------------------------------------------------
+
+
+def verdict(r):
+    return (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)
+
+
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 500])
+def test_decontamination_like_brute_force(spark, sf, block):
+    docs = documents(spark, sf)
+    items = [tuple(r) for r in table(spark, sf, "benchmark").collect()] + [(901, "the"), (902, "of the"), (903, ""), (904, None), (905, "the")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = rows_of(decontaminate.verdicts(table(spark, sf, "documents"), bench, block_words=block))
+    want = decontaminate.brute_force(docs, items)
+    assert {i: verdict(r) for i, r in got.items()} == want
+
+
+def test_decontamination_of_odd_texts(spark, odd_docs, no_docs):
+    bench = spark.createDataFrame([(1, "WORD3 word4, word5"), (1, "WORD3 word4, word5")], "item_id long, text string")
+    got = rows_of(decontaminate.verdicts(odd_docs, bench))
+    assert verdict(got[1])[:3] == (0, 0, 0) and verdict(got[4])[1:3] == (3, 1) and got[4].contaminated
+    assert decontaminate.verdicts(no_docs, bench).count() == 0
+    assert decontaminate.verdicts(odd_docs, bench.filter("false")).filter("contaminated").count() == 0
+    kept = decontaminate.remove_contaminated(odd_docs, bench)
+    assert kept.columns == odd_docs.columns
+
+
+# ---- 3 packing -----------------------------------------------------------------------
+
+
+def check_packing(spark, docs, got):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    by, bins = defaultdict(list), defaultdict(list)
+    for r in got:
+        by[r.doc_id].append(r)
+        bins[r.sequence_id].append((r.offset, r.length))
+    for doc_id, text in docs:
+        ids, at = coder.encode(text or "", add_special_tokens=False).ids + [2], 0
+        for k, p in enumerate(sorted(by[doc_id], key=lambda p: p.piece)):
+            assert (p.piece, p.start) == (k, at) and (p.length == 1024 or k == 0)
+            assert p.ids_crc32 == zlib.crc32(struct.pack(f"<{p.length}I", *ids[at : at + p.length]))
+            at += p.length
+        assert at == len(ids)
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    return len(bins)
+
+
+def test_packing_round_trip(spark, sf):
+    docs = documents(spark, sf)
+    got = packing.packed(table(spark, sf, "documents")).collect()
+    assert check_packing(spark, docs, got) <= 1.05 * sum(r.length for r in got) / 1024 + 1
+
+
+def test_packing_of_odd_texts(spark, odd_docs, no_docs):
+    got = packing.packed(odd_docs).collect()
+    assert {r.length for r in got if r.doc_id in (1, 2)} == {1}
+    assert sum(r.doc_id == 5 for r in got) == 2
+    assert packing.packed(no_docs).count() == 0
+
+
+def test_fullest_bin_is_optimal():
+    from itertools import combinations
+
+    r = random.Random(4)
+    for _ in range(200):
+        items = sorted(r.randint(1, 30) for _ in range(r.randint(1, 9)))
+        room = r.randint(1, 60)
+        lengths = sorted(set(items))
+        chosen = packing.fullest(lengths, [items.count(n) for n in lengths], room)
+        best = max(sum(c) for k in range(len(items) + 1) for c in combinations(items, k) if sum(c) <= room)
+        assert sum(chosen) == best and all(chosen.count(n) <= items.count(n) for n in chosen)
+
+
+# ---- 4 sharding ------------------------------------------------------------------------
+
+
+def test_sharding_laws(spark, sf):
+    docs = dict(documents(spark, sf))
+    got = sharding.sharded(table(spark, sf, "documents"), shards=8).collect()
+    load, slots = defaultdict(int), defaultdict(list)
+    for r in got:
+        raw = (docs[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "bytes", None)
+        load[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(got) == len(docs) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(load.values()) <= 1.01 * sum(load.values()) / 8
+
+
+def test_a_hot_group_is_spread(spark):
+    rows = [(k, "same text of all" if k % 3 else f"text {k}") for k in range(3000)]
+    got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"), shards=10).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    assert len(got) == 10 and max(r.b for r in got) <= 1.02 * min(r.b for r in got)
+
+
+def test_sharding_of_odd_texts(odd_docs, no_docs):
+    got = sharding.sharded(odd_docs).collect()
+    assert len(got) == 11 and {r.text_crc32 for r in got if r.doc_id in (1, 2)} == {0}
+    assert sharding.sharded(no_docs).count() == 0
+
+
+# ---- 5 secrets -------------------------------------------------------------------------
+
+
+def plain_secrets(text):
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m.group(2)) >= 12:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 16]
+    return sorted(out)
+
+
+def test_base_secrets_like_plain_patterns(spark):
+    r = random.Random(7)
+    parts = ["token", "Secret", "api_key", "APIKEY", "=", ":", " ", '"', "'", "AKIA", "ABCDEFGHIJ0123456789", "deadbeef01234567", "é", "\n", "abcdefghijkl", "pass", "word", ".", "漢"]
+    rows = [(k, "".join(r.choice(parts) for _ in range(r.randint(0, 25)))) for k in range(600)] + [(900, None), (901, "")]
+    got = rows_of(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    for doc_id, text in rows:
+        want = plain_secrets(text or "")
+        digest = hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want).encode()).hexdigest()
+        kinds = [k for _, k, _ in want]
+        assert (got[doc_id].n_assign, got[doc_id].n_access, got[doc_id].n_hex, got[doc_id].base_sha256) == (*(kinds.count(k) for k in range(3)), digest)
+
+
+def test_random_tokens_are_found_and_words_are_not(spark):
+    r = random.Random(9)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(r.choice(alphabet) for _ in range(40)) for _ in range(60)]
+    rows = [(k, f"see {key} here") for k, key in enumerate(keys)]
+    rows += [(100 + k, "internationalisation_of_the_settings_page_" + "and_more_" * (k % 5)) for k in range(60)] + [(200, "a" * 60), (201, "0123456789" * 5)]
+    got = rows_of(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sum("random:4:44" in got[k].spans for k in range(60)) >= 50
+    assert not any("random" in got[k].spans for k in range(100, 202) if k in got)
+
+
+def test_secrets_of_odd_texts(odd_docs, no_docs):
+    assert secrets.scan(odd_docs).count() >= 10
+    assert secrets.scan(no_docs).count() == 0
+
+
+# ---- 6 token counts ---------------------------------------------------------------------
+
+
+def test_edited_trees_count_like_a_full_encoding(spark):
+    encode, r = tokens.byte_bpe(), random.Random(5)
+    parts = ["the", "a", "  ", "\n", "foo", "'s", "12", "é", "...", " ", "\t", "!!", "x" * 20]
+    for _ in range(1500):
+        text = "".join(r.choice(parts) + r.choice(["", " ", " "]) for _ in range(r.randint(0, 30)))
+        chars, counts = tokens.trees_of(text, encode, r.choice([2, 5, 10, 20]))
+        assert counts.total == len(encode(text))
+        cuts = sorted(r.randint(0, len(text)) for _ in range(2 * r.randint(0, 3)))
+        edits = [(cuts[k], cuts[k + 1], r.choice(["", " ", "new", "  ", "\n", "z z z"])) for k in range(0, len(cuts), 2)]
+        tokens.edit(text, chars, counts, edits, encode)
+        new = tokens.edited(text, edits)
+        assert (counts.total, chars.total) == (len(encode(new)), len(new))
+
+
+def test_stored_trees_and_edits(spark, odd_docs, no_docs):
+    docs = odd_docs.dropDuplicates(["doc_id"]).filter("doc_id IS NOT NULL").select("doc_id", "text")
+    edits = spark.createDataFrame([(4, 0, 5, "WORD"), (4, 20, 20, "new "), (7, 1000, 1010, "")], "doc_id long, start int, end int, replacement string")
+    got = rows_of(tokens.apply_edits(docs, tokens.count_trees(docs), edits))
+    texts, encode = {r.doc_id: r.text for r in docs.collect()}, tokens.byte_bpe()
+    assert got[4].n_tokens == len(encode(tokens.edited(texts[4], [(0, 5, "WORD"), (20, 20, "new ")])))
+    assert got[7].n_tokens == len(encode(tokens.edited(texts[7], [(1000, 1010, "")]))) and got[7].n_read < 3000
+    assert set(got) == {4, 7}
+    counts = rows_of(tokens.counted(odd_docs))
+    assert counts[1].n_tokens == counts[2].n_tokens == 0 and tokens.counted(no_docs).count() == 0
+
+
+def test_query_counts_the_cleaned_text(spark, sf):
+    texts, encode = dict(documents(spark, sf)), tokens.byte_bpe()
+    for doc_id, r in rows_of(tokens.counted(table(spark, sf, "documents"))).items():
+        assert (r.n_tokens, r.n_tokens_edited) == (len(encode(texts[doc_id])), len(encode(tokens.MARKS.sub("", texts[doc_id]))))
+
+
+# ---- 7 near duplicates --------------------------------------------------------------------
+
+
+def test_near_duplicates_like_brute_force(spark, sf):
+    docs = documents(spark, sf)
+    got = rows_of(near_dedup.near_duplicates(table(spark, sf, "documents")))
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == near_dedup.brute_force(docs)
+
+
+def test_a_group_of_near_copies(spark):
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(220):
+        own = list(base)
+        for _ in range(r.randint(0, 6)):
+            own[r.randrange(len(own))] = f"x{r.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    got = rows_of(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: (x.n_shingles, x.component_id, x.kept) for i, x in got.items()} == near_dedup.brute_force(rows)
+
+
+def test_near_duplicates_of_odd_texts(odd_docs, no_docs):
+    frame = near_dedup.near_duplicates(odd_docs)
+    assert frame.count() == 11
+    got = rows_of(frame)
+    assert got[1].n_shingles == got[3].n_shingles == 0 and got[1].kept and got[3].kept
+    assert got[5].component_id == got[6].component_id == 4 and got[8].n_shingles == 1
+    assert near_dedup.near_duplicates(no_docs).count() == 0
+    assert near_dedup.keep_one(odd_docs).columns == odd_docs.columns
+
+
+def test_every_coordinate_is_filled():
+    import numpy as np
+
+    owner = np.repeat(np.arange(4), [1, 3, 50, 2000])
+    bins = near_dedup.sketch(np.arange(len(owner), dtype=np.uint64) * np.uint64(977), owner, 4)
+    assert (bins != near_dedup._NONE).all()
+
+
+def test_components_of_a_path(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(200, 201), (5, 5)], "a long, b long")
+    got = {r.id: r.component for r in graph.components(edges).collect()}
+    assert got == {**{k: 0 for k in range(61)}, 200: 200, 201: 200}
+
+
+# ---- 8 toxicity ---------------------------------------------------------------------------
+
+
+def toxic_tables(spark, n=900):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(r.randint(3, 8)))
+    bad = ["zurgol", "vextin", "qorbla"]
+    rows, labels = [], []
+    for k in range(n):
+        own, y = [word() for _ in range(40)], int(k % 8 == 0)
+        for _ in range(r.randint(1, 3) * y):
+            own[r.randrange(40)] = r.choice(bad)
+        rows.append((k, " ".join(own)))
+        labels.append((k, 1, y))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = toxic_tables(spark)
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    own = [r for r in toxicity.scored(docs, labels).collect() if r.held_out]
+    assert sum(r.predicted == truth[r.doc_id] for r in own) >= 0.97 * len(own)
+    assert toxicity.remove_toxic(docs, labels).count() == pytest.approx(900 * 7 / 8, abs=15)
+
+
+def test_held_out_labels_are_never_read(spark):
+    docs, labels = toxic_tables(spark, 400)
+    turned = labels.withColumn("toxic", F.when(held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert {r.doc_id: r.score for r in toxicity.scored(docs, labels).collect()} == {r.doc_id: r.score for r in toxicity.scored(docs, turned).collect()}
+
+
+def test_toxicity_of_odd_texts(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(4, 1, 0), (4, 1, 0), (7, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.scored(odd_docs, labels).collect()
+    assert len(got) == 11 and all(r.score == 0 and r.predicted == 0 for r in got)
+    assert toxicity.scored(no_docs, labels).count() == 0
+
+
+# ---- 9 vectors ----------------------------------------------------------------------------
+
+
+def test_vectors_like_brute_force(spark):
+    import numpy as np
+
+    r, rows = np.random.default_rng(0), []
+    unit = lambda: (lambda v: v / np.linalg.norm(v))(r.standard_normal(64))
+    for k in range(60):
+        v = unit()
+        rows += [(len(rows) + j, (v + e * unit()).tolist(), k % 3) for j, e in enumerate((0, 0, 0.2, 0.3, 0.36, 0.38))]
+    n = len(rows)
+    rows += [(n, None, 1), (n + 1, [0.0] * 64, 1), (n + 2, [float("nan")] * 64, 2), (n + 3, [1.0] * 64, None), (n + 4, [1.0, None] + [2.0] * 62, 1), (n + 5, [], 1), (n + 6, [1.0] * 8, 1), (n + 7, [1.0] * 8, 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    want = embedding_dedup.brute_force([tuple(x) for x in frame.collect()])
+    got = {x.vec_id: x for x in embedding_dedup.near_vectors(frame).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].n_links <= want[i][0] for i in got)
+    assert sum(x.n_links for x in got.values()) >= 0.95 * sum(w[0] for w in want.values())
+    assert got[n + 6].n_links == 1 and got[n + 7].component_id == n + 6 and not got[n + 7].kept
+    assert embedding_dedup.near_vectors(frame.filter("false")).count() == 0
+
+
+def test_recall_at_the_threshold():
+    """Codes of the production layout meet nine in ten pairs that lie just over the threshold."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    x = embedding_dedup.unit(r.standard_normal((3000, 64)))
+    s, tables = embedding_dedup.layout(100_000)
+    centre, rotation = embedding_dedup.learn(x, -(-s * tables // 64))
+    side = r.standard_normal(x.shape)
+    side = embedding_dedup.unit(side - (side * x).sum(axis=1, keepdims=True) * x)
+    y = 0.931 * x + np.sqrt(1 - 0.931**2) * side
+    a, b = (embedding_dedup.keys_of(v, centre, rotation, s, tables) for v in (x, y))
+    assert (a == b).any(axis=1).mean() >= 0.9
+
+
+# ---- 10 personal data -----------------------------------------------------------------------
+
+
+def plain_pii(text):
+    out = []
+    for k, p in enumerate([r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]):
+        for m in re.finditer(p, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if k == 1 and any(int(x) > 255 for x in m.group().split(".")):
+                continue
+            if k == 2 and not (14 <= len(digits) <= 19 and pii.luhn(digits)):
+                continue
+            if k == 3 and not 10 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_base_spans_like_plain_patterns():
+    r = random.Random(3)
+    for _ in range(4000):
+        text = "".join(r.choice("a1@.+- 2590()_é") for _ in range(r.randint(0, 60)))
+        assert pii.base_spans(text) == plain_pii(text)
+
+
+def test_personal_data_rows(spark, sf, odd_docs, no_docs):
+    texts = dict(documents(spark, sf))
+    for doc_id, r in rows_of(pii.scan(table(spark, sf, "documents"))).items():
+        want = plain_pii(texts[doc_id])
+        assert r.base_sha256 == hashlib.sha256(pii.joined(want).encode()).hexdigest()
+        assert set(filter(None, pii.joined(want).split(","))) <= set(r.spans.split(","))
+    assert pii.scan(odd_docs).count() == 11 and pii.scan(no_docs).count() == 0
+    assert pii.mask(odd_docs).columns == odd_docs.columns
+
+
+def test_the_field_reads_unseen_examples():
+    model, found, total, wrong = pii.field(), 0, 0, 0
+    for text, truth in pii.examples(200, seed=99):
+        got = {s for part in pii.regions(text) for s in model.best(text, part)}
+        found, total, wrong = found + len(got & truth), total + len(truth), wrong + len(got - truth)
+    assert found >= 0.95 * total and wrong <= 0.05 * total
+
+
+def test_masking_leaves_nothing_to_find():
+    model = pii.field()
+    text = "mail a.b@c.org or +1 (017) 555-7713, 4111111111111111 at 10.0.0.1"
+    out = pii.masked(text, model)
+    assert out == "mail [EMAIL] or [PHONE], [CARD] at [IP]" and not pii.base_spans(out)
+    assert pii.masked(None, model) is None and pii.masked("", model) == ""
