@@ -151,3 +151,55 @@ def test_entity_reasons(spark, name, kind):
     want = {"A thing": None, "x": "too_short", "May 2": "short_for_type", "seven": "noise_type", "the": "stop_name"}[name]
     rows = spark.createDataFrame([(name, kind)], "n string, k string")
     assert one(rows.select(quality.entity_reason(F.col("n"), F.col("k"), ("the",)).alias("r"))).r == want
+
+
+def test_chain_is_checked_and_serialised(spark):
+    from tessera.plans.chain import Chain
+
+    chain = Chain().step("a", "filter", condition="id > 3").step("b", "top", by="id", k=2)
+    assert [r.id for r in Chain.from_json(chain.to_json()).apply(spark.range(10)).collect()] == [9, 8]
+    with pytest.raises(ValueError):
+        chain.step("a", "count", keys=[])
+    with pytest.raises(ValueError):
+        chain.step("c", "drop_table")
+    with pytest.raises(ValueError):
+        Chain().apply(spark.range(1))
+
+
+def test_section_chunks_like_a_loop(spark):
+    from tessera.operators.entities import section_chunks
+
+    sizes = [300, 1500, 900, 800, 200, 1800, 10]
+    rows = [("d", k, f"h{k}", f"t{k}", n) for k, n in enumerate(sizes)]
+    got = section_chunks(spark.createDataFrame(rows, "doc_id string, seq int, heading string, text string, tokens long")).orderBy("chunk_no").collect()
+    assert [r.headings for r in got] == [["h0"], ["h1"], ["h2", "h3"], ["h4"], ["h5"], ["h6"]]
+
+
+def test_entities_are_resolved_by_edits_and_containment(spark):
+    from tessera.operators.entities import same_entities
+
+    rows = [(1, "Kubernetes", "T"), (2, "kubernetes ", "T"), (3, "Kubernetis", "T"), (4, "Kubernetes Cluster", "T"), (5, "Docker", "T"), (6, "Kubernetes", "X")]
+    got = {r.id: r.canonical for r in same_entities(spark.createDataFrame(rows, "id int, name string, kind string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6}
+
+
+def test_event_log_and_line_check(spark, tmp_path):
+    from tessera.sources import readers
+
+    path = tmp_path / "log.jsonl"
+    path.write_text('{"timestamp":"2024-01-01T00:00:00Z","stage":"a","latency_ms":1.5}\nnot json\n{"timestamp":"2024-01-03T00:00:00Z","stage":"b"}\n')
+    assert readers.read_events(spark, str(path)).filter("stage is not null").count() == 2
+    assert readers.read_events(spark, str(path), stop="2024-01-02").count() == 1
+    got = one(readers.verify_lines(spark, str(path), ("timestamp", "latency_ms")))
+    assert (got.valid, got.invalid) == (1, 2)
+
+
+def test_benchmark_sets_are_normalised(spark):
+    from tessera.sources import readers
+
+    marco = spark.sql("SELECT 1 AS id, 'q' AS query, array('a') AS answers, array(named_struct('text', 'x', 'is_selected', 0), named_struct('text', 'y', 'is_selected', 1)) AS passages UNION ALL SELECT 2, 'q', array(), array(named_struct('text', 'x', 'is_selected', 0))".replace("array()", "cast(array() as array<string>)"))
+    assert [(r.question_id, r.contexts) for r in readers.marco(marco.filter("id = 1")).collect()] == [("marco_1", ["y"])]
+    hotpot = spark.sql("SELECT 1 AS id, 'q' AS question, 'a' AS answer, array(named_struct('title', 't', 'sentences', array('s0', 's1'))) AS paragraphs, array(named_struct('title', 't', 'sentence', 1)) AS facts")
+    assert readers.hotpot(hotpot).first().contexts == ["s1"]
+    fever = spark.createDataFrame([(1, "c", "SUPPORTS"), (2, "", "X")], "id int, claim string, label string")
+    assert readers.fever(fever).count() == 1
