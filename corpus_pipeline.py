@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, near_dedup, packing, pii, toxicity
-from tessera.llm.common import table, written
+from tessera.llm.common import lean, table, written
 
 ORACLE_SQL = None
 
@@ -44,12 +44,22 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs)
 
 
+def _lean(stage):
+    """``stage`` with small Arrow batches, so that its workers' memory stays bounded."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        lean(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_dedup", drop_near_copies),
-    ("decontamination", drop_contaminated),
-    ("pii", mask_personal_data),
-    ("packing", pack),
+    ("toxicity", _lean(drop_toxic)),
+    ("near_dedup", _lean(drop_near_copies)),
+    ("decontamination", _lean(drop_contaminated)),
+    ("pii", _lean(mask_personal_data)),
+    ("packing", _lean(pack)),
 ]
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows per Arrow batch handled at once by the kernels; bounds a worker's memory.
 SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 #: Ids broadcast at most (8 bytes each); beyond that Spark joins by shuffling.
 BROADCAST_ROWS = 2_000_000
 
@@ -41,6 +46,24 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Arrow batches of few rows: whole texts are long, and a batch is held by Spark and by its worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def freeing(run):
+    """``run``, and afterwards what the task has used goes back to the system: workers live on."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether crc32(doc_id as text) mod 3 is 1: rows no model may learn from."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, without, written
+from tessera.llm.common import freeing, table, without, written
 
 #: Words of a window, and pattern words broadcast at once.
 WIDTH, BLOCK_WORDS = 13, 2_000_000
@@ -142,7 +142,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words:
                     schema=_ARROW,
                 )
 
-        own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SCHEMA)
+        own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freeing(run), _SCHEMA)
         out = own if out is None else out.unionByName(own)
     if blocks == 1:
         return out

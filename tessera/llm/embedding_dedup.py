@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import sample_below, table, written
+from tessera.llm.common import freeing, sample_below, table, written
 from tessera.llm.graph import components
 
 COSINE, RECALL = 0.93, 0.99
@@ -99,7 +99,7 @@ def _coded(reps: DataFrame, s: int, tables: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * tables, pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "keys"])
 
-    return reps.mapInArrow(code, "id long, n long, label string, d int, embedding array<double>, keys array<long>")
+    return reps.mapInArrow(freeing(code), "id long, n long, label string, d int, embedding array<double>, keys array<long>")
 
 
 def compare(ids, counts, x, keys, block, table_, first, second):

@@ -6,8 +6,8 @@ scripts. A word's score in a language is the sum of its n-grams' log probabiliti
 language that hardly ever uses the word's script is out, where another one does use it.
 
 Viterbi with a switching penalty then labels every word of a text. Where the best
-single language can't lose to any mixture - no run of words gains more in another
-language than one switch costs - it is the best path already, and only the other
+single language can't lose to any mixture - no run of words gains more than half a switch in
+another language - it is the best path already, and only the other
 texts are run through the recursion, all of a batch in step. The prediction is the
 language of most letters on the path; the score is their share, less the chance of
 the language that comes second in the whole text.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, held_out, sample_below, slices, table, text_plane, word_spans
+from tessera.llm.common import ascii_lower, freeing, held_out, sample_below, slices, table, text_plane, word_spans
 
 #: Documents fitted on at most, hash buckets, n-gram lengths.
 MOST_ROWS, BUCKETS, GRAMS = 20_000, 1 << 15, (1, 2, 3, 4)
@@ -143,7 +143,7 @@ def fit(docs: DataFrame) -> Model:
     """Counts by language over a bounded sample of rows with a language that may be learnt from."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
     known = sample_below(known, known.count(), MOST_ROWS).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = known.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = known.mapInArrow(freeing(_counts), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
     number = {x: k for k, x in enumerate(langs)}
     counts, scripts = np.zeros((BUCKETS, len(langs))), np.zeros((len(SCRIPTS), len(langs)))
@@ -188,7 +188,7 @@ def _steady(scores: np.ndarray, first: np.ndarray, best: np.ndarray) -> np.ndarr
         some = counts > 0
         if some.any():
             top[some] = np.maximum.reduceat(gain[1:] - low, first[:-1][some])
-        steady &= top <= PENALTY
+        steady &= top <= PENALTY / 2  # two runs side by side share one switch
     return steady
 
 
@@ -287,7 +287,7 @@ def identified(docs: DataFrame) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, spans string")
+    return rows.mapInArrow(freeing(run), "doc_id long, held_out boolean, lang_pred string, score double, spans string")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import (
+    freeing,
     ascii_lower,
     mix,
     slices,
@@ -162,7 +163,7 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return written(both.mapInArrow(_confirmed, "a long, b long"), "links")
+    return written(both.mapInArrow(freeing(_confirmed), "a long, b long"), "links")
 
 
 def _in_components(buckets: DataFrame, comp: DataFrame) -> DataFrame:
@@ -178,7 +179,7 @@ def _left_over(mixed: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame
     """Pairs of bucket members in different components that may still have the similarity."""
     mixed = written(mixed, "mixed")
     ids = written(mixed.select(F.col("id").alias("doc_id")).distinct(), "ids")
-    rows = texts.join(small(ids), "doc_id", "left_semi").mapInArrow(_sets, "id long, shingle long")
+    rows = texts.join(small(ids), "doc_id", "left_semi").mapInArrow(freeing(_sets), "id long, shingle long")
     alone = rows.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).filter("id = other")
     by_cell = lambda rows, c: rows.groupBy("id").agg(
         *[F.count_if(F.pmod("shingle", F.lit(CELLS)) == k).alias(f"{c}{k}") for k in range(CELLS)]
@@ -230,7 +231,7 @@ def links_of(docs: DataFrame, sig: DataFrame, classes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Each document's set size, component and whether it is the one kept."""
-    sig = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signatures, _SIG), "sketches")
+    sig = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(freeing(_signatures), _SIG), "sketches")
     classes = written(sig.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
     comp = components(links_of(docs, sig, classes))
     named = classes.join(comp, F.col("rep") == F.col("id"), "left").select(

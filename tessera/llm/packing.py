@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, table, written
+from tessera.llm.common import freeing, slices, table, written
 from tessera.llm.tokens import byte_bpe
 
 SIZE, SEPARATOR = 1024, 2
@@ -63,7 +63,7 @@ def pieces(docs: DataFrame, size: int = SIZE, separator: int = SEPARATOR) -> Dat
                     [pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(freeing(run), _PIECES)
 
 
 def fullest(lengths: list[int], counts: list[int], room: int) -> list[int]:
@@ -150,8 +150,7 @@ def packed(docs: DataFrame, size: int = SIZE, separator: int = SEPARATOR, bucket
                 names=[*_ARROW.names, "sequence_id", "offset"],
             )
 
-    return ranked.select(*_ARROW.names, (F.col("first") + F.col("r")).cast("long").alias("rank")).mapInArrow(
-        place, _PIECES + ", sequence_id long, offset long"
+    return ranked.select(*_ARROW.names, (F.col("first") + F.col("r")).cast("long").alias("rank")).mapInArrow(freeing(place), _PIECES + ", sequence_id long, offset long"
     )
 
 

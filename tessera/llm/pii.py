@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import freeing, table
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 16
@@ -300,7 +300,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(freeing(run), _SCHEMA)
 
 
 def masked(text: str | None, model: Field) -> str | None:

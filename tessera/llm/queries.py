@@ -9,6 +9,7 @@ from tessera.llm import (
     embedding_dedup,
     language_id,
     near_dedup,
+    oracles,
     packing,
     pii,
     secrets,
@@ -16,12 +17,21 @@ from tessera.llm import (
     tokens,
     toxicity,
 )
+from tessera.llm.common import lean
+
+
+def _lean(query: Callable) -> Callable:
+    def run(spark, sf_dir):
+        lean(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict[str, Callable]:
     import corpus_pipeline
 
-    return {
+    own = {
         "op1_language_id": language_id.op1_language_id,
         "op2_decontamination": decontaminate.op2_decontamination,
         "op3_packing": packing.op3_packing,
@@ -34,7 +44,8 @@ def queries() -> dict[str, Callable]:
         "op10_pii": pii.op10_pii,
         "pipeline": corpus_pipeline.run,
     }
+    return {name: _lean(query) for name, query in own.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": oracles.DECONTAMINATION.strip(), "op7_near_dedup": oracles.NEAR_DEDUP.strip()}

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, table
+from tessera.llm.common import freeing, slices, table
 
 
 @cache
@@ -161,7 +161,7 @@ def count_trees(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "chars", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, chars array<long>, tokens array<long>")
+    return rows.mapInArrow(freeing(run), "doc_id long, chars array<long>, tokens array<long>")
 
 
 def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame) -> DataFrame:
@@ -188,8 +188,7 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame) -> DataFram
                 [pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "n_tokens", "n_read", "chars", "tokens"]
             )
 
-    return rows.select("doc_id", "text", "edits", "chars", "tokens").mapInArrow(
-        run, "doc_id long, n_tokens long, n_read long, chars array<long>, tokens array<long>"
+    return rows.select("doc_id", "text", "edits", "chars", "tokens").mapInArrow(freeing(run), "doc_id long, n_tokens long, n_read long, chars array<long>, tokens array<long>"
     )
 
 
@@ -216,7 +215,7 @@ def counted(docs: DataFrame, marks: re.Pattern = MARKS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=_COUNTED)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in _COUNTED))
+    return rows.mapInArrow(freeing(run), ", ".join(f"{c} long" for c in _COUNTED))
 
 
 _COUNTED = ["doc_id", "n_chars", "n_tokens", "n_edits", "n_tokens_edited", "n_read"]

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, sample_below, table, written
+from tessera.llm.common import freeing, held_out, sample_below, table, written
 
 MOST_TOXIC, MOST_CLEAN, MOST_UNLABELLED = 8_000, 16_000, 8_000
 LENGTHS = (3, 4, 5, 6)
@@ -129,7 +129,7 @@ def _mine(labelled: DataFrame) -> tuple[list[tuple], tuple[int, int]]:
                     by.update(own if known is None else own & known.value)
             yield pd.DataFrame({"p": pd.Series(list(by), dtype=object), "n": list(by.values())})
 
-        return texts.select("text").mapInPandas(run, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
+        return texts.select("text").mapInPandas(freeing(run), "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
 
     toxic = {r["p"]: r["n"] for r in count(labelled.filter("label = 1"), None).filter("n >= 3").collect()}
     shared = labelled.sparkSession.sparkContext.broadcast(frozenset(toxic))  # of at most MOST_TOXIC documents
@@ -149,7 +149,7 @@ def _mine(labelled: DataFrame) -> tuple[list[tuple], tuple[int, int]]:
         for frame in frames:
             yield pd.DataFrame({"got": [sorted(number[p] for p in patterns_of(t) if p in number) for t in frame["text"]]})
 
-    rows = labelled.filter("label = 1").select("text").mapInPandas(own, "got array<int>").collect()
+    rows = labelled.filter("label = 1").select("text").mapInPandas(freeing(own), "got array<int>").collect()
     return _distinct(found, [r["got"] for r in rows]), (n1, n0)
 
 
@@ -195,7 +195,7 @@ def _firing_counts(docs: DataFrame, model: Model) -> tuple[np.ndarray, int]:
         i, j = np.nonzero(together)
         yield pd.DataFrame({"i": [*i, -1], "j": [*j, -1], "n": [*together[i, j], n]})
 
-    rows = docs.select("text").mapInPandas(count, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInPandas(freeing(count), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
     out, n = np.zeros((m, m)), 0
     for r in rows:
         if r["i"] < 0:
@@ -285,7 +285,7 @@ def _sample(docs: DataFrame, labelled: DataFrame, model: Model) -> tuple[list[li
 
     n = docs.count()
     rest = sample_below(docs.select("doc_id", "text"), n, MOST_UNLABELLED).withColumn("label", F.lit(-1))
-    rows = labelled.select("doc_id", "text", "label").unionByName(rest).select("text", "label").mapInPandas(find, "got array<int>, label int").toPandas()
+    rows = labelled.select("doc_id", "text", "label").unionByName(rest).select("text", "label").mapInPandas(freeing(find), "got array<int>, label int").toPandas()
     return [list(x) for x in rows["got"]], rows["label"].to_numpy()
 
 
