@@ -109,7 +109,16 @@ def rate_limited(rows: DataFrame, key: str, ts: str, id_: str, limit: int, span:
 
 
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drain what is there into an in-memory table: for tests and small jobs."""
-    done = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    done.awaitTermination()
+    """Drain what is there into an in-memory table: for tests and small jobs.
+
+    Batches without data are off: a processing-time timeout would ask for one more of them forever.
+    """
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        done = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        done.awaitTermination()
+    finally:
+        conf.set(key, before)
     return stream.sparkSession.table(name)
