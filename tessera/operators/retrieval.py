@@ -16,12 +16,13 @@ from tessera.session import small
 K1, B, RRF_K = 1.5, 0.75, 60
 
 
-def postings(docs: DataFrame, id_: str = "doc_id", body: str = "text") -> DataFrame:
-    """(id, term, tf, dl) rows; documents without text or terms have none."""
+def postings(docs: DataFrame, id_: str = "doc_id", body: str = "text", wanted: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, dl) rows, of the ``wanted`` terms where given; documents without text or terms have none."""
     terms = docs.select(F.col(id_).alias("id"), text.tokens(F.col(body)).alias("ts")).withColumn("dl", F.size("ts"))
-    return terms.select("id", "dl", F.explode("ts").alias("term")).groupBy("id", "term").agg(
-        F.count("*").alias("tf"), F.first("dl").alias("dl")
-    )
+    each = terms.select("id", "dl", F.explode("ts").alias("term"))
+    if wanted is not None:
+        each = each.join(wanted, "term", "left_semi")  # before the shuffle
+    return each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def corpus_stats(docs: DataFrame, body: str = "text") -> DataFrame:
@@ -38,7 +39,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> D
     """
     asked = queries.select("qid", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
     wanted = small(asked.select("term").distinct())
-    found = postings(docs).join(wanted, "term", "left_semi")
+    found = postings(docs, wanted=wanted)
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     scored = found.join(df, "term").join(asked, "term").crossJoin(F.broadcast(corpus_stats(docs)))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
