@@ -1,7 +1,7 @@
 """Secrets by fixed patterns and a battery of randomness tests, in DataFrame functions only.
 
-The patterns give the base spans. Beside them every run of token characters of at
-least ``LEAST`` (and at most ``MOST``) is a candidate. Its encoding is inferred from
+The patterns give the base spans. Beside them every run of at least ``LEAST`` token
+characters, however long, is a candidate, tested whole. Its encoding is inferred from
 its characters (hexadecimal in one case, base 32, base 64 or its URL form), which fixes
 an alphabet, and three tests ask whether it could be random in it:
 
@@ -34,7 +34,8 @@ from tessera.llm.common import table, written
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]{14,}"  # a run is matched whole, so its least length can stand in the pattern
 HEX = "[0-9a-f]{16,}"
-LEAST, MOST = 20, 256
+#: Least length of a token, and characters of a token that are split at once.
+LEAST, PART = 20, 1024
 TOKEN = "[A-Za-z0-9+/_-]{%d,}" % LEAST
 KINDS = ("assign", "access", "hex", "random")
 
@@ -97,31 +98,42 @@ def battery(token: Column) -> dict[str, Column]:
         encoding = F.when(F.rlike(token, F.lit(_INFER[name])), F.lit(name)).otherwise(encoding)
     alphabet = F.element_at(F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv]), encoding)
     n, k = F.length(token).cast("double"), F.length(alphabet).cast("double")
-    places = F.transform(F.split(token, ""), lambda c: F.position(c, alphabet) - 1)
-    return {"encoding": encoding, "n": n, "k": k, "places": F.filter(places, lambda p: p >= 0)}
+    own = F.when(encoding == "base64url", F.translate(token, "+/", "")).otherwise(token)  # characters of the alphabet
+    return {"encoding": encoding, "n": n, "k": k, "alphabet": alphabet, "own": own}
 
 
 def _tests(tokens: DataFrame) -> DataFrame:
     """Adds p (of the battery) and bits (entropy a character) to rows with ``token``."""
     rows = tokens.select("*", *[c.alias(name) for name, c in battery(F.col("token")).items()])
     total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + f(x))
-    rows = rows.withColumn("counts", F.transform(F.array_distinct("places"), lambda p: F.size(F.filter("places", lambda q: q == p)).cast("double")))
+    own, alphabet = F.col("own"), F.col("alphabet")
+    counts = F.transform(F.split(alphabet, ""), lambda c: (F.length(own) - F.length(F.replace(own, c, F.lit("")))).cast("double"))
+    rows = rows.withColumn("counts", F.filter(counts, lambda c: c > 0))
     n, k = F.col("n"), F.col("k")
     chi = total(F.col("counts"), lambda c: c * c) * k / n - n
     df = k - 1
     z_chi = (F.pow(F.greatest(chi, F.lit(1e-9)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
     bits = total(F.col("counts"), lambda c: -(c / n) * F.log2(c / n))
     rows = rows.withColumn("z_chi", z_chi).withColumn("bits", bits)
-    next_ = F.slice("places", F.lit(2), F.greatest(F.size("places") - 1, F.lit(0)))
-    pairs = F.arrays_zip(F.slice("places", F.lit(1), F.greatest(F.size("places") - 1, F.lit(0))).alias("a"), next_.alias("b"))
-    rows = rows.withColumn("pairs", pairs).withColumn("half", k / 2).withColumn("mean", (k - 1) / 2)
-    turns = total(F.col("pairs"), lambda p: ((p["a"] < F.col("half")) != (p["b"] < F.col("half"))).cast("double"))
-    serial = total(F.col("pairs"), lambda p: (p["a"] - F.col("mean")) * (p["b"] - F.col("mean")))
+    rows = rows.withColumn("half", k / 2).withColumn("mean", (k - 1) / 2)
+    # parts overlap by one character, so that each pair of neighbours is in one part; bytes are cut without a scan
+    last = F.greatest(F.floor((F.length(own) - 2) / PART), F.lit(0)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.call_function("substring", own.cast("binary"), i * PART + 1, F.lit(PART + 1)).cast("string"))
+    zero = F.struct(F.lit(None).cast("int").alias("a"), F.lit(0.0).alias("turns"), F.lit(0.0).alias("serial"))
+
+    def step(acc, b):
+        turn = ((acc["a"] < F.col("half")) != (b < F.col("half"))).cast("double")
+        product = (acc["a"] - F.col("mean")) * (b - F.col("mean"))
+        return F.struct(b.alias("a"), (acc["turns"] + F.coalesce(turn, F.lit(0.0))).alias("turns"), (acc["serial"] + F.coalesce(product, F.lit(0.0))).alias("serial"))
+
+    places = lambda part: F.transform(F.split(part, ""), lambda c: F.position(c, alphabet) - 1)
+    rows = rows.withColumn("sums", F.transform(parts, lambda part: F.aggregate(places(part), zero, step)))
+    turns, serial = total(F.col("sums.turns"), lambda x: x), total(F.col("sums.serial"), lambda x: x)
     variance = (k * k - 1) / 12
     z_runs = (turns - (n - 1) / 2) / (F.sqrt(n - 1) / 2)
     z_serial = serial / (variance * F.sqrt(n - 1))
     least = F.least(two_sided(F.greatest("z_chi", F.lit(0.0))), two_sided(z_runs), two_sided(z_serial))
-    return rows.withColumn("p", F.least(F.lit(1.0), 3 * least)).drop("places", "counts", "pairs", "half", "mean", "z_chi")
+    return rows.withColumn("p", F.least(F.lit(1.0), 3 * least)).drop("alphabet", "own", "counts", "sums", "half", "mean", "z_chi")
 
 
 def _cut_offs(tests: DataFrame) -> DataFrame:
@@ -137,11 +149,7 @@ def _cut_offs(tests: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """Counts and digest of the base spans and all spans of every document."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spans = own.select(
-        "doc_id",
-        base_spans(F.col("text")).alias("base"),
-        F.filter(found(F.col("text"), TOKEN), lambda s: s["end"] - s["start"] <= MOST).alias("tokens"),
-    )
+    spans = own.select("doc_id", base_spans(F.col("text")).alias("base"), found(F.col("text"), TOKEN).alias("tokens"))
     spans = written(spans, "spans")
     tokens = spans.select("doc_id", F.explode("tokens").alias("s")).select(F.col("s.value").alias("token")).distinct()
     length_class = F.floor(F.log2(F.col("n")) * 2).cast("int")
