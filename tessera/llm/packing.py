@@ -15,10 +15,11 @@ a row number inside a bucket, so that no length, however frequent, meets in one
 
 Token ids are those of the ``byte_bpe_50k`` vocabulary; they are computed by the
 rank form of the same vocabulary, which gives the same ids (tests compare them with
-the ``tokenizers`` form) in a third of the time.
+the ``tokenizers`` form) in a third of the time. Added tokens of its file
+(``<|endoftext|>``) that stand in a text are their own ids there and here.
 
 Edge cases: null text is an empty one and gives the separator alone; repeated rows
-are packed each by itself; special-token strings in a text are ordinary text.
+are packed each by itself.
 """
 
 from __future__ import annotations

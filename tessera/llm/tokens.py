@@ -8,6 +8,7 @@ documents without edits are not read again.
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Callable
 from functools import cache
@@ -21,17 +22,21 @@ from tessera.llm.common import freeing, slices, table
 
 @cache
 def byte_bpe(path: str | None = None) -> Callable[[str], list[int]]:
-    """Encode a text with the byte-level vocabulary; special-token strings are ordinary text.
+    """Encode a text with the byte-level vocabulary; its added tokens are found in the text, as by ``tokenizers``.
 
-    ``path`` names a file of ranks; the public ``byte_bpe_50k`` one where not given.
+    ``path`` names a file of ranks, which has no added tokens; the public ``byte_bpe_50k`` one where not given.
     """
     import public_tokenizers
     import tiktoken
 
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return coder.encode_ordinary
+    added = {}
+    if not path:
+        with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+            added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+    coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: coder.encode(text, allowed_special="all") if any(t in text for t in added) else coder.encode_ordinary(text)
 
 
 # ---- edit-aware counts -----------------------------------------------------------
