@@ -8,8 +8,9 @@ words can be skipped; only where the shift is 0 does the block's bucket give the
 patterns that end so, and the words themselves are then compared.
 
 Blocks of patterns are cut to a bounded number of pattern words and broadcast one
-block at a time; each block is one pass over the documents. Nothing is shuffled
-but the hits of documents that have some.
+block at a time; each block is one pass over the documents. With one block nothing
+is shuffled; with more, every row of documents is written with a key of its own, by
+which its hits of all blocks come together.
 
 Edge cases: null or empty text has no words and no hits; an item without words is
 no pattern; repeated items each count; columns of other names pass by.
@@ -110,8 +111,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_SCHEMA = "doc_id long, n_words long, begins array<long>, ends array<long>, items array<string>"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("begins", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+_SCHEMA = "row long, doc_id long, n_words long, begins array<long>, ends array<long>, items array<string>"
+_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("begins", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -120,6 +121,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words:
     weigh = F.coalesce(F.size(F.split("text", r"\s+")), F.lit(0)).cast("long")
     total = benchmark.agg(F.sum(weigh * width)).first()[0] or 0
     blocks = max(1, -(-total // block_words))
+    own_row = F.monotonically_increasing_id() if blocks > 1 else F.lit(0).cast("long")
+    rows = docs.select(own_row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if blocks > 1:
+        rows = written(rows, "rows")  # all passes must see the same keys
     out = None
     for k in range(blocks):
         part = benchmark.select("item_id", "text")
@@ -130,24 +135,26 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words:
         def run(batches, shared=shared):
             found_by = matchers(shared.value, width)
             for batch in batches:
-                rows = [search(t, found_by) for t in batch.column("text").to_pylist()]
+                found = [search(t, found_by) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
+                        batch.column("row"),
                         batch.column("doc_id"),
-                        pa.array([r[0] for r in rows], pa.int64()),
-                        pa.array([[s[0] for s in r[1]] for r in rows], pa.list_(pa.int64())),
-                        pa.array([[s[1] for s in r[1]] for r in rows], pa.list_(pa.int64())),
-                        pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string())),
+                        pa.array([r[0] for r in found], pa.int64()),
+                        pa.array([[s[0] for s in r[1]] for r in found], pa.list_(pa.int64())),
+                        pa.array([[s[1] for s in r[1]] for r in found], pa.list_(pa.int64())),
+                        pa.array([sorted(r[2]) for r in found], pa.list_(pa.string())),
                     ],
                     schema=_ARROW,
                 )
 
-        own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freeing(run), _SCHEMA)
+        own = rows.mapInArrow(freeing(run), _SCHEMA)
         out = own if out is None else out.unionByName(own)
     if blocks == 1:
-        return out
+        return out.drop("row")
     spans = F.flatten(F.collect_list(F.arrays_zip("begins", "ends")))
-    joined = out.groupBy("doc_id").agg(
+    joined = out.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
         F.array_sort(spans).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
