@@ -4,7 +4,8 @@ The rules give the base spans. Beside them a semi-Markov field reads the regions
 text that hold a digit, ``@`` or ``+``: every candidate segment of at most
 ``MOST_TOKENS`` tokens is scored as a whole (its shape, digits, checksum, borders),
 and dynamic programming over ends and segment lengths chooses borders and types
-together, so its cost is linear in the region. Its weights are fitted by conditional
+together, so its cost is linear in the region. A region is read whole, however long:
+the programme goes from left to right and keeps the last ``MOST_TOKENS`` places only. Its weights are fitted by conditional
 likelihood on generated examples (a fixed seed), never on the corpus. Spans of the
 field that touch no base span are added.
 
@@ -17,7 +18,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import deque
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -85,26 +89,25 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 # ---- the field ----------------------------------------------------------------
 
-_REGION = re.compile(r"[^\s]*[0-9@+][^\s]*(?:\x20[^\s]*[0-9][^\s]*)*")
+_WORD, _NEXT = re.compile(r"[^\s]*"), re.compile(r"\x20[^\s]*[0-9][^\s]*")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.S)
 _EDGE = frozenset("(+")
 
 
-def regions(text: str):
-    """(start, tokens with offsets) of a text's parts that may hold an entity, of bounded size."""
+def regions(text: str) -> Iterator[Iterator[tuple[int, int]]]:
+    """Tokens (start, end) of each of a text's parts that may hold an entity, one after another."""
     at = 0
     while True:
         hit = _TRIGGER.search(text, at)
         if not hit:
             return
         begin = hit.start()
-        low = max(at, begin - 64)
-        while begin > low and not text[begin - 1].isspace():
+        while begin > at and not text[begin - 1].isspace():
             begin -= 1
-        m = _REGION.match(text, begin, begin + 512)
-        end = m.end() if m else hit.end()
-        yield [(t.start(), t.end()) for t in _TOKEN.finditer(text, begin, end)]
-        at = max(end, hit.end())
+        at = _WORD.match(text, hit.end()).end()
+        while more := _NEXT.match(text, at):
+            at = more.end()
+        yield ((t.start(), t.end()) for t in _TOKEN.finditer(text, begin, at))
 
 
 def _shape(part: str) -> str:
@@ -134,17 +137,21 @@ def features(text: str, start: int, end: int) -> tuple[str, ...]:
     return tuple(out)
 
 
-def candidates(text: str, tokens: list[tuple[int, int]]):
-    """(first token, end token, features) of segments that may be an entity."""
-    solid = [text[a].isalnum() for a, _ in tokens]
-    for i, (a, _) in enumerate(tokens):
-        if (not solid[i] and text[a] not in _EDGE) or text[a - 1 : a].isalnum():
-            continue
-        kinds = 0
-        for j in range(i, min(len(tokens), i + MOST_TOKENS)):
-            kinds |= text[tokens[j][0]].isdigit() | (text[tokens[j][0]] == "@") << 1
-            if solid[j] and kinds and not text[tokens[j][1] : tokens[j][1] + 1].isalnum():
-                yield i, j + 1, features(text, a, tokens[j][1])
+def candidates(text: str, tokens: Iterable[tuple[int, int]]):
+    """(first token, end token, start, end, features) of segments that may be an entity, by their first tokens."""
+    rest = iter(tokens)
+    ahead, i = deque(islice(rest, MOST_TOKENS)), 0
+    while ahead:
+        a = ahead[0][0]
+        if (text[a].isalnum() or text[a] in _EDGE) and not text[a - 1 : a].isalnum():
+            kinds = 0
+            for j, (begin, end) in enumerate(ahead, i + 1):
+                kinds |= text[begin].isdigit() | (text[begin] == "@") << 1
+                if text[begin].isalnum() and kinds and not text[end : end + 1].isalnum():
+                    yield i, j, a, end, features(text, a, end)
+        ahead.popleft()
+        ahead.extend(islice(rest, 1))
+        i += 1
 
 
 class Field:
@@ -157,35 +164,38 @@ class Field:
         w = self.weights
         return sum(w.get((kind, f), 0.0) for f in found) + w.get((kind, ""), 0.0)
 
-    def best(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        """(start, kind, end) of the entities of the best segmentation."""
-        ending: dict[int, list] = {}
-        for i, j, found in candidates(text, tokens):
+    def best(self, text: str, tokens: Iterable[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(start, kind, end) of the entities of the best segmentation.
+
+        Ways to the tokens ahead wait in ``ending``; a way is its last entity and the way before it.
+        """
+        value, way = 0.0, None
+        ending: dict[int, tuple] = {}
+
+        def settle(upto: int) -> None:
+            nonlocal value, way
+            for j in sorted(j for j in ending if j <= upto):
+                reached = ending.pop(j)
+                if reached[0] > value:
+                    value, way = reached
+
+        for i, j, start, end, found in candidates(text, tokens):
             top, kind = max((self.score(k, found), -k) for k in range(len(KINDS)))
             if top > 0:
-                ending.setdefault(j, []).append((i, top, -kind))
-        if not ending:
-            return []
-        value, back = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
-        for j in range(1, len(tokens) + 1):
-            value[j] = value[j - 1]
-            for i, top, kind in ending.get(j, ()):
-                if value[i] + top > value[j]:
-                    value[j], back[j] = value[i] + top, (i, kind)
-        out, j = [], len(tokens)
-        while j:
-            if back[j]:
-                i, kind = back[j]
-                out.append((tokens[i][0], kind, tokens[j - 1][1]))
-                j = i
-            else:
-                j -= 1
+                settle(i)
+                if j not in ending or value + top > ending[j][0]:
+                    ending[j] = value + top, ((start, -kind, end), way)
+        settle(max(ending, default=0))
+        out = []
+        while way:
+            out.append(way[0])
+            way = way[1]
         return out[::-1]
 
     def learn(self, text: str, tokens: list[tuple[int, int]], truth: set, rate: float) -> None:
         """One step up the conditional log-likelihood: observed minus expected segment features."""
         n, segments = len(tokens), []
-        for i, j, found in candidates(text, tokens):
+        for i, j, _, _, found in candidates(text, tokens):
             segments += [(i, j, k, found, self.score(k, found)) for k in range(len(KINDS))]
         alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
         alpha[0] = beta[n] = 0.0
@@ -257,7 +267,7 @@ def field(n: int = 500, rounds: int = 4) -> Field:
     for k in range(rounds):
         for text, truth in rows:
             for tokens in regions(text):
-                own.learn(text, tokens, truth, 0.3 / (1 + k))
+                own.learn(text, list(tokens), truth, 0.3 / (1 + k))
     return own
 
 
