@@ -26,12 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set (tests)."""
+    """The folder all executors share; a temporary one only where none is set and all run on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        found = _LOCAL.setdefault(app, _LOCAL.get(app) or "file://" + tempfile.mkdtemp(prefix="tessera-"))
     return found.rstrip("/")
 
 
@@ -65,8 +70,8 @@ def freeing(run):
 
 
 def held_out(doc_id: str = "doc_id"):
-    """Whether crc32(doc_id as text) mod 3 is 1: rows no model may learn from."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+    """Whether crc32(doc_id as text) mod 3 is 1: rows no model may learn from; rows without an id count as held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -147,13 +152,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_spans(plane: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of word bytes, none across two texts, and the texts' first word numbers."""
-    inside = np.zeros(len(plane) + 2, bool)
-    inside[1:-1] = is_word[plane]
+    return run_spans(is_word[plane], offsets)
+
+
+def run_spans(flags: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_spans``, for the word bytes' own flags."""
+    inside = np.zeros(len(flags) + 2, bool)
+    inside[1:-1] = flags
     begins = inside[1:-1] & ~inside[:-2]
     stops = inside[1:-1] & ~inside[2:]
-    if len(plane):
+    if len(flags):
         cuts = offsets[1:-1]
-        cuts = cuts[(cuts > 0) & (cuts < len(plane))]
+        cuts = cuts[(cuts > 0) & (cuts < len(flags))]
         begins[cuts] = inside[1:-1][cuts]
         stops[cuts - 1] = inside[1:-1][cuts - 1]
     starts = np.flatnonzero(begins)

@@ -13,7 +13,9 @@ language of most letters on the path; the score is their share, less the chance
 the language that comes second in the whole text.
 
 Edge cases: null text and text without a letter are ``und`` with score 1; without rows
-to learn from every text with a letter is ``und`` with score 0; texts are read whole.
+to learn from every text with a letter is ``und`` with score 0; texts are read whole;
+repeated rows are predicted each by itself; rows without doc_id count as held out; of
+languages that tie the first in order is taken; only doc_id, text and lang are read.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, freeing, held_out, sample_below, slices, table, text_plane, word_spans
+from tessera.llm.common import ascii_lower, freeing, held_out, run_spans, slices, table, text_plane
 
-#: Documents fitted on at most, hash buckets, n-gram lengths.
-MOST_ROWS, BUCKETS, GRAMS = 20_000, 1 << 15, (1, 2, 3, 4)
+#: Documents of a language fitted on at most (about), hash buckets, n-gram lengths.
+MOST_ROWS, BUCKETS, GRAMS = 5_000, 1 << 15, (1, 2, 3, 4)
 #: Cost of a switch (in nats), weight of an n-gram's evidence, least share of a script a language uses.
 PENALTY, TEMPER, LEAST_SCRIPT = 12.0, 0.3, 0.005
 
@@ -56,6 +58,30 @@ _IS_WORD[65:91] = _IS_WORD[97:123] = True
 _IS_WORD[128:] = True
 
 
+#: Bytes that begin a mark, not a letter, with the second bytes they do so with: Latin-1 signs, punctuation and
+#: symbols from U+2000 to U+2BFF, ideographic punctuation, variation selectors, pictographs (fixed values).
+_MARKS = (
+    (0xC2, 2, frozenset(range(0x80, 0xC0)) - {0xAA, 0xB5, 0xBA}),
+    (0xC3, 2, frozenset((0x97, 0xB7))),
+    (0xE2, 3, frozenset(range(0x80, 0xB0))),
+    (0xE3, 3, frozenset((0x80,))),
+    (0xEF, 3, frozenset((0xB8,))),
+    (0xF0, 4, frozenset((0x9F,))),
+)
+
+
+def letter_bytes(plane: np.ndarray) -> np.ndarray:
+    """Whether each byte is part of a letter."""
+    inside = _IS_WORD[plane]
+    for lead, size, seconds in _MARKS:
+        at = np.flatnonzero(plane[:-1] == lead)
+        if len(at):
+            at = at[np.isin(plane[at + 1], list(seconds))]
+            for k in range(size):
+                inside[np.minimum(at + k, len(plane) - 1)] = False
+    return inside
+
+
 def _lowered(plane: np.ndarray) -> np.ndarray:
     """A-Z and the two-byte Latin capitals in lower case."""
     out = ascii_lower(plane)
@@ -91,8 +117,14 @@ def grams(plane: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
 
 def word_scripts(plane: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The script of each word's first character."""
-    return _SCRIPT_OF[plane[starts]]
+    """The script of most of each word's characters (the first in order where two tie)."""
+    sizes, n = ends - starts, len(SCRIPTS)
+    at = np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    script = _SCRIPT_OF[plane[at]]
+    first = script >= 0  # first bytes of characters
+    joint = np.repeat(np.arange(len(starts)), sizes)[first] * n + script[first]
+    counts = np.bincount(joint, minlength=len(starts) * n).reshape(-1, n)
+    return np.where(counts.any(axis=1), counts.argmax(axis=1), -1).astype(np.int8)
 
 
 @dataclass
@@ -111,7 +143,7 @@ def _counts(batches):
             langs = np.array(batch.column("lang").to_pylist(), dtype=object)
             plane, offsets = text_plane(batch.column("text"))
             plane = _lowered(plane)
-            starts, ends, first = word_spans(plane, offsets, _IS_WORD)
+            starts, ends, first = run_spans(letter_bytes(plane), offsets)
             doc = np.repeat(np.arange(len(langs)), np.diff(first))
             script = word_scripts(plane, starts, ends)
             names, number = np.unique(langs.astype(str), return_inverse=True)
@@ -140,9 +172,15 @@ def _counts(batches):
 
 
 def fit(docs: DataFrame) -> Model:
-    """Counts by language over a bounded sample of rows with a language that may be learnt from."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
-    known = sample_below(known, known.count(), MOST_ROWS).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    """Counts by language over rows that may be learnt from: all of rare languages, about ``MOST_ROWS`` of the others."""
+    text, lang = F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", text, lang)
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    many = {x: int(MOST_ROWS / n * (1 << 30)) for x, n in sizes.items() if n > MOST_ROWS}
+    if many:
+        share = F.element_at(F.create_map(*[F.lit(x) for kv in many.items() for x in kv]), F.col("lang"))
+        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < F.coalesce(share, F.lit(1 << 30)))
+    known = known.select("text", "lang")
     rows = known.mapInArrow(freeing(_counts), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
     number = {x: k for k, x in enumerate(langs)}
@@ -231,11 +269,12 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, list
     """Language, score and labelled spans (word, end word, language) of each text."""
     plane, offsets = text_plane(column)
     plane = _lowered(plane)
-    starts, ends, first = word_spans(plane, offsets, _IS_WORD)
+    inside = letter_bytes(plane)
+    starts, ends, first = run_spans(inside, offsets)
     n = len(column)
     counts = np.diff(first)
     lettered = counts > 0
-    plain = np.concatenate(([0], np.cumsum((plane < 128) & _IS_WORD[plane])))
+    plain = np.concatenate(([0], np.cumsum((plane < 128) & inside)))
     unsure = lettered & (plain[offsets[1:]] == plain[offsets[:-1]])  # no ASCII letter: look at the characters
     for d in np.flatnonzero(unsure):
         lettered[d] = any(c.isalpha() for c in column[int(d)].as_py())
@@ -251,7 +290,8 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, list
     label = best[doc]
     for d, own in viterbi(scores, first, np.flatnonzero(~_steady(scores, first, best) & lettered)).items():
         label[first[d] : first[d + 1]] = own
-    letters = np.bincount(doc * m + label, ends - starts, n * m).reshape(n, m)
+    chars = np.concatenate(([0], np.cumsum((plane & 0xC0) != 0x80)))  # bytes that begin a character
+    letters = np.bincount(doc * m + label, chars[ends] - chars[starts], n * m).reshape(n, m)
     winner = letters.argmax(axis=1)
     second = np.sort(totals, axis=1)[:, -2] if m > 1 else np.full(n, -np.inf)
     doubt = np.exp(-np.clip(totals.max(axis=1) - second, 0, 50)) / 2
