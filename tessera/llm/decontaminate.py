@@ -7,13 +7,16 @@ an occurrence always begins and ends at word borders. For patterns of one length
 words can be skipped; only where the shift is 0 does the block's bucket give the
 patterns that end so, and the words themselves are then compared.
 
-Blocks of patterns are cut to a bounded number of pattern words and broadcast one
-block at a time; each block is one pass over the documents. With one block nothing
-is shuffled; with more, every row of documents is written with a key of its own, by
-which its hits of all blocks come together.
+Blocks of patterns are cut to a bounded number of pattern words; each block is one
+pass over the documents. With one block nothing is shuffled. With more, every row of
+documents is written with a key of its own; the blocks then follow one another - a
+block is broadcast, its pass written, its broadcast destroyed - and a row's hits of
+all blocks come together by its key.
 
 Edge cases: null or empty text has no words and no hits; an item without words is
-no pattern; repeated items each count; columns of other names pass by.
+no pattern; the windows of an item without id are hits, but no item is named; items
+that repeat an id are one item; every row of documents, repeated ones and those without
+id too, has a row of its own; columns of other names pass by.
 """
 
 from __future__ import annotations
@@ -86,7 +89,9 @@ def matchers(items: list[tuple], width: int = WIDTH) -> list[WuManber]:
         words = words_of(text)
         m = min(width, len(words))
         for k in range(len(words) - m + 1 if m else 0):
-            by_length.setdefault(m, {}).setdefault(tuple(words[k : k + m]), set()).add(str(item_id))
+            own = by_length.setdefault(m, {}).setdefault(tuple(words[k : k + m]), set())
+            if item_id is not None:
+                own.add(str(item_id))
     return [WuManber(m, patterns) for m, patterns in sorted(by_length.items())]
 
 
@@ -118,7 +123,7 @@ _ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Every document with its words, hit spans (in words) and items: the operator's own output."""
     spark = docs.sparkSession
-    weigh = F.coalesce(F.size(F.split("text", r"\s+")), F.lit(0)).cast("long")
+    weigh = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
     total = benchmark.agg(F.sum(weigh * width)).first()[0] or 0
     blocks = max(1, -(-total // block_words))
     own_row = F.monotonically_increasing_id() if blocks > 1 else F.lit(0).cast("long")
@@ -149,6 +154,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words:
                 )
 
         own = rows.mapInArrow(freeing(run), _SCHEMA)
+        if blocks > 1:
+            own = written(own, "block")
+            shared.destroy()
         out = own if out is None else out.unionByName(own)
     if blocks == 1:
         return out.drop("row")
@@ -212,7 +220,7 @@ def brute_force(docs: list[tuple], items: list[tuple], width: int = WIDTH) -> di
                 for at in range(len(words) - m + 1):
                     if words[at : at + m] == w[k : k + m]:
                         hit.update(range(at, at + m))
-                        own.add(str(item_id))
+                        own |= {str(item_id)} if item_id is not None else set()
         digest = hashlib.sha256(",".join(sorted(own)).encode()).hexdigest()
         out[doc_id] = (len(words), len(hit), len(own), digest, bool(hit) and 20 * len(hit) >= len(words))
     return out
