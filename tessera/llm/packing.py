@@ -11,7 +11,9 @@ combinations, whatever the number of documents.
 
 The plan is a small table of (length, first rank, repeats, first sequence, offset).
 A piece's rank among those of its length comes from counts by (length, bucket) and
-a row number inside a bucket, so that no length, however frequent, meets in one task.
+a row number inside a bucket; the number of buckets grows with the pieces, so that no
+length, however frequent, meets in one task. Full pieces are a sequence each and take
+part in none of this: their sequences have negative numbers.
 
 Token ids are those of the ``byte_bpe_50k`` vocabulary; they are computed by the
 rank form of the same vocabulary, which gives the same ids (tests compare them with
@@ -35,8 +37,8 @@ from tessera.llm.common import freeing, slices, table, written
 from tessera.llm.tokens import byte_bpe
 
 SIZE, SEPARATOR = 1024, 2
-#: Buckets over which the ranks of one length are spread.
-BUCKETS = 512
+#: Pieces of a bucket at most (about); a length's ranks are spread over the buckets.
+BUCKET_ROWS = 50_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -115,13 +117,15 @@ def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, int, in
     return rows
 
 
-def packed(docs: DataFrame, size: int = SIZE, separator: int = SEPARATOR, buckets: int = BUCKETS) -> DataFrame:
+def packed(docs: DataFrame, size: int = SIZE, separator: int = SEPARATOR, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Pieces with the sequence and the place in it that they are packed to."""
     spark = docs.sparkSession
-    cut = written(
-        pieces(docs, size, separator).withColumn("b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int")),
-        "pieces",
-    )
+    every = written(pieces(docs, size, separator), "pieces")
+    alone = (-1 - F.monotonically_increasing_id()).alias("sequence_id")  # the table is written, so its rows keep their places
+    full = every.filter(F.col("length") == size).select(*_ARROW.names, alone, F.lit(0).cast("long").alias("offset"))
+    cut = every.filter(F.col("length") < size)
+    buckets = max(1, -(-cut.count() // bucket_rows))
+    cut = cut.withColumn("b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     counts = written(cut.groupBy("length", "b").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     by_length: dict[int, list] = {}
@@ -151,8 +155,8 @@ def packed(docs: DataFrame, size: int = SIZE, separator: int = SEPARATOR, bucket
                 names=[*_ARROW.names, "sequence_id", "offset"],
             )
 
-    return ranked.select(*_ARROW.names, (F.col("first") + F.col("r")).cast("long").alias("rank")).mapInArrow(freeing(place), _PIECES + ", sequence_id long, offset long"
-    )
+    placed = ranked.select(*_ARROW.names, (F.col("first") + F.col("r")).cast("long").alias("rank"))
+    return placed.mapInArrow(freeing(place), _PIECES + ", sequence_id long, offset long").unionByName(full)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
