@@ -1,37 +1,48 @@
 """Sharding by vector bin packing over bytes, tokens and rows.
 
-Groups of equal texts are dealt to ``BUCKETS`` buckets by a hash of the text, so that
-what is packed is a bounded table of buckets, whatever the number of documents. A
-group that holds more than 1/``PARTS`` of a shard's bytes or rows is hot: it is split
-into pieces of that size, each a bucket of its own. Buckets go, largest
-first, to the shard where the dot product of their vector (in shares of the mean
-shard) with the shard's residual capacity is highest among those whose bytes still
-fit; then buckets move or swap between the fullest and other shards while that evens the
-bytes. The law that holds is ``bytes``: the shards' sizes are near equal; tokens and
-rows are balanced as far as that leaves room.
-
-A row's slot is its bucket's offset in the shard and its number inside the bucket,
-so no shard is sorted in one task.
+What is packed are groups of equal texts. A group that holds more than 1/``PARTS`` of
+a shard's bytes or rows is large and is packed by itself (there are at most
+2 x ``PARTS`` of them a shard); the many small ones are dealt to ``BUCKETS`` buckets
+by a hash of the text, a group whole in one bucket, so that the table that is packed
+is bounded, whatever the number of documents. Large groups and buckets go, largest
+first, to the shard where the dot product of their vector (bytes, tokens, rows, in
+shares of the mean shard) with the shard's residual capacity is highest among those
+whose bytes still fit; then they move or swap between shards while that lessens the
+squared deviation of all three, and at last while it evens the bytes. The law that
+holds is ``bytes``: the shards' sizes are near equal; tokens and rows are balanced as
+far as that leaves room.
+
+A group that fits a shard stays whole in it. Only one of more than a shard is split,
+into pieces of a shard at most, and, where whole groups would leave the shards' bytes
+more than ``SPREAD`` apart, those of more than a half, a quarter, ... of a shard.
+
+A row's slot is its bucket's offset in the shard and its number inside the bucket
+(large groups count in ``PARTS`` sub-buckets), so no shard and no group is sorted in
+one task.
 
 Edge cases: null text has no bytes and the checksum of an empty one; an empty table
-gives no rows; repeated rows each have a slot.
+gives no rows; repeated rows, and rows without id, each have a slot.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table, written
+from tessera.llm.tokens import n_tokens
 
 SHARDS, OVERHEAD = 40, 16
-#: Buckets of groups, and pieces that a hot group of one shard's size is split into.
-BUCKETS, PARTS = 8192, 32
+#: Buckets of small groups; the share of a shard above which a group is packed by itself; bytes' greatest spread.
+BUCKETS, PARTS, SPREAD = 8192, 32, 0.01
+#: Weights of bytes, tokens and rows, and units of a shard that are tried for a swap at most (evenly over their sizes).
+WEIGHTS, TRIED = np.array([4.0, 1.0, 1.0]), 400
 
 
 def place(sizes: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each bucket (rows: bytes, tokens, rows)."""
+    """The shard of each unit (rows: bytes, tokens, rows)."""
     n = len(sizes)
     shard = np.zeros(n, int)
     if not n:
@@ -48,12 +59,45 @@ def place(sizes: np.ndarray, shards: int) -> np.ndarray:
             best = load[:, 0].argmin()
         shard[k] = best
         load[best] += v[k]
-    return _even_out(sizes[:, 0].astype(np.int64), shard, shards)
+    return _even_out(sizes[:, 0].astype(np.int64), v, _balance(v, shard, shards), shards)
+
+
+def _tried(units: np.ndarray, size: np.ndarray) -> np.ndarray:
+    if len(units) <= TRIED:
+        return units
+    order = units[np.argsort(size[units], kind="stable")]
+    return order[np.linspace(0, len(order) - 1, TRIED).astype(int)]
 
 
-def _even_out(size: np.ndarray, shard: np.ndarray, shards: int, rounds: int = 2000) -> np.ndarray:
-    """Move or swap buckets between the fullest and the emptiest shards while that evens the bytes."""
+def _balance(v: np.ndarray, shard: np.ndarray, shards: int, rounds: int = 600) -> np.ndarray:
+    """Move or swap units between the fullest and the emptiest shard of a measure while all three come nearer the mean."""
+    load = np.stack([np.bincount(shard, v[:, d], shards) for d in range(3)], axis=1)
+    v0 = np.vstack((v, np.zeros(3)))  # the last one is no unit: a move instead of a swap
+    for _ in range(rounds):
+        for d in np.argsort(-(load.max(axis=0) - load.min(axis=0)) * WEIGHTS, kind="stable"):
+            high, low = int(load[:, d].argmax()), int(load[:, d].argmin())
+            mine = _tried(np.flatnonzero(shard == high), v[:, d])
+            theirs = np.append(_tried(np.flatnonzero(shard == low), v[:, d]), len(v))
+            step = v0[mine][:, None, :] - v0[theirs][None, :, :]
+            # change of the two shards' squared deviations
+            change = (2 * step * (step - (load[high] - load[low]))) @ WEIGHTS
+            if change.size and change.min() < -1e-9:
+                a, b = np.unravel_index(change.argmin(), change.shape)
+                load[high] -= step[a, b]
+                load[low] += step[a, b]
+                shard[mine[a]] = low
+                if theirs[b] < len(v):
+                    shard[theirs[b]] = high
+                break
+        else:
+            break
+    return shard
+
+
+def _even_out(size: np.ndarray, v: np.ndarray, shard: np.ndarray, shards: int, rounds: int = 2000) -> np.ndarray:
+    """Move or swap units between the shards of most and least bytes while that evens them, tokens and rows moving little."""
     load = np.bincount(shard, size, shards).astype(np.int64)
+    mean = max(size.sum() / shards, 1)
     for _ in range(rounds):
         high, low = int(load.argmax()), int(load.argmin())
         gap = int(load[high] - load[low])
@@ -61,16 +105,19 @@ def _even_out(size: np.ndarray, shard: np.ndarray, shards: int, rounds: int = 20
             break
         mine, other = np.flatnonzero(shard == high), np.flatnonzero(shard == low)
         theirs = np.concatenate(([0], size[other]))
+        rest = np.vstack((np.zeros(2), v[other, 1:]))
         order = np.argsort(theirs, kind="stable")
-        # moving a bucket of size a for one of size b (0: none) leaves a gap of |gap - 2 (a - b)|
+        # moving a unit of size a for one of size b (0: none) leaves a gap of |gap - 2 (a - b)|
         want = size[mine] - gap / 2
         at = np.clip(np.searchsorted(theirs[order], want), 0, len(order) - 1)
-        near = np.stack((at, np.maximum(at - 1, 0)))
-        left = np.abs(gap - 2 * (size[mine] - theirs[order[near]]))
-        row, col = np.unravel_index(left.argmin(), left.shape)
-        if left[row, col] >= gap:
+        near = order[np.stack([np.clip(at + k, 0, len(order) - 1) for k in range(-4, 4)])]
+        left = np.abs(gap - 2 * (size[mine] - theirs[near]))
+        moved = np.abs(v[mine, 1:] - rest[near]).sum(axis=2)
+        cost = np.where(left < gap, left / mean + 0.02 * moved, np.inf)
+        row, col = np.unravel_index(cost.argmin(), cost.shape)
+        if not np.isfinite(cost[row, col]):
             break
-        a, b = mine[col], order[near[row, col]]
+        a, b = mine[col], near[row, col]
         shard[a] = low
         load[high], load[low] = load[high] - size[a], load[low] + size[a]
         if b:
@@ -80,6 +127,19 @@ def _even_out(size: np.ndarray, shard: np.ndarray, shards: int, rounds: int = 20
     return shard
 
 
+def pieces_of(units: pd.DataFrame, shards: int) -> pd.DataFrame:
+    """Pieces of the large groups (columns key, large, b, t, n, share): 1 where they stay whole."""
+    large = units[units["large"]]
+    for part in (1, 2, 4, 8, 16, PARTS):
+        pieces = np.maximum(1, np.minimum(np.ceil(large["share"].to_numpy() * part), large["n"].to_numpy())).astype(int)
+        cut = large.loc[large.index.repeat(pieces), ["b", "t", "n"]].to_numpy(float) / np.repeat(pieces, pieces)[:, None]
+        sizes = np.vstack((units.loc[~units["large"], ["b", "t", "n"]].to_numpy(float), cut))
+        load = np.bincount(place(sizes, shards), sizes[:, 0], shards)
+        if part == PARTS or load.max() - load.min() <= SPREAD * load.mean():
+            break
+    return large.assign(pieces=pieces)[["key", "pieces"]]
+
+
 def sharded(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, buckets: int = BUCKETS) -> DataFrame:
     """Every document's size, shard and slot."""
     spark = docs.sparkSession
@@ -87,33 +147,44 @@ def sharded(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, buc
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + overhead).cast("long").alias("size"),
-        (F.length(text) - F.length(F.translate(text, " \n\t", "")) + 1).cast("long").alias("tokens"),
+        n_tokens()(text).alias("tokens"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64(text).alias("h"),
     )
     rows = written(rows, "sizes")
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
-    total, count = total or 0, count or 0
-    share = F.greatest(F.col("bytes") / max(total, 1), F.col("n") / max(count, 1)) * (shards * PARTS)
-    groups = rows.groupBy("h").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    hot = groups.withColumn("pieces", F.ceil(share).cast("int")).filter("n > 1 AND pieces > 1")
-    # the shares' sum is at most 2 * shards * PARTS and a hot group's is over 1, so this table is bounded
-    hot = F.broadcast(hot.select("h", "pieces"))
-    piece = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("pieces"))
-    known = rows.join(hot, "h", "left").withColumn(
-        "bucket", F.when(F.col("pieces").isNull(), F.pmod("h", F.lit(buckets))).otherwise(F.xxhash64("h", piece))
-    ).select("doc_id", "size", "tokens", "text_crc32", "bucket")
-    sums = known.groupBy("bucket").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")).orderBy("bucket").toPandas()
-    shard = place(sums[["b", "t", "n"]].to_numpy(float).reshape(-1, 3), shards)
-    sums = sums.assign(shard=shard.astype("int32"))
-    sums["first"] = sums.groupby("shard")["n"].cumsum() - sums["n"]
+    groups = rows.groupBy("h").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n"))
+    share = F.greatest(F.col("b") / max(total or 0, 1), F.col("n") / max(count or 0, 1)) * shards
+    groups = groups.withColumn("share", share).withColumn("large", F.col("share") > 1 / PARTS)
+    groups = groups.withColumn("key", F.when(F.col("large"), F.col("h")).otherwise(F.pmod("h", F.lit(buckets))))
+    sums = [F.sum(c).alias(c) for c in ("b", "t", "n")]
+    # large groups' shares sum to 2 * shards at most, so there are at most 2 * shards * PARTS of them
+    units = groups.groupBy("key", "large").agg(*sums, F.sum("share").alias("share")).orderBy("large", "key").toPandas()
+    cut = pieces_of(units, shards)
+    large = spark.createDataFrame([tuple(map(int, r)) for r in cut.itertuples(index=False)], "h long, pieces int")
+    known = rows.join(F.broadcast(large), "h", "left")
+    alone = F.col("pieces").isNotNull()
+    known = known.select(
+        "doc_id", "size", "tokens", "text_crc32",
+        F.when(alone, F.col("h")).otherwise(F.pmod("h", F.lit(buckets))).alias("key"),
+        F.when(alone, F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("pieces"))).otherwise(-1).cast("int").alias("piece"),
+        F.when(alone, F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(PARTS))).otherwise(0).cast("int").alias("sub"),
+    )
+    bucket = ["key", "piece", "sub"]
+    subs = known.groupBy(*bucket).agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n"))
+    subs = subs.orderBy(*bucket).toPandas()
+    unit = subs.groupby(["key", "piece"], as_index=False)[["b", "t", "n"]].sum()
+    unit["shard"] = place(unit[["b", "t", "n"]].to_numpy(float).reshape(-1, 3), shards).astype("int32")
+    subs = subs.merge(unit[["key", "piece", "shard"]], on=["key", "piece"])
+    subs["first"] = subs.groupby("shard")["n"].cumsum() - subs["n"]
     places = spark.createDataFrame(
-        [tuple(map(int, r)) for r in sums[["bucket", "shard", "first"]].itertuples(index=False)], "bucket long, shard int, first long"
+        [tuple(map(int, r)) for r in subs[[*bucket, "shard", "first"]].itertuples(index=False)],
+        "key long, piece int, sub int, shard int, first long",
     )
-    inside = Window.partitionBy("bucket").orderBy("doc_id", "text_crc32")
+    inside = Window.partitionBy(*bucket).orderBy("doc_id", "text_crc32")
     return (
         known.withColumn("r", F.row_number().over(inside) - 1)
-        .join(F.broadcast(places), "bucket")
+        .join(F.broadcast(places), bucket)
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("r")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )
 

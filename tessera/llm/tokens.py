@@ -13,6 +13,7 @@ import re
 from collections.abc import Callable
 from functools import cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,17 @@ def byte_bpe(path: str | None = None) -> Callable[[str], list[int]]:
     return lambda text: coder.encode(text, allowed_special="all") if any(t in text for t in added) else coder.encode_ordinary(text)
 
 
+def n_tokens():
+    """A column function: the number of byte-level tokens of a text (null: none)."""
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        encode = byte_bpe()
+        return texts.map(lambda t: len(encode(t)) if t else 0).astype("int64")
+
+    return count
+
+
 # ---- edit-aware counts -----------------------------------------------------------
 #
 # A text is cut into leaves at sure pre-token borders: before a single space that
