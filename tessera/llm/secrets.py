@@ -5,23 +5,31 @@ characters, however long, is a candidate, tested whole. Its encoding is inferred
 its characters (hexadecimal in one case, base 32, base 64 or its URL form), which fixes
 an alphabet, and three tests ask whether it could be random in it:
 
-* chi-squared of the character counts against a uniform alphabet,
-* runs of characters above and below the alphabet's middle,
-* serial correlation of neighbours' places in the alphabet.
-
-Each gives a two-sided normal p-value (the first by the Wilson-Hilferty cube root);
-the least of the three times three is the token's. Text is not random, so it is
-rejected; how surely depends on the length. Inside each class of length the rejections
-of the whole corpus are controlled by Benjamini-Hochberg, whose cut-off comes from a
-histogram of p-values (a fixed number of rows, whatever the corpus). A candidate
-that is not rejected and has the entropy that its length lets a random token have
-is a secret of kind ``random``, unless it touches a base span.
-
-Positions come from the gaps between the matches of a pattern (``split``), so no text
-leaves the JVM, and only texts with a match are split.
-
-Edge cases: null text is an empty one; texts are read whole; spans are in code
-points, end exclusive; repeated rows are scanned each by itself.
+* chi-squared of the character counts against a uniform alphabet (upper tail),
+* runs of characters above and below the alphabet's middle (two-sided),
+* serial correlation of neighbours' places in the alphabet (two-sided).
+
+The first takes the Wilson-Hilferty cube root, all the normal distribution; the least
+p-value counts as the least of three (1 - (1 - p)^3), so that the token's is near
+uniform if it is random. Text is not, so its p-values lie near 0.
+
+What is reported are the candidates with p above a cut-off, so a false discovery is
+text among them. Candidates hold letters and digits and have the entropy that their
+length lets a random token have. In each class of length, those with p above
+``PASS`` give the number of random ones (a share 1 - ``PASS`` of them lies there), so
+of the candidates above a cut-off c all but (1 - c) times that number are taken for
+text; the least c (not below ``LEAST_P``) is used at which they are at most ``RATE`` of
+what is reported. The counts come from a histogram of p-values (a fixed number of
+rows, whatever the corpus). The estimate sees no text that passes the battery at
+``PASS``; the tests measure how much does. A span of kind ``random`` touches no base span.
+
+A match's place is a running sum of the gaps between a pattern's matches (``split``)
+and their lengths, over the rows of a text's matches, so a text's cost grows with its
+matches and no text leaves the scan.
+
+Edge cases: null text is an empty one; texts and tokens are read whole; spans are in
+code points, end exclusive; every row, repeated ones and those without id too, is
+scanned by itself and gives one row; columns of other names are not read.
 """
 
 from __future__ import annotations
@@ -39,8 +47,10 @@ LEAST, PART = 20, 1024
 TOKEN = "[A-Za-z0-9+/_-]{%d,}" % LEAST
 KINDS = ("assign", "access", "hex", "random")
 
-#: False discovery rate of calling a token text, bins of the p-values' logarithm.
-RATE, BINS = 0.1, 120
+#: Share of text among reported tokens, level at which random tokens are counted, least p-value reported.
+RATE, PASS, LEAST_P = 0.1, 0.1, 0.001
+#: Bins of a p-value's power of ten; length from which all tokens are one class.
+STEPS, LONG = 4, 256
 
 #: Alphabets in order, tried one after another (fixed values).
 ALPHABETS = {
@@ -53,29 +63,30 @@ ALPHABETS = {
 _INFER = {"hex": "^[0-9a-f]+$", "HEX": "^[0-9A-F]+$", "base32": "^[A-Z2-7]+$", "base64": "^[A-Za-z0-9+/]+$"}
 
 
-def found(text: Column, pattern: str, group: int = 0) -> Column:
-    """Array of (start, end, value) of a pattern's matches, from the gaps between them."""
+def matches(text: Column, kind: int, pattern: str, group: int = 0) -> Column:
+    """Array of (kind, number, gap before, length, value) of a pattern's matches, from the gaps between them."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    rows = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["whole"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def one(x, i):
+        sizes = F.length(x["gap"]).alias("gap"), F.length(x["whole"]).alias("size")
+        return F.struct(F.lit(kind).alias("kind"), i.alias("k"), *sizes, x["value"].alias("value"))
 
-    rows = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
-    some = F.aggregate(rows, zero, step, lambda acc: acc["out"])
-    return F.when(F.rlike(text, F.lit(pattern)), some).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    none = F.array().cast("array<struct<kind:int,k:int,gap:int,size:int,value:string>>")
+    return F.when(F.rlike(text, F.lit(pattern)), F.transform(rows, one)).otherwise(none)
 
 
-def base_spans(text: Column) -> Column:
-    """Array of (start, kind number, end) of the base spans, ordered."""
-    keep = lambda spans, kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
-    assign = F.filter(found(text, ASSIGN, 1), lambda s: F.length(s["value"]) >= 12)
-    return F.array_sort(F.concat(keep(assign, 0), keep(found(text, ACCESS), 1), keep(found(text, HEX), 2)))
+def spans_of(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, kind, start, end, value) of all matches; a row without a match has one record without a kind."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    every = F.concat(matches(text, 0, ASSIGN, 1), matches(text, 1, ACCESS), matches(text, 2, HEX), matches(text, 3, TOKEN))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), every.alias("m"))
+    rows = rows.select("row", "doc_id", F.explode_outer("m").alias("m")).select("row", "doc_id", "m.*")
+    upto = Window.partitionBy("row", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(upto))
+    return rows.select("row", "doc_id", "kind", (F.col("end") - F.col("size")).alias("start"), "end", "value")
 
 
 def joined(spans: Column) -> Column:
@@ -132,43 +143,59 @@ def _tests(tokens: DataFrame) -> DataFrame:
     variance = (k * k - 1) / 12
     z_runs = (turns - (n - 1) / 2) / (F.sqrt(n - 1) / 2)
     z_serial = serial / (variance * F.sqrt(n - 1))
-    least = F.least(two_sided(F.greatest("z_chi", F.lit(0.0))), two_sided(z_runs), two_sided(z_serial))
-    return rows.withColumn("p", F.least(F.lit(1.0), 3 * least)).drop("alphabet", "own", "counts", "sums", "half", "mean", "z_chi")
+    upper = F.when(F.col("z_chi") > 0, two_sided(F.col("z_chi")) / 2).otherwise(1 - two_sided(F.col("z_chi")) / 2)
+    least = F.least(upper, two_sided(z_runs), two_sided(z_serial))
+    # 1 - (1 - least)^3, multiplied out so that small values keep their digits
+    return rows.withColumn("p", F.least(F.lit(1.0), least * (3 - 3 * least + least * least))).drop("alphabet", "own", "counts", "sums", "half", "mean", "z_chi")
 
 
 def _cut_offs(tests: DataFrame) -> DataFrame:
-    """For each class of length the largest p-value that Benjamini-Hochberg rejects (none: -1)."""
-    histogram = tests.groupBy("cls", "bin").agg(F.count("*").alias("m"), F.max("p").alias("top"))
-    upto = Window.partitionBy("cls").orderBy(F.desc("bin"))
+    """For each class of length the last bin of p-values whose tokens are reported."""
+    step = 10 ** (-1 / STEPS)
+    upto = Window.partitionBy("cls").orderBy("bin")
     every = Window.partitionBy("cls")
-    steps = histogram.withColumn("rank", F.sum("m").over(upto)).withColumn("all", F.sum("m").over(every))
-    good = F.col("top") * F.col("all") <= RATE * F.col("rank")
-    return steps.groupBy("cls").agg(F.coalesce(F.max(F.when(good, F.col("top"))), F.lit(-1.0)).alias("cut"))
+    steps = tests.groupBy("cls", "bin").agg(F.count("*").alias("m")).withColumn("above", F.sum("m").over(upto))
+    passed = F.sum(F.when(F.pow(F.lit(step), F.col("bin") + 1) >= 0.999 * PASS, F.col("m")).otherwise(0)).over(every)
+    steps = steps.withColumn("random", passed / (1 - PASS)).withColumn("c", F.pow(F.lit(step), F.col("bin") + 1))
+    text = F.col("above") - F.col("random") * (1 - F.col("c"))
+    good = (F.col("c") >= 0.999 * LEAST_P) & (text <= RATE * F.col("above"))
+    return steps.filter(good).groupBy("cls").agg(F.max("bin").alias("last"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Counts and digest of the base spans and all spans of every document."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spans = own.select("doc_id", base_spans(F.col("text")).alias("base"), found(F.col("text"), TOKEN).alias("tokens"))
-    spans = written(spans, "spans")
-    tokens = spans.select("doc_id", F.explode("tokens").alias("s")).select(F.col("s.value").alias("token")).distinct()
-    length_class = F.floor(F.log2(F.col("n")) * 2).cast("int")
-    tests = _tests(tokens).withColumn("cls", length_class)
-    tests = written(
-        tests.withColumn("bin", F.least(F.floor(-F.log10(F.greatest("p", F.lit(1e-30))) * 4), F.lit(BINS)).cast("int")), "tests"
-    )
+def tested(tokens: DataFrame) -> DataFrame:
+    """Rows with ``token`` that are candidates: with the battery's p, the class of length and the bin of p."""
+    tests = _tests(tokens).withColumn("cls", F.floor(F.log2(F.least("n", F.lit(LONG))) * 2).cast("int"))
     # a random token of n characters shows about log2(min(n, k)) bits a character less a small loss; text shows less
     enough = F.col("bits") >= 0.8 * F.log2(F.least("n", "k"))
     mixed = F.rlike("token", F.lit("[0-9]")) & F.rlike("token", F.lit("[A-Za-z]"))
-    chosen = tests.join(F.broadcast(_cut_offs(tests)), "cls").filter((F.col("p") > F.col("cut")) & enough & mixed).select("token")
-    chosen = written(chosen, "chosen")
-    random = spans.filter(F.size("tokens") > 0).select("doc_id", "base", F.explode("tokens").alias("s"))
-    random = random.withColumn("token", F.col("s.value")).join(chosen, "token", "left_semi")
-    clear = ~F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (b["end"] > F.col("s.start")))
-    span = F.struct(F.col("s.start").alias("start"), F.lit(3).alias("kind"), F.col("s.end").alias("end"))
-    random = random.filter(clear).groupBy("doc_id").agg(F.collect_set(span).alias("more"))
-    out = spans.select("doc_id", "base").join(random, "doc_id", "left")
-    every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
+    return tests.filter(enough & mixed).withColumn("bin", F.floor(-F.log10(F.greatest("p", F.lit(1e-30))) * STEPS).cast("int"))
+
+
+def random_tokens(tokens: DataFrame) -> DataFrame:
+    """The distinct tokens that are reported."""
+    tests = written(tested(tokens.distinct()), "tests")
+    # one row for each class of length: two for each power of two up to LONG
+    return tests.join(F.broadcast(_cut_offs(tests)), "cls").filter("bin <= last").select("token")
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """Counts and digest of the base spans and all spans of every document."""
+    spans = written(spans_of(docs), "spans")
+    is_token = F.coalesce(F.col("kind") == 3, F.lit(False))
+    tokens = spans.filter(is_token).withColumnRenamed("value", "token")
+    chosen = written(random_tokens(tokens.select("token")), "chosen").withColumn("is", F.lit(3))
+    # records that are no span stay without a kind, so that their rows stay
+    base = spans.filter(~is_token).withColumn("kind", F.when((F.col("kind") != 0) | (F.length("value") >= 12), F.col("kind")))
+    tokens = tokens.join(chosen, "token", "left").withColumn("kind", F.col("is"))
+    every = base.drop("value").unionByName(tokens.drop("token", "is"))
+    # in the order of a base span's start and a token's end, all base spans that begin before a token's end precede it
+    random = F.coalesce(F.col("kind") == 3, F.lit(False))
+    before = Window.partitionBy("row").orderBy(F.when(random, F.col("end")).otherwise(F.col("start")), F.when(random, 0).otherwise(1))
+    reach = F.max(F.when(~random, F.col("end"))).over(before.rowsBetween(Window.unboundedPreceding, 0))
+    every = every.withColumn("reach", reach).filter(~random | (F.coalesce("reach", F.lit(0)) <= F.col("start")))
+    span = F.when(F.col("kind").isNotNull(), F.struct(F.col("start").cast("int").alias("start"), "kind", F.col("end").cast("int").alias("end")))
+    out = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(span)).alias("every"))
+    out = out.withColumn("base", F.filter("every", lambda s: s["kind"] < 3))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return out.select(
         "doc_id",
@@ -176,7 +203,7 @@ def scan(docs: DataFrame) -> DataFrame:
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
         F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        joined(every).alias("spans"),
+        joined(F.col("every")).alias("spans"),
     )
 
 

@@ -39,5 +39,6 @@ def test_parts_of_a_long_token_sum_to_the_whole(spark):
         runs = (sum((a < k / 2) != (b < k / 2) for a, b in pairs) - (n - 1) / 2) / (math.sqrt(n - 1) / 2)
         serial = sum((a - (k - 1) / 2) * (b - (k - 1) / 2) for a, b in pairs) / ((k * k - 1) / 12 * math.sqrt(n - 1))
         tail = lambda v: 2 / (1 + math.exp(1.5976 * min(abs(v), 12) + 0.070566 * min(abs(v), 12) ** 3))
-        assert x.p == pytest.approx(min(1.0, 3 * min(tail(max(z, 0.0)), tail(runs), tail(serial))))
+        upper = tail(z) / 2 if z > 0 else 1 - tail(z) / 2
+        assert x.p == pytest.approx(1 - (1 - min(upper, tail(runs), tail(serial), 1.0)) ** 3, rel=1e-6, abs=1e-15)
         assert x.bits == pytest.approx(sum(-c / n * math.log2(c / n) for c in counts))
