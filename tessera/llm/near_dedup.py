@@ -14,7 +14,8 @@ all. Members that are then still in different components are paired, if their se
 sizes, the counts of their shingles in ``CELLS`` hash cells (without those that none
 of the others has, the cells' lesser counts bound the intersection, exactly) and four
 bits of each coordinate (a pair at 0.75 fails them with probability 1e-6) allow the
-similarity. Comparisons count the whole sets' common shingles.
+similarity; crowded buckets are paired in tiles. Comparisons count the whole sets'
+common shingles.
 
 Edge cases: null, empty or blank text has an empty set and is linked with nothing;
 fewer than five words make one shingle; rows with equal doc_id are one node.
@@ -50,8 +51,8 @@ BANDS = T // ROWS
 STARS = 4
 #: Bits of the 4 * T that may differ: 4 T (1 - J) / 2 at J = 0.75, and five deviations.
 MOST_BITS = 120
-#: Hash cells whose counts bound an intersection.
-CELLS = 64
+#: Hash cells whose counts bound an intersection, members of a bucket's block.
+CELLS, BLOCK = 64, 1024
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, 9, 10, 11, 12, 13]] = False
@@ -192,8 +193,13 @@ def _left_over(mixed: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame
     # two sets of a link share PERCENT / (100 + PERCENT) of their sizes' sum or more, and the other has PERCENT % of n at least
     most = sum((F.col(f"c{k}") for k in range(CELLS)), F.lit(0))
     known = written(mixed.join(sets.filter((100 + PERCENT) * most * 100 >= PERCENT * (100 + PERCENT) * F.col("n")), "id"), "open")
-    one = known.select("h", *[F.col(c).alias(f"a_{c}") for c in known.columns if c != "h"])
-    two = known.select("h", *[F.col(c).alias(f"b_{c}") for c in known.columns if c != "h"])
+    # a crowded bucket is cut to blocks, and its members meet in tiles of two blocks: no key holds more than one tile
+    sizes = known.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    known = known.join(small(written(sizes, "crowded")), "h", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    known = known.withColumn("block", F.pmod(F.xxhash64("id", "h"), "blocks").cast("int"))
+    known = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = lambda s, first, second: known.select(F.struct("h", F.col(first).alias("i"), F.col(second).alias("j")).alias("h"), *[F.col(c).alias(f"{s}_{c}") for c in ("id", "c", "n", *[f"x{k}" for k in range(T // 16)], *[f"c{k}" for k in range(CELLS)])])
+    one, two = side("a", "block", "other"), side("b", "other", "block")
     differ = sum((F.bit_count(F.col(f"a_x{k}").bitwiseXOR(F.col(f"b_x{k}"))) for k in range(T // 16)), F.lit(0))
     common = sum((F.least(f"a_c{k}", f"b_c{k}") for k in range(CELLS)), F.lit(0))
     fits = (
