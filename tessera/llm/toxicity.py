@@ -10,19 +10,24 @@
    (1-p) b_i b_j, with a, b the firing rates in toxic and other documents, started
    from the labelled rows. Pairs that fire together more than their classes explain
    are taken as dependent: they don't enter the fit, and their weight is shared.
-3. The posterior of the model labels a bounded sample of documents (a known label
-   counts as one more, nearly certain voter); a logistic regression learns it.
+3. The posterior of the model labels all documents (grouped by the voters that fire,
+   which together weigh ``UNLABELLED`` rows) and the labelled sample (a known label
+   counts as one more, nearly certain voter); a logistic regression learns it by
+   Newton steps whose sums are taken over the groups where they lie.
 
-Scores take the text only. The rows fitted on are bounded by ``MOST_TOXIC``,
-``MOST_CLEAN`` and ``MOST_UNLABELLED``; the firing counts cover all documents.
+Scores take the text only. The labelled rows fitted on are bounded by ``MOST_TOXIC``
+and ``MOST_CLEAN``; the firing counts and the regression cover all documents.
 
 Edge cases: null and empty text has no pattern and scores by the intercept alone;
 without labels of both kinds the model is empty and every score is 0; of repeated
-labels of a document the largest counts.
+labels of a document the largest counts, and so it does of near copies among the
+labelled rows, of which one is learnt (least doc_id, then text, where labels tie);
+repeated rows are scored each by itself; rows without doc_id count as held out.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -33,11 +38,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import freeing, held_out, sample_below, table, written
 
-MOST_TOXIC, MOST_CLEAN, MOST_UNLABELLED = 8_000, 16_000, 8_000
+MOST_TOXIC, MOST_CLEAN = 8_000, 16_000
+#: Rows that all documents together weigh in the regression.
+UNLABELLED = 8_000
 LENGTHS = (3, 4, 5, 6)
 FEATURES = 256
-#: Longest whole word counted, in bytes.
-MOST_WORD = 32
+#: Whole words of more bytes are named by their first bytes and a hash.
+LONG_WORD = 32
 THRESHOLD = 0.7
 #: Least log odds of a pattern, and least lower bound of them (5 %).
 LEAST_LOG_ODDS, LEAST_SURE = 3.0, 1.8
@@ -50,9 +57,18 @@ def folded(text: str | None) -> str:
     return (b" " + text.lower().encode("utf-8", "surrogatepass").translate(_FOLD) + b" ").decode("latin-1") if text else ""
 
 
+_LONG = re.compile(r"[^ ]{%d,}" % (LONG_WORD + 1))
+
+
+def long_name(word: str) -> str:
+    """The pattern that stands for a long whole word; the mark in it is in no word."""
+    return f"{word[:LONG_WORD]}#{hash_of(word):x}"
+
+
 def patterns_of(text: str | None) -> set[str]:
     words = set(folded(text).split())
-    return {w[:n] for w in words for n in LENGTHS if len(w) >= n} | {w + " " for w in words if len(w) <= MOST_WORD}
+    whole = {w + " " if len(w) <= LONG_WORD else long_name(w) for w in words}
+    return {w[:n] for w in words for n in LENGTHS if len(w) >= n} | whole
 
 
 @dataclass
@@ -67,17 +83,27 @@ class Model:
     def automaton(self):
         import ahocorasick
 
-        found = ahocorasick.Automaton()
+        found, long = ahocorasick.Automaton(), {}
         for k, p in enumerate(self.patterns):
-            found.add_word(" " + p, k)
-        if self.patterns:
+            if "#" in p:
+                long[p] = k
+            else:
+                found.add_word(" " + p, k)
+        if len(found):
             found.make_automaton()
-        return found
+        return found, long
 
 
 def fired(text: str | None, automaton) -> list[int]:
-    """Numbers of the patterns that begin a word of the text."""
-    return sorted({k for _, k in automaton.iter(folded(text))}) if text and len(automaton) else []
+    """Numbers of the patterns that begin, or are, a word of the text."""
+    found, long = automaton
+    if not text or not (len(found) or long):
+        return []
+    text = folded(text)
+    out = {k for _, k in found.iter(text)} if len(found) else set()
+    if long:
+        out |= {long[p] for p in map(long_name, _LONG.findall(text)) if p in long}
+    return sorted(out)
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -92,7 +118,10 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ids = F.broadcast(parts[0].unionByName(parts[1]))  # bounded by the two parameters
     found = docs.select("doc_id", "text").join(ids, "doc_id")
     found = found.withColumn("k", F.pandas_udf(_copy_keys, "array<long>")("text")).withColumns({"k0": F.col("k")[0], "k1": F.col("k")[1]}).drop("k")
-    return written(found.dropDuplicates(["k0"]).dropDuplicates(["k1"]).drop("k0", "k1"), "labelled")
+    rank = F.struct(F.col("label"), -F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), "k1", "text", "doc_id")
+    for key in ("k0", "k1"):
+        found = found.groupBy(key).agg(F.max(rank).alias("one")).select(key, "one.label", "one.doc_id", "one.text", *(["one.k1"] if key == "k0" else []))
+    return written(found.select("doc_id", "text", "label"), "labelled")
 
 
 def _copy_keys(texts: pd.Series) -> pd.Series:
@@ -228,27 +257,54 @@ def fit_label_model(together: np.ndarray, n: int, a0: np.ndarray, b0: np.ndarray
     return a, b, dependent
 
 
-def posterior(votes: np.ndarray, a: np.ndarray, b: np.ndarray, dependent: np.ndarray, prior: float, known: np.ndarray) -> np.ndarray:
-    """P(toxic) of rows of 0/1 votes; ``known``: the label, or -1. Dependent voters that fire share one weight."""
+def posterior(votes: np.ndarray, a: np.ndarray, b: np.ndarray, dependent: np.ndarray, prior: float, known: np.ndarray, quiet: float) -> np.ndarray:
+    """P(toxic) of rows of 0/1 votes; ``known``: the label, or -1; ``quiet``: log odds where no voter fires.
+
+    Dependent voters that fire share one weight.
+    """
     shared = 1 / (1 + votes @ dependent)
     none = votes.sum(axis=1) == 0
-    quiet = [np.log((none & (known == y)).sum() + 0.5) - np.log((known == y).sum() + 1) for y in (1, 0)]
-    log_odds = np.log(prior / (1 - prior)) + (votes * shared) @ np.log(a / b) + none * (quiet[0] - quiet[1])
+    log_odds = np.log(prior / (1 - prior)) + (votes * shared) @ np.log(a / b) + none * quiet
     log_odds = log_odds + np.where(known < 0, 0, np.where(known == 1, 6.0, -6.0))
     return 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
 
 
-def fit_linear(votes: np.ndarray, target: np.ndarray, l2: float = 0.1, steps: int = 12) -> tuple[np.ndarray, float]:
-    """Logistic regression of soft targets on 0/1 features, by damped Newton steps."""
-    k = votes.shape[1]
+def newton_sums(votes: np.ndarray, target: np.ndarray, weight: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the weighted logistic loss of soft targets at ``w`` (the last entry is the intercept)."""
     x = np.column_stack((votes, np.ones(len(votes))))
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return x.T @ (weight * (p - target)), (x * (weight * p * (1 - p))[:, None]).T @ x
+
+
+def fit_linear(rows: DataFrame, k: int, target, l2: float = 0.1, steps: int = 12) -> tuple[np.ndarray, float]:
+    """Logistic regression of ``target(votes, known)`` on groups (got, label, weight), by damped Newton steps.
+
+    A step is one pass over the groups; a task hands on one gradient and one Hessian.
+    """
     w, penalty = np.zeros(k + 1), np.full(k + 1, l2)
     w[k], penalty[k] = -2.0, 1e-6
+    upper = np.triu_indices(k + 1)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - target) + penalty * w
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-6)
-        w -= np.clip(np.linalg.solve(hessian, grad), -3, 3)
+
+        def run(frames, w=w):
+            grad, hessian = np.zeros(k + 1), np.zeros((k + 1, k + 1))
+            for frame in frames:
+                votes = np.zeros((len(frame), k))
+                for r, got in enumerate(frame["got"]):
+                    votes[r, got] = 1
+                g, h = newton_sums(votes, target(votes, frame["label"].to_numpy()), frame["weight"].to_numpy(), w)
+                grad, hessian = grad + g, hessian + h
+            yield pd.DataFrame({"at": [0], "s": [np.concatenate((grad, hessian[upper]))]})
+
+        parts = rows.mapInPandas(freeing(run), "at int, s array<double>").select(F.posexplode("s").alias("at", "x"))
+        sums = parts.groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").toPandas()["x"].to_numpy()
+        grad, hessian = sums[: k + 1] + penalty * w, np.zeros((k + 1, k + 1))
+        hessian[upper] = sums[k + 1 :]
+        hessian = hessian + np.triu(hessian, 1).T + np.diag(penalty + 1e-6)
+        step = np.clip(np.linalg.solve(hessian, grad), -3, 3)
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
     return w[:k], float(w[k])
 
 
@@ -264,18 +320,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     truth = labels.filter(F.col("toxic").isin(0, 1) & ~held_out()).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     prior = float(np.clip(truth, 0.001, 0.5))
     a, b, dependent = fit_label_model(together, n, a0, b0, prior)
-    rows, known = _sample(docs, labelled, model)
-    votes = np.zeros((len(rows), len(found)))
-    for r, got in enumerate(rows):
-        votes[r, got] = 1
-    target = posterior(votes, a, b, dependent, prior, known)
-    model.weights, model.intercept = fit_linear(votes, target)
+    rows = _grouped(docs, labelled, model, n)
+    quiet = _quiet(rows)
+    model.weights, model.intercept = fit_linear(rows, len(found), lambda votes, known: posterior(votes, a, b, dependent, prior, known, quiet))
     model.voters = pd.DataFrame({"pattern": model.patterns, "a": a, "b": b, "dependent": dependent.sum(0)})
     return model
 
 
-def _sample(docs: DataFrame, labelled: DataFrame, model: Model) -> tuple[list[list[int]], np.ndarray]:
-    """Pattern numbers of the bounded fitting sample: labelled rows, and rows whose label isn't known (-1)."""
+def _quiet(rows: DataFrame) -> float:
+    """Log odds of the label where no voter fires, from the labelled rows."""
+    none = F.size("got") == 0
+    sums = rows.filter("label >= 0").groupBy("label").agg(F.sum(F.when(none, F.col("weight")).otherwise(0)), F.sum("weight")).collect()
+    of = {r[0]: np.log(r[1] + 0.5) - np.log(r[2] + 1) for r in sums}
+    return float(of.get(1, 0) - of.get(0, 0))
+
+
+def _grouped(docs: DataFrame, labelled: DataFrame, model: Model, n: int) -> DataFrame:
+    """(got, label, weight): the sets of voters that fire, of all documents (label -1) and of the labelled rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model.patterns)
 
     def find(frames):
@@ -283,10 +344,10 @@ def _sample(docs: DataFrame, labelled: DataFrame, model: Model) -> tuple[list[li
         for frame in frames:
             yield pd.DataFrame({"got": [fired(t, automaton) for t in frame["text"]], "label": frame["label"]})
 
-    n = docs.count()
-    rest = sample_below(docs.select("doc_id", "text"), n, MOST_UNLABELLED).withColumn("label", F.lit(-1))
-    rows = labelled.select("doc_id", "text", "label").unionByName(rest).select("text", "label").mapInPandas(freeing(find), "got array<int>, label int").toPandas()
-    return [list(x) for x in rows["got"]], rows["label"].to_numpy()
+    rest = docs.select(F.col("text").cast("string").alias("text"), F.lit(-1).alias("label"))
+    rows = labelled.select("text", "label").unionByName(rest).mapInPandas(freeing(find), "got array<int>, label int")
+    own = F.when(F.col("label") < 0, F.count("*") * (UNLABELLED / max(n, 1))).otherwise(F.count("*").cast("double"))
+    return written(rows.groupBy("got", "label").agg(own.alias("weight")), "votes")
 
 
 def scorer(spark: SparkSession, model: Model):
