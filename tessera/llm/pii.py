@@ -314,11 +314,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def masked(text: str | None, model: Field) -> str | None:
-    """The text with every span replaced by its kind, until the rules find none."""
-    for _ in range(8):
-        every = spans(text, model)[1]
-        if not every:
-            break
+    """The text with every span replaced by its kind, until none is found.
+
+    Names of kinds hold no digit, ``@`` or ``+`` and a span holds one at least, so this ends.
+    """
+    while every := spans(text, model)[1]:
         parts, at = [], 0
         for a, k, b in every:
             if a >= at:
