@@ -40,7 +40,7 @@ from tessera.llm.graph import components
 COSINE, RECALL = 0.93, 0.99
 SAMPLE, BUCKET = 4096, 256
 #: Components of a block of vectors; vectors of a block at least and at most.
-BLOCK, FEWEST, MOST = 1 << 17, 64, 2048
+BLOCK, FEWEST, MOST = 1 << 15, 64, 2048
 
 
 def usable():
