@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import saved, small
+
 
 def ledger(rows: DataFrame, provider: str, model: str, cost: str, tokens: str) -> DataFrame:
     """Totals over all, by provider, and by provider and model, in one pass."""
@@ -35,15 +37,39 @@ def indexed_quantile(value: Column, q: float) -> Column:
 
 
 def indexed_quantiles(rows: DataFrame, group: list[str], value: str, q: float, name: str) -> DataFrame:
-    """The same by ranks, without gathering a group's values in one row."""
-    present = rows.filter(F.col(value).isNotNull())
-    w = Window.partitionBy(*group)
-    n = F.count("*").over(w)
-    ranked = present.withColumn("_n", n).withColumn("_r", F.row_number().over(w.orderBy(value)))
+    """The same by ranks, without gathering a group's values in one row or task."""
+    ranked = ranks(rows.filter(F.col(value).isNotNull()).select(*group, value), group, value)
     at = F.least(F.floor(F.col("_n") * q), F.col("_n") - 1) + 1
     return ranked.filter(F.col("_r") == at).select(*group, F.col(value).alias(name))
 
 
+def ranks(rows: DataFrame, group: list[str], *order: str) -> DataFrame:
+    """Rows with their rank ``_r`` in their group's order (groups are not null) and the group's size ``_n``.
+
+    The rows are range-partitioned by group and order, so a large group spans many tasks;
+    a partition's rows get their places from counts of the partitions before it.
+    """
+    placed = rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    placed = saved(placed.withColumns({"_p": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    counts = placed.groupBy("_p", *group).agg(F.min("_at").alias("_first"), F.count("*").alias("_c"))
+    before = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).withColumn("_n", F.sum("_c").over(Window.partitionBy(*group)))
+    out = placed.join(small(counts), ["_p", *group])
+    return out.withColumn("_r", F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_p", "_at", "_first", "_c", "_before")
+
+
+def exclusive_quantiles(rows: DataFrame, group: list[str], value: str, qs: tuple[float, ...]) -> DataFrame:
+    """(group, q, value): exclusive quantiles by ranks, see ``exclusive_quantile``."""
+    ranked = ranks(rows.filter(F.col(value).isNotNull()).select(*group, value), group, value)
+    place = lambda q: F.greatest(F.lit(1.0), F.least(F.col("_n").cast("double"), q * (F.col("_n") + 1)))
+    low = lambda q: F.floor(place(q))
+    ends = [F.max(F.when(F.col("_r") == F.least(low(q) + k, F.col("_n")), F.col(value))).alias(f"_{i}_{k}") for i, q in enumerate(qs) for k in (0, 1)]
+    found = ranked.groupBy(*group).agg(F.first("_n").alias("_n"), *ends)
+    at = lambda i, q: F.col(f"_{i}_0") + (F.col(f"_{i}_1") - F.col(f"_{i}_0")) * (place(q) - low(q))
+    each = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), at(i, q).alias("value")) for i, q in enumerate(qs)]))
+    return found.select(*group, each.alias("x")).select(*group, "x.q", "x.value")
+
+
 def exclusive_quantile(values: Column, q: float) -> Column:
     """Exclusive quantile of a sorted array: place q (n + 1), interpolated, clamped to the ends."""
     n = F.size(values)

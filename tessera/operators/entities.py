@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import entity_id
-from tessera.operators import graph
+from tessera.operators import graph, retrieval
+from tessera.session import saved
 
 #: Section chunks: alone above, merged up to (tokens).
 ALONE, MOST = 1200, 1800
@@ -45,24 +46,58 @@ def section_chunks(sections: DataFrame, alone: int = ALONE, most: int = MOST) ->
     return sections.groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, chunk_no int, text string, headings array<string>, tokens long")
 
 
-def same_entities(names: DataFrame, edits: int = 2, least: int = 5, inside: int = 6) -> DataFrame:
-    """(id, canonical): names equal after normalising, within few edits, or contained, joined transitively.
+def same_entities(names: DataFrame, edits: int = 2, least: int = 5, inside: int = 6, cosine: float = 0.93) -> DataFrame:
+    """(id, canonical): names equal after normalising, within few edits, contained, or with near embeddings, joined transitively.
 
-    Candidates share a block (the kind and a beginning or a word), so that names are
-    never compared all with all; the least id of a component is canonical.
+    ``names``: id, kind, name and, for the last rule, embedding (of an exact name the
+    least id's counts). Only names of one kind meet. The candidates are complete for the
+    rules: of a name cut to ``edits`` + 1 pieces one survives that many edits at nearly
+    its place, and a name inside another shares every run of ``inside`` characters with
+    it, so it is looked up by its rarest one. The least id of a component is canonical.
     """
-    rows = names.select("id", "kind", entity_id(F.col("name")).alias("key"))
-    exact = rows.groupBy("kind", "key").agg(F.min("id").alias("rep"))
-    blocks = exact.select("kind", "key", "rep", F.explode(F.array_distinct(F.concat(F.array(F.substring("key", 1, 4)), F.filter(F.split("key", "_"), lambda w: F.length(w) >= least)))).alias("block"))
-    a, b = blocks, blocks.select("kind", "block", F.col("key").alias("other"), F.col("rep").alias("rep2"))
-    near = (F.least(F.length("key"), F.length("other")) >= least) & (F.levenshtein("key", "other") <= edits)
-    part = (F.least(F.length("key"), F.length("other")) >= inside) & (F.col("key").contains(F.col("other")) | F.col("other").contains(F.col("key")))
-    links = a.join(b, ["kind", "block"]).filter(F.col("rep") < F.col("rep2")).filter(near | part)
+    rows = names.select("id", "kind", entity_id(F.col("name")).alias("key"), *(["embedding"] if "embedding" in names.columns else []))
+    exact = saved(rows.groupBy("kind", "key").agg(F.min("id").alias("rep")))
+    links = _near_names(exact, edits, least).unionByName(_inside_names(exact, inside))
+    if "embedding" in rows.columns:
+        vectors = rows.join(exact.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "kind", "embedding")
+        links = links.unionByName(_near_vectors(vectors, cosine))
     comp = graph.components(links.select(F.col("rep").alias("src"), F.col("rep2").alias("dst")).distinct())
     named = exact.join(comp, F.col("rep") == F.col("node"), "left").select("kind", "key", F.coalesce("component", "rep").alias("canonical"))
     return rows.join(named, ["kind", "key"]).select("id", "canonical")
 
 
+def _near_names(exact: DataFrame, edits: int, least: int) -> DataFrame:
+    """Pairs (rep, rep2) of names of ``least`` characters or more within ``edits``."""
+    own = exact.filter(F.length("key") >= least).withColumn("n", F.length("key"))
+    k = F.explode(F.sequence(F.lit(0), F.lit(edits)))
+    begin = lambda n, k: F.floor(n * k / (edits + 1)).cast("int")
+    piece = lambda n, k, shift: F.substring("key", begin(n, k) + shift + 1, begin(n, k + 1) - begin(n, k))
+    one = own.withColumn("k", k).select("kind", "key", "rep", "n", "k", piece(F.col("n"), F.col("k"), F.lit(0)).alias("piece"))
+    # the other name asks for the pieces of every length and place that the edits allow
+    two = own.withColumn("k", k).withColumn("m", F.explode(F.sequence(F.col("n") - edits, F.col("n") + edits))).filter(F.col("m") >= least)
+    two = two.withColumn("shift", F.explode(F.sequence(F.lit(-edits), F.lit(edits)))).filter(begin(F.col("m"), F.col("k")) + F.col("shift") >= 0)
+    two = two.select("kind", F.col("key").alias("other"), F.col("rep").alias("rep2"), F.col("m").alias("n"), "k", piece(F.col("m"), F.col("k"), F.col("shift")).alias("piece")).distinct()
+    met = one.join(two, ["kind", "n", "k", "piece"]).filter("rep <> rep2").select("key", "other", "rep", "rep2").distinct()
+    return met.filter(F.levenshtein("key", "other", edits) >= 0).select("rep", "rep2")
+
+
+def _inside_names(exact: DataFrame, inside: int) -> DataFrame:
+    """Pairs (rep, rep2) of names of ``inside`` characters or more of which the first holds the second."""
+    own = exact.filter(F.length("key") >= inside)
+    grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("key") - inside + 1), lambda i: F.substring(F.col("key"), i, F.lit(inside)))))
+    every = own.select("kind", "key", "rep", grams.alias("gram"))
+    counts = every.groupBy("kind", "gram").agg(F.count("*").alias("c"))
+    rare = every.join(counts, ["kind", "gram"]).groupBy("kind", F.col("key").alias("other"), F.col("rep").alias("rep2")).agg(F.min(F.struct("c", "gram"))["gram"].alias("gram"))
+    return every.join(rare, ["kind", "gram"]).filter((F.col("rep") != F.col("rep2")) & F.col("key").contains(F.col("other"))).select("rep", "rep2")
+
+
+def _near_vectors(rows: DataFrame, cosine: float) -> DataFrame:
+    """Pairs (rep, rep2) of one kind whose embeddings are near; each block of rows meets all rows as a matrix."""
+    ask = rows.select(F.col("id").alias("qid"), F.col("embedding").alias("q_embedding"), F.col("kind").alias("scope"))
+    near = retrieval.knn_within(rows.select("id", "embedding", F.col("kind").alias("scope")), ask, cosine)
+    return near.select(F.col("qid").alias("rep"), F.col("id").alias("rep2"))
+
+
 def remap(relations: DataFrame, mapping: DataFrame) -> DataFrame:
     """Relations (source, target, ...) with both ends replaced by ``mapping`` (name, canonical)."""
     low = mapping.select(F.lower(F.trim("name")).alias("k"), "canonical")

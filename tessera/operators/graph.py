@@ -6,19 +6,10 @@ Iterations write their state to the shared folder of ``spark.checkpoint.dir`` by
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder (a temporary one only where none is set, as in tests)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+from tessera.session import saved, small
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -44,30 +35,41 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
+def by_node(df: DataFrame, key: str) -> DataFrame:
+    """Saved in a fixed number of hash partitions of ``key``, so that rounds of joins on it don't shuffle it again."""
+    return saved(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key))
+
+
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
-    """Rank of each node after ``rounds`` rounds; the mass of nodes without a way out is shared by all."""
-    links = saved(edges.select("src", "dst").distinct())
-    nodes = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))).distinct()
+    """Rank of each node after ``rounds`` rounds; the mass of nodes without a way out is shared by all.
+
+    Ways and nodes are dealt to partitions once; a round shuffles the sums sent to each node only.
+    """
+    links = edges.select("src", "dst").distinct()
     out = links.groupBy("src").agg(F.count("*").alias("n_out"))
-    n = nodes.count()
+    ways = by_node(links.join(out, "src"), "src")
+    ends = ways.select(F.col("src").alias("node")).unionByName(ways.select(F.col("dst").alias("node"))).distinct()
+    nodes = by_node(ends.join(ways.select(F.col("src").alias("node")).distinct().withColumn("out", F.lit(True)), "node", "left").withColumn("ends", F.col("out").isNull()).drop("out"), "node")
+    n, n_ends = nodes.agg(F.count("*"), F.count_if("ends")).first()
     if not n:
-        return nodes.withColumn("rank", F.lit(0.0))
-    ways = saved(links.join(out, "src"))
-    dangling = nodes.join(out, nodes["node"] == out["src"], "left_anti")
-    ranks = saved(nodes.withColumn("rank", F.lit(1.0 / n)))
+        return nodes.select("node", F.lit(0.0).alias("rank"))
+    ranks = nodes.select("node", "ends", F.lit(1.0 / n).alias("rank"))
     for k in range(1, rounds + 1):
-        lost = ranks.join(dangling, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         sent = ways.join(ranks, ways["src"] == ranks["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("n_out")).alias("got"))
-        new = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
-        ranks = nodes.join(sent, "node", "left").crossJoin(F.broadcast(lost)).select("node", new.alias("rank"))  # one row
+        new = nodes.join(sent, "node", "left")
+        lost = F.lit(0.0)
+        if n_ends:
+            new = new.crossJoin(F.broadcast(ranks.filter("ends").agg(F.sum("rank").alias("lost"))))  # one row
+            lost = F.col("lost")
+        ranks = new.select("node", "ends", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank"))
         if k % every == 0 or k == rounds:
             ranks = saved(ranks)
-    return ranks
+    return ranks.select("node", "rank")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the least node reachable, by least neighbours and shortcuts."""
-    step = saved(undirected(edges))
+    step = by_node(undirected(edges), "dst")
     labels = saved(step.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("component")))
     for _ in range(most_rounds):
         near = step.join(labels, step["dst"] == labels["node"]).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("m"))
@@ -83,7 +85,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """Communities by synchronous label propagation: the most frequent label nearby, the least on ties."""
-    step = saved(undirected(edges))
+    step = by_node(undirected(edges), "dst")
     labels = step.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
     for _ in range(rounds):
         votes = step.join(labels, step["dst"] == labels["node"]).groupBy(F.col("src").alias("n"), "community").agg(F.count("*").alias("c"))
@@ -105,8 +107,145 @@ def statistics(edges: DataFrame) -> DataFrame:
 def shared_neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, other, common): nodes two steps from a seed that are no direct neighbours, by common neighbours."""
     step = undirected(edges)
-    one = step.join(F.broadcast(seeds.select(F.col("node").alias("src")).distinct()), "src")
+    one = step.join(small(seeds.select(F.col("node").alias("src")).distinct()), "src")
     two = one.select(F.col("src").alias("node"), F.col("dst").alias("via")).join(step.select(F.col("src").alias("via"), F.col("dst").alias("other")), "via")
     counts = two.filter("node <> other").groupBy("node", "other").agg(F.count("*").alias("common"))
     direct = one.select(F.col("src").alias("node"), F.col("dst").alias("other"))
     return counts.join(direct, ["node", "other"], "left_anti")
+
+
+def levels(edges: DataFrame, seeds: DataFrame, most: int = 100) -> DataFrame:
+    """(seed, node, hop): steps along edges (src to dst) from every seed to every node it reaches."""
+    step = by_node(edges.filter("src <> dst").select("src", "dst").distinct(), "src")
+    seen = saved(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hop")))
+    front = seen
+    for hop in range(1, most + 1):
+        near = front.join(step, front["node"] == step["src"]).select("seed", F.col("dst").alias("node")).distinct()
+        front = saved(near.join(seen, ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        if front.isEmpty():
+            return seen
+        seen = saved(seen.unionByName(front))
+    raise RuntimeError("the search did not end")
+
+
+def closeness(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, closeness) of the seeds, over ways that lead to them: (r / total steps) * (r / (n - 1)).
+
+    ``r`` counts the other nodes that reach the seed; seeds that none reaches have 0. The
+    search keeps a row for each seed and node, so seeds are a chosen set; all nodes are one such set.
+    """
+    nodes = edges.select("src").unionByName(edges.select(F.col("dst").alias("src"))).distinct().count()
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    found = levels(back, seeds).groupBy(F.col("seed").alias("node")).agg(F.sum("hop").alias("steps"), (F.count("*") - 1).alias("r"))
+    near = F.when((F.col("steps") > 0) & F.lit(nodes > 1), F.col("r") / F.col("steps") * F.col("r") / F.lit(max(nodes - 1, 1))).otherwise(0.0)
+    return found.select("node", near.alias("closeness"))
+
+
+def eigenvector(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """(node, centrality): x + sum of x over incoming neighbours, scaled to length one, until it rests; 0 for all if it does not."""
+    ways = by_node(edges.select("src", "dst").distinct(), "src")
+    nodes = by_node(ways.select(F.col("src").alias("node")).unionByName(ways.select(F.col("dst").alias("node"))).distinct(), "node")
+    n = max(nodes.count(), 1)
+    x = nodes.withColumn("x", F.lit(1.0 / n))
+    for k in range(rounds):
+        got = ways.join(x, ways["src"] == x["node"]).groupBy(F.col("dst").alias("to")).agg(F.sum("x").alias("got"))
+        raw = saved(x.join(got, x["node"] == got["to"], "left").select("node", F.col("x").alias("old"), (F.col("x") + F.coalesce("got", F.lit(0.0))).alias("raw")))
+        length = raw.agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("l")).first()["l"] or 1.0
+        moved = raw.agg(F.sum(F.abs(F.col("raw") / length - F.col("old")))).first()[0] or 0.0
+        x = raw.select("node", (F.col("raw") / length).alias("x"))
+        if moved < n * tolerance:
+            return x.select("node", F.col("x").alias("centrality"))
+    return nodes.withColumn("centrality", F.lit(0.0))
+
+
+def betweenness(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, score): summed shares of shortest ways from the seeds that pass through a node.
+
+    Breadth-first levels with the number of shortest ways, then shares are handed back
+    level by level; all seeds go in step. With all nodes as seeds the score is exact
+    (each pair counted once in either direction); a sample of seeds gives a part of it,
+    which the caller scales by nodes / seeds. Scores are not normalised.
+    """
+    step = by_node(edges.filter("src <> dst").select("src", "dst").distinct(), "src")
+    front = saved(seeds.select(F.col("node").alias("seed"), "node", F.lit(1.0).alias("ways")))
+    seen, fronts = front.select("seed", "node"), [front]
+    while not front.isEmpty():
+        near = front.join(step, front["node"] == step["src"]).groupBy("seed", F.col("dst").alias("node")).agg(F.sum("ways").alias("ways"))
+        front = saved(near.join(seen, ["seed", "node"], "left_anti"))
+        seen = saved(seen.unionByName(front.select("seed", "node")))
+        fronts.append(front)
+    share = fronts[-1].select("seed", "node", F.lit(0.0).alias("part"))
+    total = None
+    for level in range(len(fronts) - 2, -1, -1):
+        # (1 + part) / ways of the next level's nodes goes back along the edges that lead to them
+        ahead = fronts[level + 1].join(share, ["seed", "node"], "left").select("seed", F.col("node").alias("next"), ((1 + F.coalesce("part", F.lit(0.0))) / F.col("ways")).alias("each"))
+        own = fronts[level].join(step, fronts[level]["node"] == step["src"]).select("seed", "node", "ways", F.col("dst").alias("next"))
+        back = own.join(ahead, ["seed", "next"]).groupBy("seed", "node").agg(F.sum(F.col("ways") * F.col("each")).alias("part"))
+        share = saved(back)
+        if level:
+            part = share.select("node", "part")
+            total = part if total is None else total.unionByName(part)
+    nodes = step.select(F.col("src").alias("node")).unionByName(step.select(F.col("dst").alias("node"))).distinct()
+    if total is None:
+        return nodes.withColumn("score", F.lit(0.0))
+    sums = total.groupBy("node").agg(F.sum("part").alias("score"))
+    return nodes.join(sums, "node", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def shortest_path(edges: DataFrame, start, goal, most: int = 20) -> DataFrame:
+    """One shortest undirected way as (step, node) rows, the least node at every step back; none where there is no way."""
+    spark, both = edges.sparkSession, by_node(undirected(edges), "src")
+    kind = both.schema["src"].dataType
+    front = saved(both.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"), F.lit(0).alias("hop")))
+    seen = front
+    for hop in range(1, most + 1):
+        if seen.filter(F.col("node") == F.lit(goal)).count() or front.isEmpty():
+            break
+        near = front.join(both, front["node"] == both["src"]).select(F.col("dst").alias("node")).distinct()
+        front = saved(near.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)))
+        seen = saved(seen.unionByName(front))
+    found = seen.filter(F.col("node") == F.lit(goal)).first()
+    way = []
+    if found:
+        way = [(found["hop"], found["node"])]
+        while way[-1][0]:
+            hop, node = way[-1]
+            before = both.filter(F.col("src") == F.lit(node)).join(seen.filter(F.col("hop") == hop - 1), F.col("dst") == F.col("node"))
+            way.append((hop - 1, before.agg(F.min("dst")).first()[0]))
+    return spark.createDataFrame(way[::-1], f"step int, node {kind.simpleString()}")
+
+
+def community_density(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """Size, inner edges and density E / (N (N - 1) / 2) of communities (node, community); 0 for one member."""
+    a, b = members.withColumnsRenamed({"node": "src"}), members.withColumnsRenamed({"node": "dst", "community": "_other"})
+    inner = edges.select("src", "dst").join(a, "src").join(b, "dst").filter(F.col("community") == F.col("_other")).groupBy("community").agg(F.count("*").alias("_i"))
+    sizes = members.groupBy("community").agg(F.count("*").alias("size")).join(inner, "community", "left").withColumn("inner_edges", F.coalesce("_i", F.lit(0)))
+    n = F.col("size")
+    return sizes.select("community", "size", "inner_edges", F.when(n > 1, F.col("inner_edges") / (n * (n - 1) / 2)).otherwise(0.0).alias("density"))
+
+
+def community_delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(community, delta) between two snapshots (community, node): new, removed, updated or same.
+
+    Members are compared by count and two independent digests, so no community is gathered.
+    """
+    def digest(rows, name):
+        h = F.xxhash64(F.lit(1), "node"), F.xxhash64(F.lit(2), "node")
+        return rows.distinct().groupBy("community").agg(F.struct(F.count("*").alias("n"), F.bit_xor(h[0]).alias("x"), F.sum(h[1].cast("decimal(20,0)")).alias("s")).alias(name))
+
+    rows = digest(after, "a").join(digest(before, "b"), "community", "full_outer")
+    delta = F.when(F.col("b").isNull(), "new").when(F.col("a").isNull(), "removed").when(F.col("a") != F.col("b"), "updated").otherwise("same")
+    return rows.select("community", delta.alias("delta"))
+
+
+def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """One row: modularity of communities (node, community) over undirected edges (each once)."""
+    both = undirected(edges)
+    deg = both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("k")).join(members, "node")
+    total = deg.groupBy("community").agg(F.sum("k").alias("k"))
+    a, b = members.withColumnsRenamed({"node": "src"}), members.withColumnsRenamed({"node": "dst", "community": "_other"})
+    inner = both.join(a, "src").join(b, "dst").filter(F.col("community") == F.col("_other")).groupBy("community").agg(F.count("*").alias("i"))
+    every = deg.agg(F.sum("k").alias("m"))  # both directions: twice the edges
+    rows = total.join(inner, "community", "left").crossJoin(F.broadcast(every))  # one row
+    part = F.coalesce("i", F.lit(0)) / F.col("m") - (F.col("k") / F.col("m")) * (F.col("k") / F.col("m"))
+    return rows.agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("modularity"))

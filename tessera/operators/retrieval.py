@@ -7,44 +7,135 @@ key that makes it total.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text, vectors
-from tessera.session import small
+from tessera.session import saved
 
 K1, B, RRF_K = 1.5, 0.75, 60
+#: Queries of a block (texts, vectors), numbers of a matrix held at once.
+QUERIES, VECTORS, CELLS = 1_000, 2_000, 1 << 22
 
 
-def postings(docs: DataFrame, id_: str = "doc_id", body: str = "text", wanted: DataFrame | None = None) -> DataFrame:
-    """(id, term, tf, dl) rows, of the ``wanted`` terms where given; documents without text or terms have none."""
-    terms = docs.select(F.col(id_).alias("id"), text.tokens(F.col(body)).alias("ts")).withColumn("dl", F.size("ts"))
-    each = terms.select("id", "dl", F.explode("ts").alias("term"))
-    if wanted is not None:
-        each = each.join(wanted, "term", "left_semi")  # before the shuffle
-    return each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def terms_of(docs: DataFrame, id_: str = "doc_id", body: str = "text") -> DataFrame:
+    """(id, term): a row for every token that is no stop word."""
+    each = docs.select(F.col(id_).alias("id"), F.explode(F.split(F.lower(F.col(body)), r"\s+")).alias("term"))
+    return each.filter((F.col("term") != "") & ~F.col("term").isin(*text.STOP_WORDS))
 
 
-def corpus_stats(docs: DataFrame, body: str = "text") -> DataFrame:
-    """One row: documents with terms and their mean length."""
-    lengths = docs.select(F.size(text.tokens(F.col(body))).alias("dl")).filter("dl > 0")
-    return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def blocks_of(queries: DataFrame, rows: int = QUERIES) -> list[DataFrame]:
+    """The queries in blocks of about ``rows``; each block is bounded, and meets all documents."""
+    n = max(1, -(-queries.count() // rows))
+    return [queries] if n == 1 else [queries.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == k) for k in range(n)]
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, id, score) of every document that shares a term with a query (qid, text).
+def all_of(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
-    idf = ln(1 + (n - df + 0.5) / (df + 0.5)). Only postings of query terms are
-    joined; document frequencies come from the whole corpus.
+
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, id, score, rank) of the ``k`` best documents of every query (qid, text), later ids first on ties."""
+    return top(bm25(docs, queries, k1, b, k), k, tie_desc=True)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, k: int | None = None) -> DataFrame:
+    """(qid, id, score) of every document that shares a term with a query (qid, text), or of the ``k`` best at least.
+
+    idf = ln(1 + (n - df + 0.5) / (df + 0.5)). The documents are read once for a block
+    of queries: a document's tokens become its length and its query terms in one
+    aggregate. Batches of documents then meet the queries as matrices, and only each
+    batch's best go on.
     """
-    asked = queries.select("qid", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
-    wanted = small(asked.select("term").distinct())
-    found = postings(docs, wanted=wanted)
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    scored = found.join(df, "term").join(asked, "term").crossJoin(F.broadcast(corpus_stats(docs)))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    def block(part: DataFrame) -> DataFrame:
+        wanted, of_query = _asked(part)
+        terms = docs.sparkSession.createDataFrame(list(wanted.items()) or [("", 0)], "term string, t int")
+        found = terms_of(docs).join(F.broadcast(terms), "term", "left")  # bounded with its block
+        found = saved(found.groupBy("id").agg(F.count("*").alias("dl"), F.collect_list("t").alias("ts")))
+        stats = found.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+        return _scored(found, wanted, of_query, stats["n"], stats["avgdl"], k, k1, b)
+
+    return all_of([block(part) for part in blocks_of(queries)])
+
+
+def _asked(queries: DataFrame) -> tuple[dict[str, int], dict]:
+    """A block's terms by number, and the numbers of each query."""
+    rows = queries.select("qid", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term")).collect()
+    wanted = {term: i for i, term in enumerate(sorted({r["term"] for r in rows}))}
+    of_query: dict = {}
+    for r in rows:
+        of_query.setdefault(r["qid"], []).append(wanted[r["term"]])
+    return wanted, of_query
+
+
+def _scored(found: DataFrame, wanted: dict[str, int], of_query: dict, n: int, avgdl: float, k: int | None, k1: float, b: float) -> DataFrame:
+    """Each batch's best rows (qid, id, score) of documents (id, dl, ts: numbers of query terms, repeated as in the text)."""
+    spark, width = found.sparkSession, len(wanted)
+    df = np.zeros(max(width, 1))
+    for r in found.select(F.explode(F.array_distinct("ts")).alias("t")).groupBy("t").count().collect():
+        df[r["t"]] = r["count"]
+    qids = list(of_query)
+    asks = np.zeros((len(df), len(qids)), bool)
+    for q, qid in enumerate(qids):
+        asks[of_query[qid], q] = True
+    shared = spark.sparkContext.broadcast((np.log(1 + (n - df + 0.5) / (df + 0.5)), asks))
+    kinds = {"id": found.schema["id"].dataType, "qid": "long"}
+    names = pa.array(qids)
+
+    def run(batches):
+        idf, ask = shared.value
+        ask = ask.astype(np.float64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, max(1, CELLS // len(idf))):
+                batch = whole.slice(at, max(1, CELLS // len(idf)))
+                ts = batch.column("ts")
+                sizes = np.asarray(pa.compute.list_value_length(ts))
+                doc, t = np.repeat(np.arange(len(sizes)), sizes), ts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                tf = np.bincount(doc * len(idf) + t, minlength=len(sizes) * len(idf)).reshape(len(sizes), len(idf)).astype(np.float64)
+                dl = batch.column("dl").to_numpy().astype(np.float64)[:, None]
+                score = np.round((idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))) @ ask, 6)
+                yield from best_of(batch.column("id"), names, score, score > 0, k)
+
+    return found.mapInArrow(run, f"qid {kinds['qid']}, id {kinds['id'].simpleString()}, score double")
+
+
+def best_of(ids: pa.Array, qids: pa.Array, score: np.ndarray, fits: np.ndarray, k: int | None):
+    """Of a batch's scores (rows x queries), rows with a query's k-th best score or a better one (no k: all that fit)."""
+    score = np.where(fits, score, -np.inf)
+    least = np.partition(score, -k, axis=0)[-k] if k and len(score) > k else np.full(score.shape[1], -np.inf)
+    row, q = np.nonzero(fits & (score >= least))
+    if len(row):
+        yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), ids.take(pa.array(row)), pa.array(score[row, q])], names=["qid", "id", "score"])
+
+
+def write_index(docs: DataFrame, path: str, parts: int = 64) -> None:
+    """Postings (term, id, tf) and lengths (id, dl) as Parquet; postings are dealt to ``parts`` folders by term."""
+    each = saved(terms_of(docs).groupBy("id", "term").agg(F.count("*").alias("tf")))
+    part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
+    each.withColumn("part", part).repartition("part").sortWithinPartitions("term").write.partitionBy("part").parquet(f"{path}/postings")
+    each.groupBy("id").agg(F.sum("tf").alias("dl")).write.parquet(f"{path}/lengths")
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, parts: int = 64, k1: float = K1, b: float = B) -> DataFrame:
+    """As ``bm25_top``, from a written index: only the folders of the queries' terms are read."""
+    postings, lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+
+    def block(part: DataFrame) -> DataFrame:
+        wanted, of_query = _asked(part)
+        terms = spark.createDataFrame(list(wanted.items()) or [("", 0)], "term string, t int")
+        folders = [r["part"] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part")).distinct().collect()]
+        own = postings.filter(F.col("part").isin(folders)).join(F.broadcast(terms), "term")
+        own = own.groupBy("id").agg(F.flatten(F.collect_list(F.array_repeat("t", F.col("tf").cast("int")))).alias("ts"))
+        return _scored(saved(own.join(lengths, "id")), wanted, of_query, stats["n"], stats["avgdl"], k, k1, b)
+
+    return top(all_of([block(part) for part in blocks_of(queries)]), k, tie_desc=True)
 
 
 def top(scored: DataFrame, k: int, by: str = "score", tie: str = "id", tie_desc: bool = False, group: str = "qid") -> DataFrame:
@@ -56,18 +147,82 @@ def top(scored: DataFrame, k: int, by: str = "score", tie: str = "id", tie_desc:
 def knn(points: DataFrame, queries: DataFrame, least: float | None = None) -> DataFrame:
     """(qid, id, score) of every point (id, embedding) for every query (qid, q_embedding): exact cosine.
 
-    The queries are a bounded table (counted before it is broadcast); points are read
-    once and not shuffled before the ranking. Norms are computed once a row.
+    For few queries (centres); the queries come in blocks of a bounded size, each
+    broadcast; points are not shuffled before the ranking. Norms are computed once a row.
     """
     left = points.withColumn("norm", vectors.norm(F.col("embedding")))
     right = queries.withColumn("q_norm", vectors.norm(F.col("q_embedding")))
-    both = left.join(small(right, 10_000), F.size("embedding") == F.size("q_embedding"))
     size = F.col("norm") * F.col("q_norm")
     score = F.when(size > 0, vectors.dot(F.col("embedding"), F.col("q_embedding")) / size).otherwise(0.0)
-    out = both.select("qid", "id", F.round(score, 6).alias("score"))
+
+    def block(part: DataFrame) -> DataFrame:
+        both = left.join(F.broadcast(part), F.size("embedding") == F.size("q_embedding"))  # a block is bounded
+        return both.select("qid", "id", F.round(score, 6).alias("score"))
+
+    out = all_of([block(part) for part in blocks_of(right)])
     return out.filter(F.col("score") >= least) if least is not None else out
 
 
+def knn_top(points: DataFrame, queries: DataFrame, k: int, scoped: bool = False, rows: int = VECTORS) -> DataFrame:
+    """(qid, id, score, rank) of the ``k`` nearest points, see ``_nearest``."""
+    return top(_nearest(points, queries, k, None, scoped, rows), k)
+
+
+def knn_within(points: DataFrame, queries: DataFrame, least: float, rows: int = VECTORS) -> DataFrame:
+    """(qid, id, score) of the points of a query's scope at ``least`` or nearer, without the query itself."""
+    return _nearest(points, queries, None, least, True, rows)
+
+
+def _nearest(points: DataFrame, queries: DataFrame, k: int | None, least: float | None, scoped: bool, rows: int) -> DataFrame:
+    """(qid, id, score) of the ``k`` nearest points (id, embedding[, scope]) of every query (qid, q_embedding[, scope]).
+
+    Exact cosine, 0 for a zero vector. A block of queries is broadcast as a matrix and
+    meets all points in batches, of which only the best go on. ``scoped``: only points
+    of the query's scope, without the query itself (id = qid).
+    """
+    names = ["scope"] if scoped else []
+    kind = points.schema["id"].dataType.simpleString()
+
+    def block(part: DataFrame) -> DataFrame:
+        own = part.select("qid", F.col("q_embedding").cast("array<double>").alias("v"), *names).collect()
+        by_size: dict[int, list] = {}
+        for r in own:
+            if r["v"]:
+                by_size.setdefault(len(r["v"]), []).append(r)
+        made = {d: ([r["qid"] for r in rs], _units(np.array([r["v"] for r in rs])), [r["scope"] for r in rs] if scoped else None) for d, rs in by_size.items()}
+        shared = points.sparkSession.sparkContext.broadcast(made)
+
+        def run(batches):
+            for batch in batches:
+                size = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(batch.column("v")), 0))
+                for d, (qids, unit, scope) in shared.value.items():
+                    for at in _cut(np.flatnonzero(size == d), max(1, CELLS // max(len(qids), d))):
+                        rows = batch.take(pa.array(at))
+                        x = _units(rows.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(at), d))
+                        score = np.round(x @ unit.T, 6)
+                        fits = np.ones(score.shape, bool) if least is None else score >= least
+                        if scoped:
+                            same = np.array(rows.column("scope").to_pylist(), object)[:, None] == np.array(scope, object)[None, :]
+                            fits &= same & (np.array(rows.column("id").to_pylist(), object)[:, None] != np.array(qids, object)[None, :])
+                        yield from best_of(rows.column("id"), pa.array(qids), score, fits, k)
+
+        # components are finite or the row has no neighbours
+        fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+        read = points.select("id", F.col("embedding").cast("array<double>").alias("v"), *names).filter(fine)
+        return read.mapInArrow(run, f"qid {kind}, id {kind}, score double")
+
+    return all_of([block(part) for part in blocks_of(queries, rows)])
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def _cut(at: np.ndarray, most: int):
+    return [at[k : k + most] for k in range(0, len(at), most)]
+
+
 def fuse(channels: list[DataFrame], k: int = RRF_K, weights: list[float] | None = None) -> DataFrame:
     """Reciprocal rank fusion of ranked channels (qid, id, rank): sum of w / (k + rank)."""
     weights = weights or [1.0] * len(channels)
@@ -90,6 +245,13 @@ def entity_boost(fused: DataFrame, ranked_entities: DataFrame, mentions: DataFra
     return out.withColumn("final_score", F.round(F.col("score") + alpha * F.col("boost"), 9))
 
 
+def expand(found: DataFrame, mentions: DataFrame, k: int) -> DataFrame:
+    """(qid, id, overlap): chunks that share most entities with a query's found chunks (qid, id), without these."""
+    seen = found.join(mentions, "id").select("qid", "entity").distinct()
+    near = seen.join(mentions, "entity").groupBy("qid", "id").agg(F.count("*").alias("overlap")).join(found, ["qid", "id"], "left_anti")
+    return top(near, k, by="overlap").select("qid", "id", "overlap")
+
+
 def first_by(rows: DataFrame, key: Column, *order: Column) -> DataFrame:
     """The first row of each key."""
     place = Window.partitionBy(key).orderBy(*order)

@@ -89,9 +89,8 @@ x AS (SELECT user_id, q, s, n, greatest(1.0, least(n, q * (n + 1)))::DOUBLE AS p
 SELECT user_id, q, round(s[floor(pos)::INT] + (s[least(floor(pos)::INT + 1, n)] - s[floor(pos)::INT]) * (pos - floor(pos)), 6) AS value FROM x""")
 def percentiles_exclusive(spark, d):
     """Exclusive p50, p95 and p99 of each user's values."""
-    rows = events(spark, d).groupBy("user_id").agg(F.sort_array(F.collect_list("value")).alias("s"))
-    each = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), an.exclusive_quantile(F.col("s"), q).alias("v")) for q in (0.5, 0.95, 0.99)]))
-    return rows.select("user_id", each.alias("x")).select("user_id", F.col("x.q").alias("q"), F.round("x.v", 6).alias("value"))
+    found = an.exclusive_quantiles(events(spark, d), ["user_id"], "value", (0.5, 0.95, 0.99))
+    return found.withColumn("value", F.round("value", 6))
 
 
 @query("""SELECT event_type AS stage, count(*) FILTER (value <= 1.0) AS le_1_0, count(*) FILTER (value <= 5.0) AS le_5_0, count(*) FILTER (value <= 10.0) AS le_10_0, count(*) FILTER (value <= 50.0) AS le_50_0, count(value) AS le_inf FROM events GROUP BY event_type""")

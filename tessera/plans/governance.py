@@ -5,26 +5,30 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import governance as gv
+from tessera.operators.filters import delete_where
 from tessera.plans.registry import query
 from tessera.sources.tables import events, load
 
-_FAM = {k: v.replace("'", "''") for k, v in gv.FAMILIES.items()}
+def _all(*families):
+    return "list_sort(list_distinct(list_concat(" + ", ".join(f"regexp_extract_all(text, '{p}')" for f in families for p in gv.FAMILIES[f]) + ", CAST([] AS VARCHAR[]))))"
 
 
-def _listed(family):
-    return f"list_sort(list_distinct(regexp_extract_all(text, '{_FAM[family]}')))"
+@query("SELECT doc_id, " + ", ".join(f"array_to_string({_all(*fs)}, ';') AS {name}" for name, fs in gv.CATEGORIES.items()) + " FROM documents")
+def pii_detect(spark, d):
+    """Sorted distinct matches of each category."""
+    return load(spark, d, "documents").select("doc_id", *[F.array_join(gv.category(F.col("text"), c), ";").alias(c) for c in gv.CATEGORIES])
 
 
-@query("SELECT doc_id, " + ", ".join(f"array_to_string({_listed(f)}, ',') AS {f}" for f in ("email", "ssn", "iban", "phone")) + " FROM documents")
-def pii_detect(spark, d):
-    """Sorted distinct matches of each family."""
-    return load(spark, d, "documents").select("doc_id", *[F.array_join(gv.detected(F.col("text"), f), ",").alias(f) for f in ("email", "ssn", "iban", "phone")])
+@query("SELECT doc_id, " + ", ".join(f"len({_all(f)})::BIGINT AS {f}" for f in gv.FAMILIES if f != "card") + " FROM documents")
+def pii_families(spark, d):
+    """Distinct matches of each family."""
+    return load(spark, d, "documents").select("doc_id", *[F.size(gv.detected(F.col("text"), f)).cast("long").alias(f) for f in gv.FAMILIES if f != "card"])
 
 
 _DIGIT = "substr(dg, length(dg) - i::INT, 1)::INT"
 
 
-@query(f"""WITH m AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{_FAM["card"]}')) AS card FROM documents), g AS (SELECT doc_id, card, regexp_replace(card, '[^0-9]', '', 'g') AS dg FROM m),
+@query(f"""WITH m AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{gv.FAMILIES["card"][0]}')) AS card FROM documents), g AS (SELECT doc_id, card, regexp_replace(card, '[ -]', '', 'g') AS dg FROM m WHERE regexp_matches(regexp_replace(card, '[ -]', '', 'g'), '^[0-9]+$')),
 x AS (SELECT doc_id, card, dg, unnest(range(0, length(dg)::BIGINT)) AS i FROM g),
 s AS (SELECT doc_id, card, sum(CASE WHEN i % 2 = 0 THEN {_DIGIT} WHEN {_DIGIT} > 4 THEN 2 * {_DIGIT} - 9 ELSE 2 * {_DIGIT} END) AS t FROM x GROUP BY ALL)
 SELECT doc_id, card FROM s WHERE t % 10 = 0""")
@@ -34,8 +38,9 @@ def card_luhn(spark, d):
 
 
 _RED = "text"
-for _f in gv.FAMILIES:
-    _RED = f"regexp_replace({_RED}, '{_FAM[_f]}', '[{_f.upper()}]', 'g')"
+for _f in ("email", "ssn", "tax", "card", "iban", "ipv6", "ipv4"):
+    for _p in gv.FAMILIES[_f]:
+        _RED = f"regexp_replace({_RED}, '{_p}', '[{_f.upper()}]', 'g')"
 
 
 @query(f"SELECT doc_id, {_RED} AS redacted FROM documents")
@@ -43,21 +48,36 @@ def redact(spark, d):
     return load(spark, d, "documents").select("doc_id", gv.redacted(F.col("text")).alias("redacted"))
 
 
-@query("""WITH o AS (SELECT user_id, event_id, sha256(event_id || ':' || event_type) AS own FROM events), p AS (SELECT user_id, event_id, own, coalesce(lag(own) OVER (PARTITION BY user_id ORDER BY event_id), '') AS prev FROM o)
-SELECT user_id, event_id, prev, sha256(own || prev) AS hash FROM p""")
+_CHAIN = """o AS (SELECT user_id, event_id, event_id || ':' || event_type AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+c AS (SELECT user_id, event_id, rn, '' AS prev, sha256(payload) AS hash FROM o WHERE rn = 1 UNION ALL SELECT o.user_id, o.event_id, o.rn, c.hash, sha256(o.payload || c.hash) FROM c JOIN o ON o.user_id = c.user_id AND o.rn = c.rn + 1)"""
+
+
+@query(f"WITH RECURSIVE {_CHAIN} SELECT user_id, event_id, prev, hash FROM c")
 def audit_chain(spark, d):
-    """Hash chain of each actor's events."""
-    payload = F.concat_ws(":", F.col("event_id").cast("string"), "event_type")
-    return gv.chained(events(spark, d), "user_id", ["event_id"], payload).select("user_id", "event_id", "prev", "hash")
+    """Hash chain of each actor's events: every hash covers all before it."""
+    return gv.chained(events(spark, d), "user_id", ["event_id"], audit_payload()).select("user_id", "event_id", "prev", "hash")
 
 
-@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, lag(event_id) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE event_id % 977 = 0 OR before % 977 = 0")
+def audit_payload():
+    return F.concat_ws(":", F.col("event_id").cast("string"), "event_type")
+
+
+@query("""SELECT user_id, event_id, CASE WHEN event_id % 971 = 0 THEN 'hash' ELSE 'link' END AS why FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
+WHERE event_id % 971 = 0 OR (before % 977 = 0 AND before % 971 <> 0)""")
 def audit_breaks(spark, d):
-    """Events whose chain a changed payload breaks: itself and its successor."""
-    payload = F.concat_ws(":", F.col("event_id").cast("string"), "event_type")
-    chain = gv.chained(events(spark, d), "user_id", ["event_id"], payload)
-    forged = chain.withColumn("event_type", F.when(F.col("event_id") % 977 == 0, "forged").otherwise(F.col("event_type")))
-    return gv.breaks(forged, "user_id", ["event_id"], payload).select("user_id", "event_id")
+    """Where a chain is broken: at events changed since, and behind events changed together with their hash."""
+    chain = gv.chained(events(spark, d), "user_id", ["event_id"], audit_payload())
+    plain, sealed = F.col("event_id") % 971 == 0, (F.col("event_id") % 977 == 0) & (F.col("event_id") % 971 != 0)
+    forged = chain.withColumn("event_type", F.when(plain | sealed, "forged").otherwise(F.col("event_type")))
+    forged = forged.withColumn("hash", F.when(sealed, F.sha2(F.concat(audit_payload(), "prev"), 256)).otherwise(F.col("hash")))
+    return gv.breaks(forged, "user_id", ["event_id"], audit_payload()).select("user_id", "event_id", "why")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type = 'purchase' AND event_id NOT IN (SELECT event_id FROM events WHERE value > 50)")
+def audit_append(spark, d):
+    """Events of a batch whose ids the log does not hold yet."""
+    rows = events(spark, d)
+    return gv.new_only(rows.filter("value > 50"), rows.filter("event_type = 'purchase'").select("event_id", "event_type"), "event_id")
 
 
 @query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'HOUSEHOLD')")
@@ -71,10 +91,10 @@ def subject_export(spark, d):
     return gv.export(events(spark, d).select("user_id", "event_id", "event_type"), "user_id", "event_id")
 
 
-@query("SELECT count(*) FILTER (ts < TIMESTAMP '2024-01-10') AS removed, count(*) FILTER (ts >= TIMESTAMP '2024-01-10') AS kept FROM events")
+@query("SELECT event_id, user_id, ts FROM events WHERE NOT ts < TIMESTAMP '2024-01-10'")
 def audit_purge(spark, d):
-    old = F.col("ts") < "2024-01-10"
-    return events(spark, d).agg(F.count_if(old).alias("removed"), F.count_if(~old).alias("kept"))
+    """The log without events before the cut."""
+    return delete_where(events(spark, d), F.col("ts") < "2024-01-10").select("event_id", "user_id", "ts")
 
 
 @query("SELECT user_id, event_type, count(*) AS n, min(ts) AS first_ts FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' AND list_contains(['view', 'purchase'], event_type) GROUP BY ALL")

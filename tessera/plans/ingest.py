@@ -8,7 +8,7 @@ from tessera.operators import entities as en
 from tessera.operators import retrieval as r
 from tessera.plans.chain import Chain
 from tessera.plans.registry import query
-from tessera.plans.retrieval import _COS, BM25_SQL, asked, dense
+from tessera.plans.retrieval import BM25_SQL, COS, ENTITY_SQL, asked, dense, entity_ranks
 from tessera.sources import readers
 from tessera.sources.tables import events, load
 
@@ -22,25 +22,35 @@ def format_dispatch(spark, d):
     return load(spark, d, "pages").select("page_id", readers.parser_of(path).alias("parser"))
 
 
-@query("""SELECT doc_id, source AS src, regexp_replace(lang || '/x/data/' || source, '^.*data', '') AS path, n_chars::BIGINT AS n FROM documents WHERE lang IN ('en', 'fr')""")
+@query("""SELECT doc_id, source AS src, regexp_replace(lang || '/x/data/' || source, '^.*data', '') AS path, n_chars::BIGINT AS n FROM documents""")
 def metadata_cleaning(spark, d):
     """Allowed keys only; paths are cut behind the last ``data``."""
-    rows = load(spark, d, "documents").filter(F.col("lang").isin("en", "fr"))
+    rows = load(spark, d, "documents")
     path = F.regexp_replace(F.concat("lang", F.lit("/x/data/"), "source"), "^.*data", "")
     return rows.select("doc_id", F.col("source").alias("src"), path.alias("path"), F.col("n_chars").alias("n"))
 
 
 @query()
 def adaptive_chunks(spark, d):
-    """A source's documents as sections, merged to chunks; tests compare the fold with a loop."""
-    rows = load(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("seq"), F.substring("text", 1, 40).alias("heading"), "text", F.floor(F.length("text") / 4).cast("long").alias("tokens"))
+    """A document's paragraphs as sections, merged to chunks; tests compare the fold with a loop."""
+    lines = F.posexplode(F.split("text", "\n")).alias("seq", "text")
+    rows = load(spark, d, "documents").select("doc_id", lines).withColumn("tokens", F.floor(F.length("text") / 4).cast("long"))
+    rows = rows.withColumn("heading", F.substring("text", 1, 40))
     return en.section_chunks(rows).select("doc_id", "chunk_no", F.size("headings").cast("long").alias("n_sections"), "tokens")
 
 
-@query()
+_ENTITY = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '\\s+', '_', 'g'), '[^\\p{{L}}\\p{{N}}_]', '', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g')"
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT p_partkey AS id, p_brand AS kind, {_ENTITY.format("CASE WHEN p_partkey % 7 = 0 THEN p_name || 's' WHEN p_partkey % 7 = 1 THEN 'x' || p_name ELSE p_name END")} AS key FROM part),
+x AS (SELECT kind, key, min(id) AS rep FROM n GROUP BY ALL),
+l AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.kind = b.kind AND a.key <> b.key WHERE (least(length(a.key), length(b.key)) >= 5 AND levenshtein(a.key, b.key) <= 2) OR (least(length(a.key), length(b.key)) >= 6 AND (contains(a.key, b.key) OR contains(b.key, a.key)))),
+r AS (SELECT rep AS id, rep AS c FROM x UNION SELECT r.id, l.b FROM r JOIN l ON r.c = l.a), m AS (SELECT id, min(c) AS canonical FROM r GROUP BY id)
+SELECT n.id AS id, canonical FROM n JOIN x ON x.kind = n.kind AND x.key = n.key JOIN m ON m.id = x.rep""")
 def entity_resolution(spark, d):
-    """Part names with typing errors resolved by blocks, edits and containment; tests use literal cases."""
-    name = F.when(F.col("p_partkey") % 7 == 0, F.concat("p_name", F.lit("s"))).otherwise(F.col("p_name"))
+    """Part names with typing errors resolved by edits and containment."""
+    k = F.col("p_partkey") % 7
+    name = F.when(k == 0, F.concat("p_name", F.lit("s"))).when(k == 1, F.concat(F.lit("x"), "p_name")).otherwise(F.col("p_name"))
     names = load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("kind"), name.alias("name"))
     return en.same_entities(names)
 
@@ -58,23 +68,28 @@ def adaptive_rerank(spark, d):
     return en.adaptive_rerank(rows, profiles, "2024-02-01", 5).select("qid", "id", "score", "rank")
 
 
-@query(f"""WITH {BM25_SQL}, w AS (SELECT * FROM (VALUES ('factual', 0.3::DOUBLE, 0.3::DOUBLE), ('keyword', 0.1::DOUBLE, 0.6::DOUBLE), ('exploratory', 0.2::DOUBLE, 0.1::DOUBLE), ('summary', 0.1::DOUBLE, 0.0::DOUBLE)) t(intent, wv, wb)),
+#: Channel weights of each intent: vector, keyword, graph local, graph global (fixed values).
+PROFILES = [("factual", 0.3, 0.3, 0.4, 0.0), ("keyword", 0.1, 0.6, 0.3, 0.0), ("exploratory", 0.2, 0.1, 0.2, 0.5), ("summary", 0.1, 0.0, 0.1, 0.8)]
+_PROFILES = ", ".join("('" + p[0] + "', " + ", ".join(f"{x}::DOUBLE" for x in p[1:]) + ")" for p in PROFILES)
+
+
+@query(f"""WITH {BM25_SQL}, {ENTITY_SQL}, w AS (SELECT * FROM (VALUES {_PROFILES}) t(intent, wv, wb, wl, wg)),
 a AS (SELECT qid, id, 'b' AS ch, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id DESC) AS rank FROM bm),
-dn AS (SELECT b.vec_id AS qid, a.vec_id AS id, {_COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id IN (SELECT item_id FROM benchmark)),
+dn AS (SELECT b.vec_id AS qid, a.vec_id AS id, {COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id IN (SELECT item_id FROM benchmark)),
 v AS (SELECT qid, id, 'v' AS ch, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM dn),
-un AS (SELECT * FROM a WHERE rank <= 20 UNION ALL SELECT * FROM v WHERE rank <= 20),
-s AS (SELECT intent, qid, id, round(sum(CASE ch WHEN 'v' THEN wv ELSE wb END / (60 + rank)), 9) AS score FROM un, w GROUP BY ALL)
+un AS (SELECT * FROM a WHERE rank <= 20 UNION ALL SELECT * FROM v WHERE rank <= 20 UNION ALL SELECT qid, id, 'l', rank FROM local_ WHERE rank <= 20 UNION ALL SELECT qid, id, 'g', rank FROM global_ WHERE rank <= 20),
+s AS (SELECT intent, qid, id, round(sum(CASE ch WHEN 'v' THEN wv WHEN 'b' THEN wb WHEN 'l' THEN wl ELSE wg END / (60 + rank)), 9) AS score FROM un, w GROUP BY ALL)
 SELECT intent, qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY intent, qid ORDER BY score DESC, id) AS k FROM s) WHERE k <= 3""")
 def four_way_profiles(spark, d):
-    """Ranked channels weighted by each intent's profile."""
+    """Vector, keyword, graph local and graph global channels weighted by each intent's profile."""
     from pyspark.sql import Window
 
-    words = r.top(r.bm25(load(spark, d, "documents"), asked(spark, d)), 20, tie_desc=True).withColumn("ch", F.lit("b"))
-    near = r.top(dense(spark, d), 20).withColumn("ch", F.lit("v"))
-    profiles = spark.createDataFrame([("factual", 0.3, 0.3), ("keyword", 0.1, 0.6), ("exploratory", 0.2, 0.1), ("summary", 0.1, 0.0)], "intent string, wv double, wb double")
-    every = words.select("qid", "id", "ch", "rank").unionByName(near.select("qid", "id", "ch", "rank")).crossJoin(F.broadcast(profiles))  # four rows
-    part = F.when(F.col("ch") == "v", F.col("wv")).otherwise(F.col("wb")) / (60 + F.col("rank"))
-    scored = every.groupBy("intent", "qid", "id").agg(F.round(F.sum(part), 9).alias("score"))
+    local, overall = entity_ranks(spark, d)
+    parts = {"b": r.bm25_top(load(spark, d, "documents"), asked(spark, d), 20), "v": dense(spark, d, 20), "l": local.filter("rank <= 20"), "g": overall.filter("rank <= 20")}
+    every = r.all_of([rows.select("qid", "id", F.lit(ch).alias("ch"), "rank") for ch, rows in parts.items()])
+    profiles = spark.createDataFrame(PROFILES, "intent string, v double, b double, l double, g double")
+    weight = F.coalesce(*[F.when(F.col("ch") == c, F.col(c)) for c in parts])
+    scored = every.crossJoin(F.broadcast(profiles)).groupBy("intent", "qid", "id").agg(F.round(F.sum(weight / (60 + F.col("rank"))), 9).alias("score"))  # four rows
     w = Window.partitionBy("intent", "qid").orderBy(F.desc("score"), "id")
     return scored.withColumn("k", F.row_number().over(w)).filter("k <= 3").select("intent", "qid", "id", "score")
 

@@ -90,12 +90,12 @@ def multi_model_merge(spark, d):
     return rows.withColumn("r", F.row_number().over(w)).filter("r = 1").select("name", "model", "event_id")
 
 
-@query("""WITH a AS (SELECT event_id, event_type FROM events WHERE event_type IN ('view', 'click')), seen AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND ts < TIMESTAMP '2024-01-03')
-SELECT e.user_id, min(e.event_id) AS first_event, 'llm' AS source FROM events e WHERE e.event_type = 'purchase' AND e.user_id NOT IN (SELECT user_id FROM seen) GROUP BY e.user_id UNION ALL SELECT user_id, event_id, 'ner' FROM events WHERE event_type = 'view' AND ts < TIMESTAMP '2024-01-03'""")
+@query("""WITH a AS (SELECT event_id, event_type FROM events WHERE event_type IN ('view', 'click')), seen AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND value >= 20)
+SELECT e.user_id, min(e.event_id) AS first_event, 'llm' AS source FROM events e WHERE e.event_type = 'purchase' AND e.user_id NOT IN (SELECT user_id FROM seen) GROUP BY e.user_id UNION ALL SELECT user_id, event_id, 'ner' FROM events WHERE event_type = 'view' AND value >= 20""")
 def consolidate_entities(spark, d):
-    """The first extractor's rows stay whole; the second one's are added once where unseen."""
+    """The first extractor's sure rows stay whole; the second one's are added once where unseen."""
     rows = events(spark, d)
-    ner = rows.filter((F.col("event_type") == "view") & (F.col("ts") < "2024-01-03"))
+    ner = rows.filter((F.col("event_type") == "view") & (F.col("value") >= 20))
     llm = rows.filter("event_type = 'purchase'").join(ner.select("user_id").distinct(), "user_id", "left_anti").groupBy("user_id").agg(F.min("event_id").alias("first_event"))
     return llm.withColumn("source", F.lit("llm")).unionByName(ner.select("user_id", F.col("event_id").alias("first_event"), F.lit("ner").alias("source")))
 

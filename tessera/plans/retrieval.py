@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.functions import vectors
 from tessera.operators import retrieval as r
 from tessera.plans.registry import query
+from tessera.session import shared_dir, small
 from tessera.sources.tables import load
 
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
@@ -26,38 +28,52 @@ bm AS (SELECT qid, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5
 """
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
-_COS = f"round({_DOT.format('a.embedding', 'b.embedding')} / (sqrt({_DOT.format('a.embedding', 'a.embedding')}) * sqrt({_DOT.format('b.embedding', 'b.embedding')})), 6)"
+COS = f"round({_DOT.format('a.embedding', 'b.embedding')} / (sqrt({_DOT.format('a.embedding', 'a.embedding')}) * sqrt({_DOT.format('b.embedding', 'b.embedding')})), 6)"
 
 
 def asked(spark, d):
     return load(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
-def dense(spark, d):
-    """Queries: every vector whose id is an item's id, against all vectors."""
-    points = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    ids = load(spark, d, "benchmark").select(F.col("item_id").alias("id"))
-    queries = points.join(F.broadcast(ids.distinct()), "id").select(F.col("id").alias("qid"), F.col("embedding").alias("q_embedding"))
-    return r.knn(points, queries)
+def dense(spark, d, k):
+    """Queries: the vectors of the benchmark items' ids, against all vectors."""
+    points = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    ids = load(spark, d, "benchmark").select(F.col("item_id").alias("id")).distinct()
+    queries = points.join(small(ids), "id").select(F.col("id").alias("qid"), F.col("embedding").alias("q_embedding"))
+    return r.knn_top(points, queries, k)
+
+
+def every_fiftieth(spark, d):
+    """The stated set of vector queries: every row whose id is divisible by 50."""
+    points = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("scope"))
+    return points, points.filter("id % 50 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("q_embedding"), "scope")
 
 
 @query(f"WITH {BM25_SQL}, rk AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id DESC) AS rank FROM bm) SELECT * FROM rk WHERE rank <= 10")
 def bm25_topk(spark, d):
     """Keyword search: ten best documents of every item, later ids first on ties."""
-    return r.top(r.bm25(load(spark, d, "documents"), asked(spark, d)), 10, tie_desc=True)
+    return r.bm25_top(load(spark, d, "documents"), asked(spark, d), 10)
+
+
+@query(f"WITH {BM25_SQL}, rk AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id DESC) AS rank FROM bm) SELECT * FROM rk WHERE rank <= 10")
+def bm25_index(spark, d):
+    """The same search from an index that is written and read again."""
+    path = f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}"
+    r.write_index(load(spark, d, "documents"), path)
+    return r.search_index(spark, path, asked(spark, d), 10)
 
 
-@query(f"""SELECT qid, id, score, rank FROM (SELECT b.vec_id AS qid, a.vec_id AS id, {_COS} AS score,
-    row_number() OVER (PARTITION BY b.vec_id ORDER BY {_COS} DESC, a.vec_id) AS rank
-    FROM embeddings a, embeddings b WHERE b.vec_id IN (SELECT item_id FROM benchmark)) WHERE rank <= 10""")
+@query(f"""SELECT qid, id, score, rank FROM (SELECT b.vec_id AS qid, a.vec_id AS id, {COS} AS score,
+    row_number() OVER (PARTITION BY b.vec_id ORDER BY {COS} DESC, a.vec_id) AS rank
+    FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0) WHERE rank <= 10""")
 def knn_topk(spark, d):
-    """Exact dense search: ten nearest vectors."""
-    return r.top(dense(spark, d), 10)
+    """Exact dense search: ten nearest vectors of every fiftieth one."""
+    return r.knn_top(*every_fiftieth(spark, d), 10)
 
 
 _HYBRID = f"""WITH {BM25_SQL},
 bmr AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id DESC) AS rank FROM bm),
-dn AS (SELECT b.vec_id AS qid, a.vec_id AS id, {_COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id IN (SELECT item_id FROM benchmark)),
+dn AS (SELECT b.vec_id AS qid, a.vec_id AS id, {COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id IN (SELECT item_id FROM benchmark)),
 dnr AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM dn),
 un AS (SELECT qid, id, {{w0}} / (60 + rank) AS part FROM bmr WHERE rank <= 40 UNION ALL SELECT qid, id, {{w1}} / (60 + rank) FROM dnr WHERE rank <= 20),
 fused AS (SELECT qid, id, round(sum(part), 9) AS score FROM un GROUP BY qid, id)
@@ -65,8 +81,7 @@ fused AS (SELECT qid, id, round(sum(part), 9) AS score FROM un GROUP BY qid, id)
 
 
 def channels(spark, d):
-    words = r.top(r.bm25(load(spark, d, "documents"), asked(spark, d)), 40, tie_desc=True)
-    return [words, r.top(dense(spark, d), 20)]
+    return [r.bm25_top(load(spark, d, "documents"), asked(spark, d), 40), dense(spark, d, 20)]
 
 
 @query(_HYBRID.format(w0="1.0::DOUBLE", w1="1.0::DOUBLE") + """
@@ -105,17 +120,52 @@ def cross_modal_boost(spark, d):
 _CHUNK_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: length(w) >= 9))"
 
 
-@query(f"""WITH men AS (SELECT doc_id AS id, unnest({_CHUNK_WORDS}) AS entity FROM documents),
-asked AS (SELECT item_id AS qid, unnest({_CHUNK_WORDS}) AS entity FROM benchmark)
-SELECT * FROM (SELECT qid, id, count(DISTINCT entity) AS n_entities, row_number() OVER (PARTITION BY qid ORDER BY count(DISTINCT entity) DESC, id) AS rank
-FROM asked JOIN men USING (entity) GROUP BY qid, id) WHERE rank <= 5""")
-def entity_chunks(spark, d):
-    """Chunks that mention most of a query's entities."""
+#: Graph channels: entities are long words, their communities share the first two letters.
+ENTITY_SQL = f"""men AS (SELECT doc_id AS id, unnest({_CHUNK_WORDS}) AS entity FROM documents), named AS (SELECT item_id AS qid, unnest({_CHUNK_WORDS}) AS entity FROM benchmark),
+local_ AS (SELECT qid, id, count(*) AS n_entities, row_number() OVER (PARTITION BY qid ORDER BY count(*) DESC, id) AS rank FROM named JOIN men USING (entity) GROUP BY qid, id),
+topic AS (SELECT qid, community FROM (SELECT qid, substr(entity, 1, 2) AS community, row_number() OVER (PARTITION BY qid ORDER BY count(*) DESC, substr(entity, 1, 2)) AS k FROM named GROUP BY qid, substr(entity, 1, 2)) WHERE k <= 3),
+inside AS (SELECT id, substr(entity, 1, 2) AS community, count(*) AS n FROM men GROUP BY ALL),
+global_ AS (SELECT qid, id, sum(n)::BIGINT AS n_entities, row_number() OVER (PARTITION BY qid ORDER BY sum(n) DESC, id) AS rank FROM topic JOIN inside USING (community) GROUP BY qid, id)"""
+
+
+def mentions_of(rows, id_):
+    """(id, entity): the long words of each text, once."""
     long = F.array_distinct(F.filter(tx.words(F.col("text")), lambda w: F.length(w) >= 9))
-    mentions = load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(long).alias("entity"))
-    wanted = asked(spark, d).select("qid", F.explode(long).alias("entity"))
-    counts = mentions.join(wanted, "entity").groupBy("qid", "id").agg(F.count("*").alias("n_entities"))
-    return r.top(counts, 5, by="n_entities")
+    return rows.select(F.col(id_).alias("id"), F.explode(long).alias("entity"))
+
+
+def entity_ranks(spark, d):
+    """The graph channels: chunks by the query's entities they mention, and by all entities of its three communities."""
+    men, named = mentions_of(load(spark, d, "documents"), "doc_id"), mentions_of(load(spark, d, "benchmark"), "item_id").withColumnRenamed("id", "qid")
+    community = F.substring("entity", 1, 2).alias("community")
+    local = men.join(named, "entity").groupBy("qid", "id").agg(F.count("*").alias("n_entities"))
+    w = Window.partitionBy("qid").orderBy(F.desc("n"), "community")
+    topic = named.groupBy("qid", community).agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(w)).filter("k <= 3").select("qid", "community")
+    inside = men.groupBy("id", community).agg(F.count("*").alias("n"))
+    overall = inside.join(topic, "community").groupBy("qid", "id").agg(F.sum("n").alias("n_entities"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("n_entities"), "id"))
+    return local.withColumn("rank", rank), overall.withColumn("rank", rank)
+
+
+@query(f"WITH {ENTITY_SQL} SELECT * FROM local_ WHERE rank <= 5")
+def entity_chunks(spark, d):
+    """Graph local: chunks that mention most of a query's entities."""
+    return entity_ranks(spark, d)[0].filter("rank <= 5")
+
+
+@query(f"WITH {ENTITY_SQL} SELECT * FROM global_ WHERE rank <= 5")
+def community_chunks(spark, d):
+    """Graph global: chunks with most entities of the query's communities."""
+    return entity_ranks(spark, d)[1].filter("rank <= 5")
+
+
+@query(f"""WITH {ENTITY_SQL}, top_ AS (SELECT qid, id, rank FROM local_ WHERE rank <= 10), seen AS (SELECT DISTINCT qid, entity FROM top_ JOIN men USING (id)),
+o AS (SELECT qid, id, count(*) AS overlap FROM seen JOIN men USING (entity) WHERE NOT EXISTS (SELECT 1 FROM top_ WHERE top_.qid = seen.qid AND top_.id = men.id) GROUP BY qid, id)
+SELECT qid, id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, id) AS k FROM o) WHERE k <= 10""")
+def entity_expansion(spark, d):
+    """Chunks that share most entities with the ten found first, without these."""
+    men = mentions_of(load(spark, d, "documents"), "doc_id")
+    return r.expand(entity_ranks(spark, d)[0].filter("rank <= 10").select("qid", "id"), men, 10)
 
 
 @query(f"""WITH c AS (SELECT label, [avg(x) FOR x IN []]::DOUBLE[] AS z FROM embeddings GROUP BY label),
@@ -135,16 +185,11 @@ def domain_classify(spark, d):
     return best.select("vec_id", "domain", "score")
 
 
-@query(f"""SELECT qid, id, score FROM (SELECT b.vec_id AS qid, a.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_COS} DESC, a.vec_id) AS r
-FROM embeddings a, embeddings b WHERE b.vec_id IN (SELECT item_id FROM benchmark) AND a.vec_id <> b.vec_id AND a.label = b.label) WHERE r = 1 AND score >= 0.3""")
+@query(f"""SELECT qid, id, score FROM (SELECT b.vec_id AS qid, a.vec_id AS id, {COS} AS score, row_number() OVER (PARTITION BY b.vec_id ORDER BY {COS} DESC, a.vec_id) AS r
+FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND a.label = b.label) WHERE r = 1 AND score >= 0.3""")
 def semantic_cache_probe(spark, d):
     """The nearest other entry of the same namespace (label), if near enough."""
-    points = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    ids = load(spark, d, "benchmark").select(F.col("item_id").alias("id")).distinct()
-    queries = points.join(F.broadcast(ids), "id").select(F.col("id").alias("qid"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
-    both = points.join(F.broadcast(queries), (F.col("label") == F.col("q_label")) & (F.col("id") != F.col("qid")))
-    scored = both.select("qid", "id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return r.top(scored, 1).filter("score >= 0.3").select("qid", "id", "score")
+    return r.knn_top(*every_fiftieth(spark, d), 1, scoped=True).filter("score >= 0.3").select("qid", "id", "score")
 
 
 @query(_HYBRID.format(w0="1.0::DOUBLE", w1="1.0::DOUBLE") + """

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 _SHIPPED: dict[str, str] = {}
+_LOCAL: dict[str, str] = {}
 
 
 def session(name: str = "tessera", **conf: str) -> SparkSession:
@@ -40,6 +41,27 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(_SHIPPED[app])
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where all run on this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return _LOCAL[app]
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder by ``checkpoint()``; partitioning is kept, lost executors are survived."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast only where it is counted to hold at most ``rows`` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

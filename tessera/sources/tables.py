@@ -22,23 +22,3 @@ def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"))
         .agg(F.sum("l_quantity").alias("weight"))
     )
-
-
-def trade_edges(spark: SparkSession, sf_dir: str, top: int = 5) -> DataFrame:
-    """Each nation's ``top`` partner nations by lines from its suppliers to their customers (src, dst, n)."""
-    from pyspark.sql import Window
-
-    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
-    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    customers = load(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("dst"))
-    suppliers = load(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("src"))
-    counts = (
-        lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .filter("src <> dst")
-        .groupBy("src", "dst")
-        .agg(F.count("*").alias("n"))
-    )
-    best = Window.partitionBy("src").orderBy(F.desc("n"), "dst")
-    return counts.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= top).drop("r")
