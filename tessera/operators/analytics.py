@@ -94,3 +94,38 @@ def latest_fields(rows: DataFrame, keys: list[str], seq: str, fields: list[str])
     """Partial updates folded: for each key the last non-null value of every field."""
     last = [F.max(F.when(F.col(f).isNotNull(), F.struct(F.col(seq).alias("s"), F.col(f).alias("v"))))["v"].alias(f) for f in fields]
     return rows.groupBy(*keys).agg(*last)
+
+
+def cache_stats(keys: DataFrame, group: str, requests: str) -> DataFrame:
+    """Hits, misses and hit rate (percent) of a cache from the requests of each key: the first one misses."""
+    hits, misses = F.sum(F.col(requests) - 1), F.count("*")
+    return keys.groupBy(group).agg(hits.alias("hits"), misses.alias("misses"), F.round(hits / (hits + misses) * 100, 2).alias("hit_rate"))
+
+
+def stored_entries(log: DataFrame, key: list[str], ts: str, now: Column, ttl: int) -> DataFrame:
+    """Entries of a key-value log: last written, accesses, and seconds left to live (negative: expired)."""
+    rows = log.groupBy(*key).agg(F.max(ts).alias("stored"), F.count("*").alias("accesses"))
+    age = F.floor((F.unix_micros(now) / 1_000_000)) - F.floor(F.unix_micros(F.col("stored").cast("timestamp")) / 1_000_000)
+    return rows.withColumn("ttl", F.lit(ttl) - age)
+
+
+def rebalance(budgets: DataFrame, manager: str, skill: str, total: int) -> DataFrame:
+    """(manager, skill, allocated) after one pass in order: used below 30 % shrinks to 70 %, above 90 % grows by what is free.
+
+    ``budgets``: manager, skill, allocated, used. Growth takes the lesser of half the free
+    tokens and the budget itself, so the order counts; a manager's skills are one small group.
+    """
+    kinds = dict(budgets.dtypes)
+
+    def fold(frame):
+        frame = frame.sort_values(skill).reset_index(drop=True)
+        allocated = frame["allocated"].astype("int64").tolist()
+        for k, used in enumerate(frame["used"]):
+            share = used / allocated[k] if allocated[k] else 0.0
+            if share < 0.3:
+                allocated[k] = int(allocated[k] * 0.7)
+            elif share > 0.9:
+                allocated[k] += max(0, min((total - sum(allocated)) // 2, allocated[k]))
+        return frame.assign(allocated=allocated)[[manager, skill, "allocated"]]
+
+    return budgets.groupBy(manager).applyInPandas(fold, f"{manager} {kinds[manager]}, {skill} {kinds[skill]}, allocated long")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import jaccard
+
 #: Noise types and least lengths by type (fixed values).
 NOISE_TYPES = ("CARDINAL", "ORDINAL", "PERCENT", "QUANTITY")
 LEAST_LENGTH = {"DATE": 8, "LANGUAGE": 3}
@@ -57,6 +59,29 @@ def table_quality(cells: Column) -> dict[str, Column]:
     return {"density": density, "rectangular": rectangular, "header": head}
 
 
+def grid_size(grid: Column) -> tuple[Column, Column]:
+    """Rows of a grid (an array of rows) and the cells of its widest row."""
+    return F.size(grid), F.coalesce(F.array_max(F.transform(grid, lambda r: F.size(r))), F.lit(0))
+
+
+def grid_agreement(a: Column, b: Column) -> Column:
+    """0.3 x mean ratio of rows and of columns, 0.5 x Jaccard of the cells' texts, 0.2 x equal places of the first rows."""
+    plain = lambda r: F.transform(r, lambda c: F.lower(F.trim(c)))
+    (rows_a, cols_a), (rows_b, cols_b) = grid_size(a), grid_size(b)
+    sizes = (F.least(rows_a, rows_b) / F.greatest(rows_a, rows_b) + F.least(cols_a, cols_b) / F.greatest(cols_a, cols_b)) / 2
+    cells = lambda g: F.array_distinct(F.filter(plain(F.flatten(g)), lambda c: c != ""))
+    head_a, head_b = plain(F.get(a, F.lit(0))), plain(F.get(b, F.lit(0)))
+    same = F.size(F.filter(F.zip_with(head_a, head_b, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda x: x))
+    heads = F.coalesce(same / F.greatest(F.size(head_a), F.size(head_b)), F.lit(0.0))
+    empty = (rows_a <= 0) | (rows_b <= 0) | (cols_a <= 0) | (cols_b <= 0)
+    return F.when(F.coalesce(empty, F.lit(True)), 0.0).otherwise(0.3 * sizes + 0.5 * jaccard(cells(a), cells(b)) + 0.2 * heads)
+
+
+def cross_validate(score: Column) -> Column:
+    """Whether a table of middling quality is worth a second reading."""
+    return score.between(0.5, 0.85)
+
+
 def grade(score: Column) -> Column:
     return F.when(score >= 0.7, "ingest").when(score >= 0.5, "with_warning").otherwise("rejected")
 
@@ -64,3 +89,10 @@ def grade(score: Column) -> Column:
 def consistency(n: Column, orphans: Column, loose_chunks: Column, no_source: Column) -> Column:
     """1 - (1 oe + 0.3 oc + 0.5 ms) / n, not below 0."""
     return F.when(n > 0, F.greatest(F.lit(0.0), 1 - (orphans + 0.3 * loose_chunks + 0.5 * no_source) / n)).otherwise(F.lit(1.0))
+
+
+def synthesis_quality(length: Column, cited: Column, contexts: Column) -> Column:
+    """Points of an answer for its length, its citations and its contexts."""
+    by_length = F.when(length > 500, 0.3).when(length > 200, 0.15).otherwise(0.0)
+    by_citation = F.when(cited > 0, 0.2 + F.when(cited / F.greatest(contexts, F.lit(1)) > 0.3, 0.2).otherwise(0.0)).otherwise(0.0)
+    return by_length + by_citation + F.when(contexts >= 10, 0.3).when(contexts >= 5, 0.15).otherwise(0.0)

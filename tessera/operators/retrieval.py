@@ -277,3 +277,26 @@ def within_budget(rows: DataFrame, budget: int, group: str, *order: Column, cost
     """Rows of each group in order while their running cost stays in the budget (it stops at the first overflow)."""
     run = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("used", F.sum(cost).over(run)).filter(F.col("used") <= budget)
+
+
+def merged_sizes(found: DataFrame, query: str, part: str) -> DataFrame:
+    """Rows of a query's sub-results put together, and of the fullest of them (the first of equals)."""
+    sizes = found.groupBy(query, part).agg(F.count("*").alias("n"))
+    best = F.max(F.struct("n", (-F.col(part)).alias("o")))["n"]
+    return sizes.groupBy(query).agg(F.sum("n").alias("concatenated"), best.alias("best"))
+
+
+def holding(texts: DataFrame, terms: DataFrame, body: str, term: str) -> DataFrame:
+    """Pairs of texts and terms that they hold as they stand (lower-cased).
+
+    The terms come in blocks that are broadcast as one list; each text is searched once a block.
+    """
+    def block(part: DataFrame) -> DataFrame:
+        words = part.groupBy(term).agg(F.collect_list(F.struct(*part.columns)).alias("_t"))
+        one = words.agg(F.collect_list(F.struct(F.col(term).alias("w"), F.col("_t").alias("t"))).alias("_all"))  # a bounded block
+        hit = F.filter("_all", lambda x: F.lower(F.col(body)).contains(x["w"]))
+        rows = texts.crossJoin(F.broadcast(one)).withColumn("_hit", F.explode(F.flatten(F.transform(hit, lambda x: x["t"]))))
+        return rows.select(*[c for c in texts.columns], *[F.col("_hit")[c].alias(c) for c in part.columns])
+
+    keyed = terms.withColumn("qid", F.xxhash64(term))
+    return all_of([block(part.drop("qid")) for part in blocks_of(keyed)])
