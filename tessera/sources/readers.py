@@ -64,6 +64,70 @@ def export_csv(rows: DataFrame, path: str, order: str) -> None:
     rows.orderBy(F.desc(order)).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+#: One request of a ledger; the total of tokens and the month are derived.
+REQUEST = "timestamp timestamp, provider string, model string, task_type string, task_id string, tokens_input long, tokens_output long, cost_usd double, latency_ms double, routing_reason string, fallback_used boolean"
+
+
+def append_requests(rows: DataFrame, path: str) -> None:
+    """Append requests to a ledger that is partitioned by month."""
+    total = rows.withColumn("tokens_total", F.coalesce("tokens_input", F.lit(0)) + F.coalesce("tokens_output", F.lit(0)))
+    total.withColumn("month", F.date_format("timestamp", "yyyy-MM")).write.mode("append").partitionBy("month").parquet(path)
+
+
+def read_requests(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """A ledger's requests of the months ``first`` to ``last`` (yyyy-MM, inclusive): other months are not read."""
+    rows = spark.read.parquet(path).withColumn("month", F.col("month").cast("string"))
+    rows = rows.filter(F.col("month") >= first) if first else rows
+    return rows.filter(F.col("month") <= last) if last else rows
+
+
+#: A rerank training pair and a benchmark sample.
+PAIR = "query string, intent string, doc_id string, semantic_score double, keyword_score double, recency_score double, relevance_label double"
+SAMPLE = "id string, question string, ground_truth string, contexts array<string>, doc_type string, question_type string, difficulty string"
+
+
+def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines of a schema (training pairs, samples); lines that aren't JSON go."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """One JSON object a line; null fields are kept."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def manifest(samples: DataFrame) -> DataFrame:
+    """The table beside exported samples: sizes instead of texts."""
+    sizes = F.aggregate("contexts", F.lit(0), lambda a, c: a + F.length(c))
+    return samples.select(
+        "id", "doc_type", "question_type", "difficulty", F.length("question").alias("question_length"), F.length("ground_truth").alias("answer_length"),
+        F.size("contexts").alias("context_count"), sizes.alias("total_context_length"),
+    )
+
+
+def training_lines(samples: DataFrame, form: str = "both") -> DataFrame:
+    """(task, text, labels): samples for entity or relation training, or both, which makes two rows of each."""
+    tasks = {"entity": "entities", "relation": "relations"}
+    wanted = tasks if form == "both" else {form: tasks[form]}
+    each = F.explode(F.array(*[F.struct(F.lit(task).alias("task"), "text", F.to_json(column).alias("labels")) for task, column in wanted.items()]))
+    return samples.select(each.alias("x")).select("x.*")
+
+
+def write_weights(spark: SparkSession, weights: dict[str, dict[str, float]], path: str) -> None:
+    """Learned weights of each intent as JSON lines."""
+    rows = [(intent, own) for intent, own in sorted(weights.items())]
+    spark.createDataFrame(rows, "intent string, weights map<string,double>").coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_weights(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("intent string, weights map<string,double>").json(path)
+
+
+def index_docs(chunks: DataFrame) -> DataFrame:
+    """Chunks as the keyword index takes them."""
+    return chunks.select(F.col("chunk_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("namespace", F.lit("default")).alias("namespace"))
+
+
 # ---- benchmark sets: every one becomes (question_id, question, answer, contexts, source) ----------
 
 
@@ -105,3 +169,8 @@ def fever(rows: DataFrame) -> DataFrame:
 
 def ragbench(rows: DataFrame) -> DataFrame:
     return _normal(rows, "ragbench", F.col("question"), F.col("response"), F.col("documents"), F.col("id"))
+
+
+def log_questions(rows: DataFrame) -> DataFrame:
+    """Questions on logs: the log lines are the context."""
+    return _normal(rows, "logqa", F.col("question"), F.col("answer"), F.split("log", "\n"), F.col("id"))
