@@ -118,13 +118,18 @@ def grams(plane: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
 def word_scripts(plane: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The script of most of each word's characters (the first in order where two tie)."""
-    sizes, n = ends - starts, len(SCRIPTS)
+    out, n = _SCRIPT_OF[plane[starts]], len(SCRIPTS)
+    high = np.concatenate(([0], np.cumsum(plane >= 128)))
+    some = np.flatnonzero(high[ends] > high[starts])  # words of ASCII letters are Latin
+    starts, ends = starts[some], ends[some]
+    sizes = ends - starts
     at = np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
     script = _SCRIPT_OF[plane[at]]
     first = script >= 0  # first bytes of characters
     joint = np.repeat(np.arange(len(starts)), sizes)[first] * n + script[first]
     counts = np.bincount(joint, minlength=len(starts) * n).reshape(-1, n)
-    return np.where(counts.any(axis=1), counts.argmax(axis=1), -1).astype(np.int8)
+    out[some] = np.where(counts.any(axis=1), counts.argmax(axis=1), -1)
+    return out
 
 
 @dataclass
