@@ -37,8 +37,8 @@ from tessera.llm.common import freeing, slices, table, written
 from tessera.llm.tokens import byte_bpe
 
 SIZE, SEPARATOR = 1024, 2
-#: Pieces of a bucket at most (about); a length's ranks are spread over the buckets.
-BUCKET_ROWS = 50_000
+#: Buckets over which a length's ranks are spread at least, and pieces of a bucket at most (about).
+BUCKETS, BUCKET_ROWS = 512, 50_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -124,7 +124,7 @@ def packed(docs: DataFrame, size: int = SIZE, separator: int = SEPARATOR, bucket
     alone = (-1 - F.monotonically_increasing_id()).alias("sequence_id")  # the table is written, so its rows keep their places
     full = every.filter(F.col("length") == size).select(*_ARROW.names, alone, F.lit(0).cast("long").alias("offset"))
     cut = every.filter(F.col("length") < size)
-    buckets = max(1, -(-cut.count() // bucket_rows))
+    buckets = max(BUCKETS, -(-cut.count() // bucket_rows))
     cut = cut.withColumn("b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     counts = written(cut.groupBy("length", "b").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
