@@ -85,8 +85,9 @@ def _scored(found: DataFrame, wanted: dict[str, int], of_query: dict, n: int, av
     for q, qid in enumerate(qids):
         asks[of_query[qid], q] = True
     shared = spark.sparkContext.broadcast((np.log(1 + (n - df + 0.5) / (df + 0.5)), asks))
-    kinds = {"id": found.schema["id"].dataType, "qid": "long"}
-    names = pa.array(qids)
+    words = bool(qids) and isinstance(qids[0], str)
+    kinds = {"id": found.schema["id"].dataType, "qid": "string" if words else "long"}
+    names = pa.array(qids, pa.string() if words else pa.int64())
 
     def run(batches):
         idf, ask = shared.value
@@ -204,7 +205,7 @@ def _nearest(points: DataFrame, queries: DataFrame, k: int | None, least: float
                         if scoped:
                             same = np.array(rows.column("scope").to_pylist(), object)[:, None] == np.array(scope, object)[None, :]
                             fits &= same & (np.array(rows.column("id").to_pylist(), object)[:, None] != np.array(qids, object)[None, :])
-                        yield from best_of(rows.column("id"), pa.array(qids), score, fits, k)
+                        yield from best_of(rows.column("id"), pa.array(qids, rows.column("id").type), score, fits, k)
 
         # components are finite or the row has no neighbours
         fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
