@@ -94,12 +94,12 @@ def importance(spark, d):
     return load(spark, d, "conversations").select("conv_id", "turn", F.round(score, 6).alias("importance"))
 
 
-@query("""SELECT user_id, event_type, string_agg(event_id::VARCHAR, '|' ORDER BY event_id) AS merged, round(avg(value), 4) AS mean, min(ts) AS first_ts FROM events GROUP BY ALL""")
+@query("""SELECT user_id, event_type, string_agg(event_id::VARCHAR, '|' ORDER BY event_id) AS merged, round(avg(value), 9) AS mean, min(ts) AS first_ts FROM events GROUP BY ALL""")
 def fact_consolidation(spark, d):
     """A cluster's facts as one: joined, mean importance, first time."""
     rows = events(spark, d)
     ids = F.array_join(F.transform(F.sort_array(F.collect_list("event_id")), lambda x: x.cast("string")), "|")
-    return rows.groupBy("user_id", "event_type").agg(ids.alias("merged"), F.round(F.avg("value"), 4).alias("mean"), F.min("ts").alias("first_ts"))
+    return rows.groupBy("user_id", "event_type").agg(ids.alias("merged"), F.round(F.avg("value"), 9).alias("mean"), F.min("ts").alias("first_ts"))
 
 
 @query("""SELECT user_id, total, CASE WHEN total >= 900 THEN 'accept_full' WHEN total >= 500 THEN 'accept' ELSE 'reject' END AS decision FROM (SELECT user_id, round(sum(value), 4) AS total FROM events WHERE event_type = 'view' GROUP BY user_id)""")
