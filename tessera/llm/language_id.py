@@ -206,10 +206,13 @@ def word_scores(model: Model, plane: np.ndarray, starts: np.ndarray, ends: np.nd
     """Words x languages: summed evidence; languages without the word's script are out."""
     n, m = len(starts), len(model.langs)
     out = np.zeros((n, m))
+    columns = [np.ascontiguousarray(model.weights[:, k]).astype(np.float64) for k in range(m)]
     for code, word in grams(plane, starts, ends):
-        own = model.weights[code]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(word)), bool), word[1:] != word[:-1])))  # grams lie word by word
+        own = word[first]
         for k in range(m):
-            out[:, k] += np.bincount(word, own[:, k], n)
+            if len(own):
+                out[own, k] += np.add.reduceat(columns[k][code], first)
     script = word_scripts(plane, starts, ends)
     allowed = np.where(script[:, None] >= 0, model.uses[script], True)
     allowed |= ~allowed.any(axis=1, keepdims=True)
