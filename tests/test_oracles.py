@@ -34,5 +34,5 @@ def test_same_rows(spark, sf, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(ORACLES)))
-def test_other_queries_run(spark, sf, name):
-    assert catalog.queries()[name](spark, sf).count() >= 0
+def test_other_queries_give_rows(spark, sf, name):
+    assert catalog.queries()[name](spark, sf).count() > 0
