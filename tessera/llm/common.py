@@ -44,11 +44,25 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     The table survives lost executors and is computed once, however often it is
-    read. The folder is the cluster's to clear after the job.
+    read. ``consumed`` deletes it; what is left is the cluster's to clear after the job.
     """
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table_ = df.sparkSession.read.schema(df.schema).parquet(path)
+    table_.folder = path
+    return table_
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store whose rows nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def consumed(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made, when what was made from them is written itself."""
+    for df in tables:
+        removed(df.sparkSession, df.folder)
 
 
 def lean(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from tessera.llm import (
+    codebooks,
     decontaminate,
     embedding_dedup,
+    kmeans,
     language_id,
+    line_dedup,
     near_dedup,
     oracles,
     packing,
@@ -42,10 +45,20 @@ def queries() -> dict[str, Callable]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
         "op10_pii": pii.op10_pii,
+        "op11_line_dedup": line_dedup.op11_line_dedup,
+        "op12_centroids": kmeans.op12_centroids,
+        "op13_vector_codes": codebooks.op13_vector_codes,
         "pipeline": corpus_pipeline.run,
     }
     return {name: _lean(query) for name, query in own.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": oracles.DECONTAMINATION.strip(), "op7_near_dedup": oracles.NEAR_DEDUP.strip()}
+    own = {
+        "op2_decontamination": oracles.DECONTAMINATION,
+        "op7_near_dedup": oracles.NEAR_DEDUP,
+        "op11_line_dedup": oracles.LINE_DEDUP,
+        "op12_centroids": oracles.CENTROIDS,
+        "op13_vector_codes": oracles.CODEBOOKS,
+    }
+    return {name: sql.strip() for name, sql in own.items()}

@@ -50,4 +50,4 @@ def test_packing_covers_every_document(steps):
 def test_registered():
     names = set(__spark_entry__.queries())
     assert {"pipeline", *(n for n in names if n.startswith("op"))} <= names
-    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{k}" for k in range(1, 14)}
