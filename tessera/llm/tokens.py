@@ -21,14 +21,21 @@ from pyspark.sql import functions as F
 from tessera.llm.common import freeing, slices, table
 
 
+#: Blanks in a row from which a text is encoded by ``tokenizers``: the rank encoder's pattern fails at 10^6.
+LONG_BLANK = 100_000
+_LONG_BLANK = re.compile(r"\s{%d}" % LONG_BLANK)
+
+
 @cache
 def byte_bpe(path: str | None = None) -> Callable[[str], list[int]]:
     """Encode a text with the byte-level vocabulary; its added tokens are found in the text, as by ``tokenizers``.
 
     ``path`` names a file of ranks, which has no added tokens; the public ``byte_bpe_50k`` one where not given.
+    Texts with ``LONG_BLANK`` blanks in a row are encoded by ``tokenizers`` itself.
     """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
@@ -37,7 +44,16 @@ def byte_bpe(path: str | None = None) -> Callable[[str], list[int]]:
         with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
             added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
     coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
-    return lambda text: coder.encode(text, allowed_special="all") if any(t in text for t in added) else coder.encode_ordinary(text)
+    plain = cache(lambda: Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= LONG_BLANK and _LONG_BLANK.search(text):
+            return plain().encode(text, add_special_tokens=False).ids
+        if any(t in text for t in added):
+            return coder.encode(text, allowed_special="all")
+        return coder.encode_ordinary(text)
+
+    return encode
 
 
 def n_tokens():
