@@ -73,7 +73,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
         for run in _DOTTED.finditer(text):
             if run.group().count(".") >= 3:
                 for m in _IP.finditer(text, run.start(), run.end()):
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+                    if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
                         out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14:
