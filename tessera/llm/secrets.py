@@ -191,7 +191,7 @@ def scan(docs: DataFrame) -> DataFrame:
     # in the order of a base span's start and a token's end, all base spans that begin before a token's end precede it
     random = F.coalesce(F.col("kind") == 3, F.lit(False))
     before = Window.partitionBy("row").orderBy(F.when(random, F.col("end")).otherwise(F.col("start")), F.when(random, 0).otherwise(1))
-    reach = F.max(F.when(~random, F.col("end"))).over(before.rowsBetween(Window.unboundedPreceding, 0))
+    reach = F.max(F.when(F.col("kind") < 3, F.col("end"))).over(before.rowsBetween(Window.unboundedPreceding, 0))
     every = every.withColumn("reach", reach).filter(~random | (F.coalesce("reach", F.lit(0)) <= F.col("start")))
     span = F.when(F.col("kind").isNotNull(), F.struct(F.col("start").cast("int").alias("start"), "kind", F.col("end").cast("int").alias("end")))
     out = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(span)).alias("every"))
