@@ -21,7 +21,8 @@ A row's slot is its bucket's offset in the shard and its number inside the bucke
 one task.
 
 Edge cases: null text has no bytes and the checksum of an empty one; an empty table
-gives no rows; repeated rows, and rows without id, each have a slot.
+gives no rows; repeated rows, and rows without id, each have a slot, and a large group
+is dealt by row, whatever its ids.
 """
 
 from __future__ import annotations
@@ -150,6 +151,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, buc
         n_tokens()(text).alias("tokens"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64(text).alias("h"),
+        F.monotonically_increasing_id().alias("row"),  # the table is written, so its rows keep their numbers
     )
     rows = written(rows, "sizes")
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
@@ -165,10 +167,10 @@ def sharded(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, buc
     known = rows.join(F.broadcast(large), "h", "left")
     alone = F.col("pieces").isNotNull()
     known = known.select(
-        "doc_id", "size", "tokens", "text_crc32",
+        "doc_id", "size", "tokens", "text_crc32", "row",
         F.when(alone, F.col("h")).otherwise(F.pmod("h", F.lit(buckets))).alias("key"),
-        F.when(alone, F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("pieces"))).otherwise(-1).cast("int").alias("piece"),
-        F.when(alone, F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(PARTS))).otherwise(0).cast("int").alias("sub"),
+        F.when(alone, F.pmod(F.xxhash64("row", F.lit(3)), F.col("pieces"))).otherwise(-1).cast("int").alias("piece"),
+        F.when(alone, F.pmod(F.xxhash64("row", F.lit(5)), F.lit(PARTS))).otherwise(0).cast("int").alias("sub"),
     )
     bucket = ["key", "piece", "sub"]
     subs = known.groupBy(*bucket).agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n"))
@@ -181,7 +183,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, buc
         [tuple(map(int, r)) for r in subs[[*bucket, "shard", "first"]].itertuples(index=False)],
         "key long, piece int, sub int, shard int, first long",
     )
-    inside = Window.partitionBy(*bucket).orderBy("doc_id", "text_crc32")
+    inside = Window.partitionBy(*bucket).orderBy("doc_id", "text_crc32", "row")
     return (
         known.withColumn("r", F.row_number().over(inside) - 1)
         .join(F.broadcast(places), bucket)
