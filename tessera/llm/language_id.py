@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, freeing, held_out, run_spans, slices, table, text_plane
+from tessera.llm.common import ascii_lower, freeing, held_out, run_spans, slices, table, text_plane, word_hashes
 
 #: Documents of a language fitted on at most (about), hash buckets, n-gram lengths.
 MOST_ROWS, BUCKETS, GRAMS = 5_000, 1 << 15, (1, 2, 3, 4)
@@ -203,6 +203,12 @@ def fit(docs: DataFrame) -> Model:
 
 
 def word_scores(model: Model, plane: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words x languages, each different word scored once."""
+    _, at, number = np.unique(word_hashes(plane, starts, ends), return_index=True, return_inverse=True)
+    return _scores(model, plane, starts[at], ends[at])[number]
+
+
+def _scores(model: Model, plane: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Words x languages: summed evidence; languages without the word's script are out."""
     n, m = len(starts), len(model.langs)
     out = np.zeros((n, m))
@@ -248,8 +254,9 @@ def viterbi(scores: np.ndarray, first: np.ndarray, docs: np.ndarray) -> dict[int
     going = np.searchsorted(-counts, -np.arange(longest), "left")  # texts with more than t words
     base = np.concatenate(([0], np.cumsum(going)))
     value = np.zeros((len(docs), m))
-    back = np.zeros((int(base[-1]), m), np.int8)
-    keep = np.arange(m)
+    kind = np.min_scalar_type(m)  # as wide as the number of languages needs
+    back = np.zeros((int(base[-1]), m), kind)
+    keep = np.arange(m, dtype=kind)
     for t in range(longest):
         k = going[t]
         now = value[:k]
@@ -261,8 +268,8 @@ def viterbi(scores: np.ndarray, first: np.ndarray, docs: np.ndarray) -> dict[int
             now = np.where(jump, switch[:, None], now)
         value[:k] = now + scores[begin[:k] + t]
     state = value.argmax(axis=1)
-    labels = [np.zeros(c, np.int8) for c in counts]
-    flat = np.zeros(int(base[-1]), np.int8)
+    labels = [np.zeros(c, kind) for c in counts]
+    flat = np.zeros(int(base[-1]), kind)
     for t in range(longest - 1, -1, -1):
         k = going[t]
         flat[base[t] : base[t + 1]] = state[:k]
