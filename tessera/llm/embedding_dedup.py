@@ -22,7 +22,9 @@ Edge cases: vectors that are null, empty or zero, or hold null or non-finite
 components, and rows without label link with nothing; finite vectors of any magnitude
 are scaled by a power of two first; vectors of different sizes are never compared;
 sizes of which fewer vectors than components are known use a fixed random rotation;
-rows with equal vec_id are one node each counted as a row.
+every row is a node of its own: rows with equal vec_id are compared and linked like
+others, a null vec_id is no candidate for the smallest one, and a component of rows
+without id has none (all its rows are kept).
 """
 
 from __future__ import annotations
@@ -100,7 +102,7 @@ def _coded(reps: DataFrame, s: int, tables: int) -> DataFrame:
     spark = reps.sparkSession
     learnt = {}
     for d, n in reps.groupBy("d").count().collect():  # sizes of vectors are few
-        own = sample_below(reps.filter(F.col("d") == d), n, SAMPLE, "id").orderBy("id")
+        own = sample_below(reps.filter(F.col("d") == d), n, SAMPLE, "h").orderBy("h")  # alike however rows are numbered
         x = np.array([r["embedding"] for r in own.select("embedding").collect()], np.float64)
         learnt[d] = learn(unit(x.reshape(len(x), d)), -(-s * tables // d))
     shared = spark.sparkContext.broadcast(learnt)
@@ -120,7 +122,7 @@ def _coded(reps: DataFrame, s: int, tables: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, packed, lists], names=[*batch.schema.names, "code", "keys"])
 
     kind = reps.schema["embedding"].dataType.simpleString()
-    return reps.mapInArrow(freeing(code), f"id long, n long, label string, d int, embedding {kind}, code binary, keys array<long>")
+    return reps.drop("h").mapInArrow(freeing(code), f"id long, n long, label string, d int, embedding {kind}, code binary, keys array<long>")
 
 
 def compare(ids, counts, x, keys, block, table_, first, second):
@@ -176,16 +178,19 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     kind = kind if kind == "array<float>" else "array<double>"
     marked = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(kind).alias("embedding"))
     marked = marked.withColumn("ok", usable()).withColumn("h", F.when(F.col("ok"), _digest()))
-    fine = marked.filter("ok")
-    classes = written(fine.groupBy("h").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "classes")
-    reps = fine.withColumnRenamed("h", "own").join(classes, (F.col("own") == F.col("h")) & (F.col("vec_id") == F.col("id"))).dropDuplicates(["id"])
-    reps = written(reps.select("id", "n", "label", F.size("embedding").alias("d"), "embedding"), "vectors")
+    # rows of a class have equal labels and vectors, so any of them stands for all
+    rep = F.first(F.struct("label", "embedding")).alias("rep")
+    classes = marked.filter("ok").groupBy("h").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"), rep)
+    classes = classes.select("h", "low", "n", "rep.label", "rep.embedding", F.size("rep.embedding").alias("d"))
+    # the table is written, so its rows keep their numbers
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    reps = classes.select("h", "id", "n", "label", "d", "embedding")
     largest = reps.groupBy("label", "d").count().agg(F.max("count")).first()[0] or 0
     s, tables = layout(largest)
     if largest:
         coded = written(_coded(reps, s, tables), "codes")
     else:
-        coded = reps.withColumn("code", F.lit(None).cast("binary")).withColumn("keys", F.lit(None).cast("array<long>"))
+        coded = reps.drop("h").withColumn("code", F.lit(None).cast("binary")).withColumn("keys", F.lit(None).cast("array<long>"))
     bucket = ["label", "d", "t", "key"]
     placed = coded.select("id", "n", "label", "d", "embedding", "code", F.posexplode("keys").alias("t", "key"))
     sizes = placed.groupBy(*bucket).agg(F.count("*").alias("size"))
@@ -201,12 +206,13 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     found = written(found.groupBy("id", "root").agg(F.sum("links").alias("links")), "found")
     comp = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("id").agg(F.sum("links").alias("links"))
-    named = classes.join(linked, "id", "left").join(comp, "id", "left").select(
-        "h", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("c")
-    )
-    out = marked.select("vec_id", "h").join(named, "h", "left")
+    named = classes.select("h", "id", "n", "low").join(linked, "id", "left").join(comp, "id", "left")
+    named = written(named.withColumn("c", F.coalesce("component", "id")), "named")
+    least = named.groupBy("c").agg(F.min("low").alias("least"))
+    named = named.join(least, "c").select("h", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "least")
+    out = marked.select("vec_id", "ok", "h").join(named, "h", "left")
     return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id")
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("ok"), F.col("least")).otherwise(F.col("vec_id")).alias("component_id")
     ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
