@@ -68,6 +68,8 @@ def consumed(*tables: DataFrame) -> None:
 def lean(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Arrow batches of few rows: whole texts are long, and a batch is held by Spark and by its worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    # Spark 4.1 may take a union's parts for dealt alike when they are not
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
 def freeing(run):
