@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import entity_id
-from tessera.operators import graph, retrieval
+from tessera.operators import graph, similarity
 from tessera.session import saved
 
 #: Section chunks: alone above, merged up to (tokens).
@@ -92,10 +92,13 @@ def _inside_names(exact: DataFrame, inside: int) -> DataFrame:
 
 
 def _near_vectors(rows: DataFrame, cosine: float) -> DataFrame:
-    """Pairs (rep, rep2) of one kind whose embeddings are near; each block of rows meets all rows as a matrix."""
-    ask = rows.select(F.col("id").alias("qid"), F.col("embedding").alias("q_embedding"), F.col("kind").alias("scope"))
-    near = retrieval.knn_within(rows.select("id", "embedding", F.col("kind").alias("scope")), ask, cosine)
-    return near.select(F.col("qid").alias("rep"), F.col("id").alias("rep2"))
+    """Pairs (rep, rep2) of one kind whose embeddings are near: equal ones by a digest, others by an exact similarity join."""
+    numbered = saved(rows.withColumn("num", F.monotonically_increasing_id()))
+    members, points = similarity.distinct_vectors(numbered.select(F.col("num").alias("id"), F.col("kind").alias("scope"), "embedding"))
+    links = similarity.near_pairs(points, cosine).select("a", "b").unionByName(members.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    ids = numbered.select("num", "id")
+    links = links.join(ids.withColumnsRenamed({"num": "a", "id": "rep"}), "a").join(ids.withColumnsRenamed({"num": "b", "id": "rep2"}), "b")
+    return links.select("rep", "rep2")
 
 
 def remap(relations: DataFrame, mapping: DataFrame) -> DataFrame:

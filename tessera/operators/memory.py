@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import similarity
+from tessera.operators.analytics import ranks
+
 
 def age_days(ts: Column, now: Column) -> Column:
     return (F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / F.lit(86_400_000_000.0)
@@ -40,3 +43,19 @@ def evict(rows: DataFrame, group: str, share: float, *order: Column) -> DataFram
     w = Window.partitionBy(group)
     ranked = rows.withColumn("_r", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w))
     return ranked.filter(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_r", "_n")
+
+
+def consolidated(memories: DataFrame, least: float = 0.95, share: float = 1.0) -> DataFrame:
+    """Memories (id, embedding, relevance[, scope], ...) without later copies, the ``share`` of most relevance, with their rank.
+
+    In the order of their unique ids a memory is kept if no kept one of its scope is as near as ``least``;
+    one without a direction is always kept. Of these the most relevant go on, lesser ids first on
+    ties, at least one. Ranks are dealt by range, so no task orders all of them.
+    """
+    members, reps = similarity.distinct_vectors(memories)
+    nodes = reps.select("id", F.col("id").alias("place"))
+    keeper = similarity.first_kept(similarity.near_pairs(reps, least), nodes)
+    copies = members.filter("id <> rep").select("id").unionByName(keeper.filter("id <> keeper").select("id"))
+    rows = memories.join(copies, "id", "left_anti").withColumns({"_g": F.lit(0), "_o": -F.coalesce("relevance", F.lit(0.0))})
+    ranked = ranks(rows, ["_g"], "_o", "id").filter(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share)))
+    return ranked.withColumnRenamed("_r", "rank").drop("_g", "_o", "_n")

@@ -20,6 +20,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.unionOutputPartitioning", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
