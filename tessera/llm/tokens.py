@@ -1,8 +1,10 @@
 """Public tokenizers, and edit-aware token counts over pre-token segment trees.
 
 Edge cases: null text is an empty one with no leaf and no token; texts without a space
-are one leaf; edits of a document must lie apart (insertions have start = end), and
-documents without edits are not read again.
+are one leaf; edits of a document lie apart (insertions have start = end): of edits that
+overlap the one that starts first counts, and edits without a place or with an end before
+their start are left out; places behind the text are its end; documents without edits are
+not read again; rows of one doc_id get the edits of that id, each row once.
 """
 
 from __future__ import annotations
@@ -74,7 +76,9 @@ def n_tokens():
 # leaves' counts add up to the text's. A segment tree over the leaves holds the sums
 # of characters and tokens. An edit touches some leaves; those are encoded again, and
 # their neighbours where the edit reaches the characters that make a border sure;
-# the sums on the paths to the root follow. Nothing else is read.
+# the sums on the paths to the root follow. Nothing else is read. What was encoded again
+# is cut to leaves anew, so leaves stay small however often a text is edited; where they
+# are more than the leaves that they replace, the tree is built again from the sums.
 
 LEAF = 512
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
@@ -157,7 +161,7 @@ def edit(text: str, chars: SegmentTree, tokens: SegmentTree, edits: list[tuple[i
             regions[-1][1] = max(last, regions[-1][1])
         else:
             regions.append([first, last])
-    k, read = 0, 0
+    k, read, changed = 0, 0, []
     for first, last in regions:
         low, high = begins[first], begins[last] + chars.sums[chars.n + last]
         parts, at = [], low
@@ -166,15 +170,35 @@ def edit(text: str, chars: SegmentTree, tokens: SegmentTree, edits: list[tuple[i
             parts += [text[at:start], new]
             at, k = end, k + 1
         new = "".join(parts) + text[at:high]
-        chars.put(first, len(new))
-        tokens.put(first, len(encode(new)))
-        for leaf in range(first + 1, last + 1):
-            chars.put(leaf, 0)
-            tokens.put(leaf, 0)
+        ends = leaf_ends(new)
+        parts = [new[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+        changed.append((first, last, [len(p) for p in parts], [len(encode(p)) for p in parts]))
         read += len(new)
+    if all(len(sizes) <= last - first + 1 for first, last, sizes, _ in changed):
+        for first, last, *columns in changed:
+            for tree, own in zip((chars, tokens), columns):
+                for leaf in range(first, last + 1):
+                    tree.put(leaf, own[leaf - first] if leaf - first < len(own) else 0)
+        return read
+    leaves = list(zip(chars.sums[chars.n :], tokens.sums[tokens.n :]))
+    for first, last, *columns in reversed(changed):
+        leaves[first : last + 1] = zip(*columns)
+    leaves = [x for x in leaves if x[0]]
+    for k, tree in enumerate((chars, tokens)):
+        tree.__init__([x[k] for x in leaves])
     return read
 
 
+def apart(edits: list[tuple], size: int) -> list[tuple[int, int, str]]:
+    """Edits (start, end, replacement) in order, within a text of ``size`` characters, without those that make no sense."""
+    out, at = [], 0
+    for start, end, new in sorted((e for e in edits if e[0] is not None and e[1] is not None and 0 <= e[0] <= e[1]), key=lambda e: e[:2]):
+        if start >= at:
+            out.append((min(start, size), min(end, size), new or ""))
+            at = end
+    return out
+
+
 def edited(text: str, edits: list[tuple[int, int, str]]) -> str:
     parts, at = [], 0
     for start, end, new in edits:
@@ -183,28 +207,34 @@ def edited(text: str, edits: list[tuple[int, int, str]]) -> str:
     return "".join(parts) + text[at:]
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t"))
+
+
 def count_trees(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
-    """The stored form: doc_id, sums of characters and of tokens in heap order."""
+    """The stored form: doc_id, a hash of the text, sums of characters and of tokens in heap order."""
 
     def run(batches):
         encode = byte_bpe()
         for batch in batches:
             trees = [trees_of(t or "", encode, leaf) for t in batch.column("text").to_pylist()]
             lists = [pa.array([t[k].sums for t in trees], pa.list_(pa.int64())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "chars", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), *lists], names=["doc_id", "t", "chars", "tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(freeing(run), "doc_id long, chars array<long>, tokens array<long>")
+    return _hashed(docs).mapInArrow(freeing(run), "doc_id long, t long, chars array<long>, tokens array<long>")
 
 
 def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame) -> DataFrame:
     """New sums of the documents that ``edits`` (doc_id, start, end, replacement) touches.
 
-    Edits of a document lie apart and refer to its text before; only edited
-    documents are read. A document's edits are gathered, as its text is.
+    Edits of a document lie apart (see above) and refer to its text before; only edited
+    documents are read. A document's edits are gathered, as its text is. Rows without id have no edits.
     """
-    own = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "replacement"))).alias("edits"))
-    rows = docs.select("doc_id", "text").join(own, "doc_id").join(trees, "doc_id")
+    own = edits.select(F.col("doc_id").cast("long").alias("doc_id"), "start", "end", "replacement")
+    own = own.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "replacement")).alias("edits"))
+    stored = trees.dropDuplicates(["doc_id", "t"])  # equal rows have equal trees
+    rows = _hashed(docs).join(own, "doc_id").join(stored, ["doc_id", "t"])
 
     def run(batches):
         encode = byte_bpe()
@@ -212,7 +242,7 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame) -> DataFram
             out = []
             for r in batch.to_pylist():
                 chars, tokens = SegmentTree.stored(r["chars"]), SegmentTree.stored(r["tokens"])
-                steps = [(e["start"], e["end"], e["replacement"] or "") for e in r["edits"]]
+                steps = apart([(e["start"], e["end"], e["replacement"]) for e in r["edits"]], len(r["text"] or ""))
                 read = edit(r["text"] or "", chars, tokens, steps, encode)
                 out.append((r["doc_id"], tokens.total, read, chars.sums, tokens.sums))
             cols = list(zip(*out)) or [[]] * 5
