@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all documents its predecessor
 kept; all but the last return the columns of ``documents``. ``run`` writes each
-stage's result in the shared folder and reads it back for the next one.
+stage's result in the shared folder, reads it back for the next one, and deletes a
+result when the next one is written.
 
 Some stages learn or search approximately (weak supervision, sketches, a field), so
 no SQL gives the same rows: ``ORACLE_SQL`` is None, and the tests hold the stages
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, near_dedup, packing, pii, toxicity
-from tessera.llm.common import lean, table, written
+from tessera.llm.common import consumed, lean, table, written
 
 ORACLE_SQL = None
 
@@ -64,7 +65,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            consumed(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
