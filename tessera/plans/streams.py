@@ -48,3 +48,18 @@ def session_context(spark, d):
 
     rows = st.sessions(events(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id", "6 hours 1 microsecond")
     return rows.select("user_id", F.col("begins").cast("timestamp_ntz").alias("begins"), "n")
+
+
+@query("""WITH o AS (SELECT *, coalesce((ts - lag(ts) OVER w > INTERVAL 6 HOUR)::INT, 1) AS new_ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(new_) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM o),
+c AS (SELECT *, (lag(event_type) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) IS DISTINCT FROM event_type)::BIGINT AS change FROM r)
+SELECT user_id, min(ts) AS begins, max(ts) AS ends, count(*) AS n, arg_max(event_type, (ts, event_id)) AS status, count(DISTINCT floor(value / 50)) AS n_phases, sum(change)::BIGINT AS n_changes FROM c GROUP BY user_id, run""")
+def job_lifetimes(spark, d):
+    """Lifetimes of job states that expire when nothing is heard for six hours: the twin of the stream with timers."""
+    from pyspark.sql import functions as F
+
+    from tessera.streaming import state
+
+    phase = F.floor(F.col("value") / 50).cast("string").alias("phase")
+    rows = events(spark, d).select("user_id", "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("status"), phase)
+    return state.lifetimes(rows, "user_id", 6 * 3600 * 1000)
