@@ -287,6 +287,24 @@ def merged_sizes(found: DataFrame, query: str, part: str) -> DataFrame:
     return sizes.groupBy(query).agg(F.sum("n").alias("concatenated"), best.alias("best"))
 
 
+def merged_rows(found: DataFrame, query: str, part: str, k: int = RRF_K) -> DataFrame:
+    """(strategy, query, place, id) of sub-results (query, part, id, rank) merged in three ways, each with its order.
+
+    ``concat``: one part after another, an id as often as it was found; ``best``: the fullest
+    part (the first of equals); ``rrf``: by summed reciprocal ranks, lesser ids first on ties.
+    """
+    def ordered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(query).orderBy(*order))  # a query's few results
+        return rows.select(F.lit(name).alias("strategy"), query, place.alias("place"), "id")
+
+    sizes = found.groupBy(query, part).agg(F.count("*").alias("_n"))
+    fullest = sizes.groupBy(query).agg(F.max(F.struct("_n", (-F.col(part)).alias("o")))["o"].alias("_o")).select(query, (-F.col("_o")).alias(part))
+    scores = found.groupBy(query, "id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("_s"))
+    concat = ordered(found, "concat", F.col(part), F.col("rank"), F.col("id"))
+    best = ordered(found.join(fullest, [query, part]), "best", F.col("rank"), F.col("id"))
+    return concat.unionByName(best).unionByName(ordered(scores, "rrf", F.desc("_s"), F.col("id")))
+
+
 def holding(texts: DataFrame, terms: DataFrame, body: str, term: str) -> DataFrame:
     """Pairs of texts and terms that they hold as they stand (lower-cased).
 

@@ -8,7 +8,8 @@ from tessera.operators import entities as en
 from tessera.operators import retrieval as r
 from tessera.plans.chain import Chain
 from tessera.plans.registry import query
-from tessera.plans.retrieval import BM25_SQL, COS, ENTITY_SQL, asked, dense, entity_ranks
+from tessera.plans.retrieval import BM25_SQL, ENTITY_SQL, FEEDBACK, asked, dense, entity_ranks
+from tessera.session import saved
 from tessera.sources import readers
 from tessera.sources.tables import events, load
 
@@ -74,8 +75,7 @@ _PROFILES = ", ".join("('" + p[0] + "', " + ", ".join(f"{x}::DOUBLE" for x in p[
 
 
 @query(f"""WITH {BM25_SQL}, {ENTITY_SQL}, w AS (SELECT * FROM (VALUES {_PROFILES}) t(intent, wv, wb, wl, wg)),
-a AS (SELECT qid, id, 'b' AS ch, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id DESC) AS rank FROM bm),
-dn AS (SELECT b.vec_id AS qid, a.vec_id AS id, {COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id IN (SELECT item_id FROM benchmark)),
+bmr AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id DESC) AS rank FROM bm), a AS (SELECT qid, id, 'b' AS ch, rank FROM bmr), {FEEDBACK.format(k=20)},
 v AS (SELECT qid, id, 'v' AS ch, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM dn),
 un AS (SELECT * FROM a WHERE rank <= 20 UNION ALL SELECT * FROM v WHERE rank <= 20 UNION ALL SELECT qid, id, 'l', rank FROM local_ WHERE rank <= 20 UNION ALL SELECT qid, id, 'g', rank FROM global_ WHERE rank <= 20),
 s AS (SELECT intent, qid, id, round(sum(CASE ch WHEN 'v' THEN wv WHEN 'b' THEN wb WHEN 'l' THEN wl ELSE wg END / (60 + rank)), 9) AS score FROM un, w GROUP BY ALL)
@@ -85,7 +85,8 @@ def four_way_profiles(spark, d):
     from pyspark.sql import Window
 
     local, overall = entity_ranks(spark, d)
-    parts = {"b": r.bm25_top(load(spark, d, "documents"), asked(spark, d), 20), "v": dense(spark, d, 20), "l": local.filter("rank <= 20"), "g": overall.filter("rank <= 20")}
+    words = saved(r.bm25_top(load(spark, d, "documents"), asked(spark, d), 20))
+    parts = {"b": words, "v": dense(spark, d, words, 20), "l": local.filter("rank <= 20"), "g": overall.filter("rank <= 20")}
     every = r.all_of([rows.select("qid", "id", F.lit(ch).alias("ch"), "rank") for ch, rows in parts.items()])
     profiles = spark.createDataFrame(PROFILES, "intent string, v double, b double, l double, g double")
     weight = F.coalesce(*[F.when(F.col("ch") == c, F.col(c)) for c in parts])

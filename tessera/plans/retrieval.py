@@ -1,4 +1,8 @@
-"""Retrieval queries: benchmark passages ask, documents answer; vec_id = doc_id is the dense channel."""
+"""Retrieval queries: benchmark passages ask, documents answer.
+
+A document's vector is the one of its id. A passage has none, so the dense channel asks
+with the vector of its best keyword answer that has one (pseudo-relevance feedback).
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import retrieval as r
 from tessera.plans.registry import query
-from tessera.session import shared_dir, small
+from tessera.session import saved, shared_dir, small
 from tessera.sources.tables import load
 
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
@@ -35,11 +39,11 @@ def asked(spark, d):
     return load(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
-def dense(spark, d, k):
-    """Queries: the vectors of the benchmark items' ids, against all vectors."""
+def dense(spark, d, words, k):
+    """Queries: the vectors of each item's best keyword answer (of ``words``) that has one, against all vectors."""
     points = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    ids = load(spark, d, "benchmark").select(F.col("item_id").alias("id")).distinct()
-    queries = points.join(small(ids), "id").select(F.col("id").alias("qid"), F.col("embedding").alias("q_embedding"))
+    known = words.join(points.select("id"), "id", "left_semi").groupBy("qid").agg(F.min_by("id", "rank").alias("id"))
+    queries = points.join(small(known), "id").select("qid", F.col("embedding").alias("q_embedding"))
     return r.knn_top(points, queries, k)
 
 
@@ -71,9 +75,13 @@ def knn_topk(spark, d):
     return r.knn_top(*every_fiftieth(spark, d), 10)
 
 
+#: Dense scores of the vector of each query's best keyword answer among ``k`` (table bmr) that has one.
+FEEDBACK = f"""seed AS (SELECT qid, arg_min(bmr.id, rank) AS id FROM bmr JOIN embeddings ON vec_id = bmr.id WHERE rank <= {{k}} GROUP BY qid),
+dn AS (SELECT seed.qid AS qid, a.vec_id AS id, {COS} AS score FROM seed JOIN embeddings b ON b.vec_id = seed.id, embeddings a)"""
+
 _HYBRID = f"""WITH {BM25_SQL},
 bmr AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id DESC) AS rank FROM bm),
-dn AS (SELECT b.vec_id AS qid, a.vec_id AS id, {COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id IN (SELECT item_id FROM benchmark)),
+{FEEDBACK.format(k=40)},
 dnr AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM dn),
 un AS (SELECT qid, id, {{w0}} / (60 + rank) AS part FROM bmr WHERE rank <= 40 UNION ALL SELECT qid, id, {{w1}} / (60 + rank) FROM dnr WHERE rank <= 20),
 fused AS (SELECT qid, id, round(sum(part), 9) AS score FROM un GROUP BY qid, id)
@@ -81,7 +89,8 @@ fused AS (SELECT qid, id, round(sum(part), 9) AS score FROM un GROUP BY qid, id)
 
 
 def channels(spark, d):
-    return [r.bm25_top(load(spark, d, "documents"), asked(spark, d), 40), dense(spark, d, 20)]
+    words = saved(r.bm25_top(load(spark, d, "documents"), asked(spark, d), 40))
+    return [words, dense(spark, d, words, 20)]
 
 
 @query(_HYBRID.format(w0="1.0::DOUBLE", w1="1.0::DOUBLE") + """

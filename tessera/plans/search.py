@@ -43,6 +43,17 @@ def merge_strategies(spark, d):
     return r.merged_sizes(found, "item", "k").select(F.col("item").alias("qid"), "concatenated", "best")
 
 
+@query(f"""WITH {_SUB}, {_SUB_RANKED}, t AS (SELECT * FROM sub WHERE rank <= 5 AND score > 3), n AS (SELECT item, k, count(*) AS n FROM t GROUP BY item, k), f AS (SELECT item, arg_max(k, (n, -k)) AS k FROM n GROUP BY item),
+rr AS (SELECT item, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS s FROM t GROUP BY item, id)
+SELECT 'concat' AS strategy, item AS qid, row_number() OVER (PARTITION BY item ORDER BY k, rank, id) AS place, id FROM t
+UNION ALL SELECT 'best', item, row_number() OVER (PARTITION BY item ORDER BY rank, id), id FROM t JOIN f USING (item, k)
+UNION ALL SELECT 'rrf', item, row_number() OVER (PARTITION BY item ORDER BY s DESC, id), id FROM rr""")
+def merged_results(spark, d):
+    """The sub-queries' results merged in three ways, as rows in order."""
+    found = sub_results(spark, d, 5).filter("score > 3").withColumnRenamed("item", "qid")
+    return r.merged_rows(found, "qid", "k")
+
+
 _KIND = "CASE WHEN contains(lower(text), ' that ') THEN 'multi_hop' WHEN contains(lower(text), ' and ') THEN 'compound' ELSE 'simple' END"
 
 
