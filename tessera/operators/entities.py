@@ -118,3 +118,31 @@ def adaptive_rerank(rows: DataFrame, profiles: DataFrame, now: str, k: int) -> D
     scored = rows.join(F.broadcast(profiles), "intent").withColumn("score", F.round(F.col("ws") * F.col("semantic") + F.col("wk") * F.col("keyword") + F.col("wr") * recency, 6))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def canonical_records(mentions: DataFrame) -> DataFrame:
+    """One row for each canonical entity of mentions (canonical, place, form, description, chunk, confidence).
+
+    In the order of ``place`` (unique): the first form, numbers of different forms, descriptions
+    and chunks, mentions, the first place, and the running confidence. With k different forms
+    so far a mention's confidence x makes c to (c (k - 1) + x) / k, and to x while there is one form;
+    unrolled, that is the sum of x / k times all later (k - 1) / k.
+    """
+    order = Window.partitionBy("canonical").orderBy("place")
+    first = F.min("place").over(Window.partitionBy("canonical", "form")) == F.col("place")
+    rows = mentions.withColumn("_fresh", first.cast("int"))
+    rows = rows.withColumn("_k", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    later = order.rowsBetween(1, Window.unboundedFollowing)
+    decay = F.sum(F.log((F.col("_k") - 1) / F.greatest(F.col("_k"), F.lit(2)) + F.when(F.col("_k") == 1, 1.0).otherwise(0.0))).over(later)
+    restarts = F.sum(F.when(F.col("_k") == 1, 1).otherwise(0)).over(later)
+    weight = F.when(F.coalesce(restarts, F.lit(0)) > 0, 0.0).otherwise(F.exp(F.coalesce(decay, F.lit(0.0))) / F.col("_k"))
+    rows = rows.withColumn("_w", weight * F.col("confidence"))
+    return rows.groupBy("canonical").agg(
+        F.min_by("form", "place").alias("primary_name"),
+        F.count_distinct("form").alias("n_forms"),
+        F.count_distinct("description").alias("n_descriptions"),
+        F.count_distinct("chunk").alias("n_chunks"),
+        F.count("*").alias("n"),
+        F.min("place").alias("first"),
+        F.sum("_w").alias("confidence"),
+    )
