@@ -88,3 +88,16 @@ def last_wins(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """The last row of each key by ``seq``."""
     order = Window.partitionBy(*keys).orderBy(F.desc(seq))
     return rows.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+
+
+def active_domains(asked: DataFrame, profiles: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(profile, domain) of asked profiles (profile): their list in ``profiles`` (profile, domains), or all of ``catalogue`` (domain).
+
+    All domains are active for a profile that is not known or whose list is ``ALL``; an empty list has none.
+    """
+    known = asked.select("profile").distinct().join(profiles.select("profile", "domains", F.lit(True).alias("_known")), "profile", "left")
+    every = known.filter(F.col("_known").isNull() | F.array_contains("domains", "ALL")).select("profile")
+    listed = known.filter(F.col("_known") & ~F.coalesce(F.array_contains("domains", "ALL"), F.lit(False)))
+    rows = listed.select("profile", F.explode("domains").alias("domain"))
+    # as many rows as that have to come out
+    return rows.unionByName(every.crossJoin(catalogue.select("domain").filter("domain IS NOT NULL").distinct())).distinct()

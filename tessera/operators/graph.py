@@ -68,19 +68,30 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, every: i
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component): the least node reachable, by least neighbours and shortcuts."""
-    step = by_node(undirected(edges), "dst")
-    labels = saved(step.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("component")))
+    """(node, component): the least node reachable.
+
+    A round ties every node's larger neighbours to its least one, then its smaller ones, so
+    edges melt into stars around the least nodes; a count and two checksums of the edges,
+    one aggregate, tell when nothing moves any more. Each round works on what edges are left.
+    """
+    pair = edges.filter("src <> dst")
+    stars = saved(pair.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    seen = None
     for _ in range(most_rounds):
-        near = step.join(labels, step["dst"] == labels["node"]).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("m"))
-        new = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
-        jump = new.select(F.col("node").alias("c"), F.col("component").alias("cc"))
-        new = saved(new.join(jump, new["component"] == jump["c"], "left").select("node", F.least("component", F.coalesce("cc", "component")).alias("component")))
-        moved = new.join(labels.withColumnRenamed("component", "old"), "node").filter("component <> old").limit(1).count()
-        labels = new
-        if not moved:
-            return labels
-    raise RuntimeError("components did not settle")
+        now = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
+        if now == seen or not now[0]:
+            break
+        seen = now
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        nearest = both.groupBy("u").agg(F.min("v").alias("m"))
+        up = both.filter("v > u").join(nearest, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        lowest = up.groupBy("u").agg(F.min("v").alias("m"))
+        down = up.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        stars = saved(down.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
+    else:
+        raise RuntimeError("components did not settle")
+    centres = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres)
 
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import similarity
 from tessera.operators.analytics import ranks
+from tessera.session import saved
 
 
 def age_days(ts: Column, now: Column) -> Column:
@@ -59,3 +61,24 @@ def consolidated(memories: DataFrame, least: float = 0.95, share: float = 1.0) -
     rows = memories.join(copies, "id", "left_anti").withColumns({"_g": F.lit(0), "_o": -F.coalesce("relevance", F.lit(0.0))})
     ranked = ranks(rows, ["_g"], "_o", "id").filter(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share)))
     return ranked.withColumnRenamed("_r", "rank").drop("_g", "_o", "_n")
+
+
+def add_episodes(path: str, episodes: DataFrame, policy: Column | None = None) -> DataFrame:
+    """Append episodes (id, ...) to the table at ``path``; (id, written, reason) of each.
+
+    One that ``policy`` (of its columns) refuses is ``rejected``, one whose id the table has is
+    ``known``, and of equal new ids one is written and the others are ``repeated``. The decisions
+    are written beside the table, so asking for them again decides nothing anew.
+    """
+    spark = episodes.sparkSession
+    fits = F.coalesce(policy if policy is not None else F.lit(True), F.lit(False))
+    order = Window.partitionBy("id", "_fits").orderBy(*[F.col(c) for c in episodes.columns if c != "id"])
+    rows = saved(episodes.withColumn("_fits", fits).withColumn("_n", F.row_number().over(order)))
+    try:
+        known = spark.read.parquet(path).select("id", F.lit(True).alias("_known")).distinct()
+    except AnalysisException:  # no table yet
+        known = spark.createDataFrame([], f"id {dict(episodes.dtypes)['id']}, _known boolean")
+    reason = F.when(F.col("_known"), "known").when(~F.col("_fits"), "rejected").when(F.col("_n") > 1, "repeated")
+    judged = saved(rows.join(known, "id", "left").withColumn("reason", reason).drop("_known"))
+    judged.filter("reason IS NULL").select(*episodes.columns).write.mode("append").parquet(path)
+    return judged.select("id", F.col("reason").isNull().alias("written"), "reason")
