@@ -12,8 +12,9 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.functions import text, vectors
+from tessera.functions import text
 from tessera.session import saved
 
 K1, B, RRF_K = 1.5, 0.75, 60
@@ -146,22 +147,11 @@ def top(scored: DataFrame, k: int, by: str = "score", tie: str = "id", tie_desc:
 
 
 def knn(points: DataFrame, queries: DataFrame, least: float | None = None) -> DataFrame:
-    """(qid, id, score) of every point (id, embedding) for every query (qid, q_embedding): exact cosine.
+    """(qid, id, score) of every point (id, embedding) of a query's size for every query (qid, q_embedding): exact cosine.
 
-    For few queries (centres); the queries come in blocks of a bounded size, each
-    broadcast; points are not shuffled before the ranking. Norms are computed once a row.
+    All pairs, or those of ``least`` at least: for few queries (centres).
     """
-    left = points.withColumn("norm", vectors.norm(F.col("embedding")))
-    right = queries.withColumn("q_norm", vectors.norm(F.col("q_embedding")))
-    size = F.col("norm") * F.col("q_norm")
-    score = F.when(size > 0, vectors.dot(F.col("embedding"), F.col("q_embedding")) / size).otherwise(0.0)
-
-    def block(part: DataFrame) -> DataFrame:
-        both = left.join(F.broadcast(part), F.size("embedding") == F.size("q_embedding"))  # a block is bounded
-        return both.select("qid", "id", F.round(score, 6).alias("score"))
-
-    out = all_of([block(part) for part in blocks_of(right)])
-    return out.filter(F.col("score") >= least) if least is not None else out
+    return _nearest(points, queries, None, least, False, VECTORS)
 
 
 def knn_top(points: DataFrame, queries: DataFrame, k: int, scoped: bool = False, rows: int = VECTORS) -> DataFrame:
@@ -182,7 +172,8 @@ def _nearest(points: DataFrame, queries: DataFrame, k: int | None, least: float
     of the query's scope, without the query itself (id = qid).
     """
     names = ["scope"] if scoped else []
-    kind = points.schema["id"].dataType.simpleString()
+    kind, asked = points.schema["id"].dataType.simpleString(), queries.schema["qid"].dataType
+    names_of = to_arrow_type(asked)
 
     def block(part: DataFrame) -> DataFrame:
         own = part.select("qid", F.col("q_embedding").cast("array<double>").alias("v"), *names).collect()
@@ -205,12 +196,12 @@ def _nearest(points: DataFrame, queries: DataFrame, k: int | None, least: float
                         if scoped:
                             same = np.array(rows.column("scope").to_pylist(), object)[:, None] == np.array(scope, object)[None, :]
                             fits &= same & (np.array(rows.column("id").to_pylist(), object)[:, None] != np.array(qids, object)[None, :])
-                        yield from best_of(rows.column("id"), pa.array(qids, rows.column("id").type), score, fits, k)
+                        yield from best_of(rows.column("id"), pa.array(qids, names_of), score, fits, k)
 
         # components are finite or the row has no neighbours
         fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
         read = points.select("id", F.col("embedding").cast("array<double>").alias("v"), *names).filter(fine)
-        return read.mapInArrow(run, f"qid {kind}, id {kind}, score double")
+        return read.mapInArrow(run, f"qid {asked.simpleString()}, id {kind}, score double")
 
     return all_of([block(part) for part in blocks_of(queries, rows)])
 
