@@ -8,7 +8,7 @@ from tessera.operators import entities as en
 from tessera.operators import retrieval as r
 from tessera.plans.chain import Chain
 from tessera.plans.registry import query
-from tessera.plans.retrieval import BM25_SQL, ENTITY_SQL, FEEDBACK, asked, dense, entity_ranks
+from tessera.plans.retrieval import BM25_SQL, ENTITY_SQL, FEEDBACK, asked, dense, global_ranks, local_ranks
 from tessera.session import saved
 from tessera.sources import readers
 from tessera.sources.tables import events, load
@@ -84,9 +84,8 @@ def four_way_profiles(spark, d):
     """Vector, keyword, graph local and graph global channels weighted by each intent's profile."""
     from pyspark.sql import Window
 
-    local, overall = entity_ranks(spark, d)
     words = saved(r.bm25_top(load(spark, d, "documents"), asked(spark, d), 20))
-    parts = {"b": words, "v": dense(spark, d, words, 20), "l": local.filter("rank <= 20"), "g": overall.filter("rank <= 20")}
+    parts = {"b": words, "v": dense(spark, d, words, 20), "l": local_ranks(spark, d, 20), "g": global_ranks(spark, d, 20)}
     every = r.all_of([rows.select("qid", "id", F.lit(ch).alias("ch"), "rank") for ch, rows in parts.items()])
     profiles = spark.createDataFrame(PROFILES, "intent string, v double, b double, l double, g double")
     weight = F.coalesce(*[F.when(F.col("ch") == c, F.col(c)) for c in parts])

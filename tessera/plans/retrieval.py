@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import retrieval as r
+from tessera.operators import sparse
 from tessera.plans.registry import query
 from tessera.session import saved, shared_dir, small
 from tessera.sources.tables import load
@@ -143,29 +144,38 @@ def mentions_of(rows, id_):
     return rows.select(F.col(id_).alias("id"), F.explode(long).alias("entity"))
 
 
-def entity_ranks(spark, d):
-    """The graph channels: chunks by the query's entities they mention, and by all entities of its three communities."""
+def _by_index(spark, postings, asks, k):
+    """(qid, id, n_entities, rank) of the ``k`` rows (id, term, weight) with the greatest sums for each query (qid, term)."""
+    index = sparse.write_index(postings, f"{shared_dir(spark)}/entities-{uuid.uuid4().hex}")
+    found, _ = sparse.search(index, asks.select("qid", "term", F.lit(1.0).alias("weight")), k)
+    return found.select("qid", "id", F.col("score").cast("long").alias("n_entities"), "rank")
+
+
+def local_ranks(spark, d, k):
+    """The local graph channel: chunks by the query's entities they mention, blocks of them that can't be among the ``k`` best unread."""
+    men, named = mentions_of(load(spark, d, "documents"), "doc_id"), mentions_of(load(spark, d, "benchmark"), "item_id")
+    return _by_index(spark, men.select("id", F.col("entity").alias("term"), F.lit(1.0).alias("weight")), named.select(F.col("id").alias("qid"), F.col("entity").alias("term")), k)
+
+
+def global_ranks(spark, d, k):
+    """The global graph channel: chunks by all entities of the query's three communities."""
     men, named = mentions_of(load(spark, d, "documents"), "doc_id"), mentions_of(load(spark, d, "benchmark"), "item_id").withColumnRenamed("id", "qid")
-    community = F.substring("entity", 1, 2).alias("community")
-    local = men.join(named, "entity").groupBy("qid", "id").agg(F.count("*").alias("n_entities"))
-    w = Window.partitionBy("qid").orderBy(F.desc("n"), "community")
-    topic = named.groupBy("qid", community).agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(w)).filter("k <= 3").select("qid", "community")
-    inside = men.groupBy("id", community).agg(F.count("*").alias("n"))
-    overall = inside.join(topic, "community").groupBy("qid", "id").agg(F.sum("n").alias("n_entities"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("n_entities"), "id"))
-    return local.withColumn("rank", rank), overall.withColumn("rank", rank)
+    community = F.substring("entity", 1, 2).alias("term")
+    w = Window.partitionBy("qid").orderBy(F.desc("n"), "term")
+    topic = named.groupBy("qid", community).agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(w)).filter("k <= 3").select("qid", "term")
+    return _by_index(spark, men.groupBy("id", community).agg(F.count("*").alias("weight")), topic, k)
 
 
 @query(f"WITH {ENTITY_SQL} SELECT * FROM local_ WHERE rank <= 5")
 def entity_chunks(spark, d):
     """Graph local: chunks that mention most of a query's entities."""
-    return entity_ranks(spark, d)[0].filter("rank <= 5")
+    return local_ranks(spark, d, 5)
 
 
 @query(f"WITH {ENTITY_SQL} SELECT * FROM global_ WHERE rank <= 5")
 def community_chunks(spark, d):
     """Graph global: chunks with most entities of the query's communities."""
-    return entity_ranks(spark, d)[1].filter("rank <= 5")
+    return global_ranks(spark, d, 5)
 
 
 @query(f"""WITH {ENTITY_SQL}, top_ AS (SELECT qid, id, rank FROM local_ WHERE rank <= 10), seen AS (SELECT DISTINCT qid, entity FROM top_ JOIN men USING (id)),
@@ -174,7 +184,7 @@ SELECT qid, id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDE
 def entity_expansion(spark, d):
     """Chunks that share most entities with the ten found first, without these."""
     men = mentions_of(load(spark, d, "documents"), "doc_id")
-    return r.expand(entity_ranks(spark, d)[0].filter("rank <= 10").select("qid", "id"), men, 10)
+    return r.expand(local_ranks(spark, d, 10).select("qid", "id"), men, 10)
 
 
 @query(f"""WITH c AS (SELECT label, [avg(x) FOR x IN []]::DOUBLE[] AS z FROM embeddings GROUP BY label),

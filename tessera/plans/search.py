@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import vectors
 from tessera.operators import retrieval as r
 from tessera.plans.registry import query
-from tessera.plans.retrieval import BM25_SQL, COS, ENTITY_SQL, asked, entity_ranks, every_fiftieth, mentions_of
+from tessera.plans.retrieval import BM25_SQL, COS, ENTITY_SQL, asked, every_fiftieth, global_ranks, local_ranks, mentions_of
+from tessera.session import saved
 from tessera.sources.tables import events, load
 
 #: A query's parts: its first two sentences.
@@ -140,32 +141,35 @@ v AS (SELECT qid, id, rank FROM (SELECT b.vec_id AS qid, a.vec_id AS id, row_num
 SELECT 'keyword' AS layer, * FROM w UNION ALL SELECT 'vector', * FROM v UNION ALL SELECT 'graph', qid, id, rank FROM local_ WHERE rank <= 3""")
 def unified_search(spark, d):
     """The best of every layer with the layer's name."""
-    parts = {"keyword": r.bm25_top(load(spark, d, "documents"), asked(spark, d), 3), "vector": r.knn_top(*[x.drop("scope") for x in every_fiftieth(spark, d)], 3), "graph": entity_ranks(spark, d)[0].filter("rank <= 3")}
+    parts = {"keyword": r.bm25_top(load(spark, d, "documents"), asked(spark, d), 3), "vector": r.knn_top(*[x.drop("scope") for x in every_fiftieth(spark, d)], 3), "graph": local_ranks(spark, d, 3)}
     return r.all_of([rows.select(F.lit(name).alias("layer"), "qid", "id", "rank") for name, rows in parts.items()])
 
 
-@query(f"""WITH {ENTITY_SQL}, near AS (SELECT qid, id FROM local_ WHERE rank <= 20), s AS (SELECT near.qid AS qid, near.id AS id, {COS} AS score FROM near JOIN embeddings a ON a.vec_id = near.id JOIN embeddings b ON b.vec_id = near.qid)
+@query(f"""WITH {ENTITY_SQL}, near AS (SELECT qid, id, rank FROM local_ JOIN embeddings ON vec_id = id WHERE rank <= 20), seed AS (SELECT qid, arg_min(id, rank) AS id FROM near GROUP BY qid),
+s AS (SELECT near.qid AS qid, near.id AS id, {COS} AS score FROM near JOIN seed ON seed.qid = near.qid JOIN embeddings a ON a.vec_id = near.id JOIN embeddings b ON b.vec_id = seed.id)
 SELECT qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS k FROM s) WHERE k <= 5""")
 def expand_rerank(spark, d):
-    """Chunks found by their entities, ranked again by cosine to the query."""
+    """Chunks found by their entities, ranked again by cosine to the first of them that has a vector."""
     vecs = load(spark, d, "embeddings").select("vec_id", "embedding")
-    near = entity_ranks(spark, d)[0].filter("rank <= 20").select("qid", "id")
-    both = near.join(vecs.withColumnsRenamed({"vec_id": "id", "embedding": "a"}), "id").join(vecs.withColumnsRenamed({"vec_id": "qid", "embedding": "b"}), "qid")
+    near = saved(local_ranks(spark, d, 20).join(vecs.withColumnsRenamed({"vec_id": "id", "embedding": "a"}), "id"))
+    asks = near.groupBy("qid").agg(F.min_by("a", "rank").alias("b"))
+    both = near.join(asks, "qid")
     scored = both.select("qid", "id", F.round(vectors.cosine(F.col("a"), F.col("b")), 6).alias("score"))
     return r.top(scored, 5).select("qid", "id", "score")
 
 
-@query(f"""WITH {ENTITY_SQL} SELECT qid, list_sort(list(DISTINCT id))::VARCHAR AS ids, count(DISTINCT id) AS n FROM (SELECT qid, id FROM local_ WHERE rank <= 3 UNION SELECT qid, id FROM global_ WHERE rank <= 3) GROUP BY qid""")
+@query(f"""WITH {ENTITY_SQL} SELECT qid, list(id ORDER BY place)::VARCHAR AS ids, count(*) AS n
+FROM (SELECT qid, id, min(place) AS place FROM (SELECT qid, id, rank AS place FROM local_ WHERE rank <= 3 UNION ALL SELECT qid, id, 10 + rank FROM global_ WHERE rank <= 3) GROUP BY qid, id) GROUP BY qid""")
 def dual_level_search(spark, d):
     """Local results, then unseen global ones, as one list for each query."""
-    local, overall = entity_ranks(spark, d)
+    local, overall = local_ranks(spark, d, 3), global_ranks(spark, d, 3)
     listed = lambda rows: F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"])
-    a = local.filter("rank <= 3").groupBy("qid").agg(listed(local).alias("a"))
-    b = overall.filter("rank <= 3").groupBy("qid").agg(listed(overall).alias("b"))
+    a = local.groupBy("qid").agg(listed(local).alias("a"))
+    b = overall.groupBy("qid").agg(listed(overall).alias("b"))
     none = F.array().cast("array<bigint>")
     every = F.array_union(F.coalesce("a", none), F.coalesce("b", none))  # keeps the order: local first
     rows = a.join(b, "qid", "full_outer").select("qid", every.alias("ids"))
-    return rows.select("qid", F.concat(F.lit("["), F.array_join(F.array_sort("ids").cast("array<string>"), ", "), F.lit("]")).alias("ids"), F.size("ids").cast("long").alias("n"))
+    return rows.select("qid", F.concat(F.lit("["), F.array_join(F.col("ids").cast("array<string>"), ", "), F.lit("]")).alias("ids"), F.size("ids").cast("long").alias("n"))
 
 
 @query("""WITH t AS (SELECT item_id, lower(array_to_string(regexp_split_to_array(text, '\\s+')[1:3], ' ')) AS term FROM benchmark) SELECT item_id, count(*) AS n, count(DISTINCT source) AS communities FROM t JOIN documents ON contains(lower(text), term) GROUP BY item_id""")
