@@ -43,6 +43,23 @@ def indexed_quantiles(rows: DataFrame, group: list[str], value: str, q: float, n
     return ranked.filter(F.col("_r") == at).select(*group, F.col(value).alias(name))
 
 
+def running(rows: DataFrame, group: str, order: list[Column], value: Column, name: str) -> DataFrame:
+    """Rows with the running sum ``name`` of ``value`` in their group's total order; null is a group.
+
+    The rows are range-partitioned by group and order, so a large group spans many tasks; each
+    partition sums its own rows and adds what the partitions before it hold.
+    """
+    key = ["_z", "_g"]
+    keyed = rows.withColumns({"_z": F.col(group).isNull(), "_g": F.coalesce(F.col(group).cast("string"), F.lit("")), name: value})
+    placed = keyed.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
+    placed = saved(placed.withColumns({"_p": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    before = Window.partitionBy(*key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("_p", *key).agg(F.sum(name).alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+    own = Window.partitionBy("_p", *key).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumn("_run", F.sum(name).over(own)).join(small(sums.drop("_s")), ["_p", *key])
+    return out.withColumn(name, F.col("_run") + F.col("_before")).drop("_p", "_at", "_run", "_before", *key)
+
+
 def ranks(rows: DataFrame, group: list[str], *order: str) -> DataFrame:
     """Rows with their rank ``_r`` in their group's order (groups are not null) and the group's size ``_n``.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph
 from tessera.operators.analytics import ranks
+from tessera.session import small
 
 
 # ---- time -------------------------------------------------------------------
@@ -122,9 +123,9 @@ PRONOUNS = "He|She|It|They|he|she|it|they"
 
 
 def resolved(text: Column) -> Column:
-    """Pronouns that follow a capitalised name in the same or the last sentence give way to it, from left to right.
+    """Pronouns that follow a capitalised word in the same or the last sentence give way to it, from left to right.
 
-    A rule-based stand-in for a parser: the nearest name before a pronoun counts.
+    One pattern that takes any capitalised word for a name; ``operators.coreference`` scores entities.
     """
     name = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"
     return F.regexp_replace(text, name + r"((?:(?![A-Z][a-z])[^.!?])*[.!?]?\s+)(?:" + PRONOUNS + r")\b", "$1$2$1")
@@ -136,7 +137,7 @@ def resolved(text: Column) -> Column:
 def drawn_nodes(nodes: DataFrame) -> DataFrame:
     """(format, item): nodes (id, name, type) as JSON for three drawing libraries; kinds are numbered in their order."""
     kinds = nodes.select("type").distinct().withColumn("group", F.row_number().over(Window.orderBy("type")))  # a table of kinds
-    rows = nodes.join(F.broadcast(kinds), "type")  # kinds of nodes are few
+    rows = nodes.join(small(kinds), "type")
     d3 = F.struct("id", F.col("name").alias("label"), "type", "group")
     cyto = F.struct(F.struct("id", F.col("name").alias("label"), "type").alias("data"))
     vis = F.struct("id", F.col("name").alias("label"), F.col("name").alias("title"), F.col("type").alias("group"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions import text
+from tessera.operators.analytics import running
 from tessera.session import saved
 
 K1, B, RRF_K = 1.5, 0.75, 60
@@ -267,8 +268,7 @@ def dedup_fused(rows: DataFrame, seq: str = "seq", url: str = "url", body: str =
 
 def within_budget(rows: DataFrame, budget: int, group: str, *order: Column, cost: Column) -> DataFrame:
     """Rows of each group in order while their running cost stays in the budget (it stops at the first overflow)."""
-    run = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(cost).over(run)).filter(F.col("used") <= budget)
+    return running(rows, group, list(order), cost, "used").filter(F.col("used") <= budget)
 
 
 def merged_sizes(found: DataFrame, query: str, part: str) -> DataFrame:

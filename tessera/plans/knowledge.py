@@ -9,6 +9,7 @@ from tessera.operators import graph as g
 from tessera.operators import knowledge as kn
 from tessera.plans.graph import _BOTH, _SUPPLY, both_ways, seeds
 from tessera.plans.registry import query
+from tessera.session import small
 from tessera.sources.tables import events, load, supply_edges
 
 
@@ -27,7 +28,7 @@ def recommend_by_attributes(spark, d):
     degree = load(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("other")).agg(F.count("*").alias("degree"))
     part = load(spark, d, "part").select("p_partkey", "p_type")
     best = part.join(degree, F.col("p_partkey") == F.col("other")).withColumn("r", F.row_number().over(Window.partitionBy("p_type").orderBy(F.desc("degree"), "other"))).filter("r <= 6").select("p_type", "other", "degree")
-    rows = part.join(F.broadcast(best), "p_type").filter("other <> p_partkey")  # six rows a type
+    rows = part.join(small(best), "p_type").filter("other <> p_partkey")  # six rows a type
     w = Window.partitionBy("p_partkey").orderBy(F.desc("degree"), "other")
     return rows.withColumn("k", F.row_number().over(w)).filter("k <= 5").select(F.col("p_partkey").alias("node"), "other", "degree", F.least(F.col("degree") / 15.0, F.lit(1.0)).alias("score"))
 
@@ -323,7 +324,7 @@ def domain_clusters(spark, d):
 
 @query()
 def coreference(spark, d):
-    """Pronouns replaced by the name before them in the same or the last sentence; tests use literal cases."""
+    """Pronouns replaced by the capitalised word before them, by one pattern; ``coreference_rewrite`` scores antecedents."""
     return load(spark, d, "conversations").select("conv_id", "turn", kn.resolved(F.col("text")).alias("resolved"))
 
 

@@ -118,15 +118,16 @@ def archive_search(spark, d):
     """A user's archived conversations of a range of days that are near enough."""
     points, asks = every_fiftieth(spark, d)
     ranged = points.filter((F.col("id") % 30).between(3, 20))
-    return r.top(r.knn_within(ranged, asks, 0.1), 5)
+    return r.knn_top(ranged, asks, 5, scoped=True).filter("score >= 0.1")  # the best five first, then the threshold
 
 
-@query(f"""SELECT qid, id, score FROM (SELECT b.vec_id AS qid, a.vec_id AS id, {COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND a.label = b.label) e JOIN events ON event_id = id WHERE score >= 0.2 AND ts >= TIMESTAMP '2024-01-01 12:00:00'""")
+@query(f"""SELECT qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM (SELECT b.vec_id AS qid, a.vec_id AS id, {COS} AS score FROM embeddings a JOIN events ON event_id = a.vec_id, embeddings b
+WHERE b.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND a.label = b.label AND ts >= TIMESTAMP '2024-01-01 12:00:00')) WHERE r <= 10 AND score >= 0.1""")
 def episodic_search(spark, d):
-    """Episodes that score enough and are no older than a window."""
+    """Each query's ten best episodes that are no older than a window, of those that score enough."""
     points, asks = every_fiftieth(spark, d)
     recent = events(spark, d).filter(F.col("ts") >= "2024-01-01 12:00:00").select(F.col("event_id").alias("id"))
-    return r.knn_within(points, asks, 0.2).join(recent, "id").select("qid", "id", "score")
+    return r.knn_top(points.join(recent, "id", "left_semi"), asks, 10, scoped=True).filter("score >= 0.1").select("qid", "id", "score")
 
 
 @query(f"""SELECT b.vec_id AS qid, max({COS}) >= 0.85 AS is_duplicate FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND a.label = b.label GROUP BY b.vec_id""")
