@@ -7,7 +7,7 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Levels of the word processor's heading styles (fixed values).
@@ -67,3 +67,23 @@ def docx_paragraphs(files: DataFrame) -> DataFrame:
 
     rows = files.select("path", F.posexplode(read("content")).alias("seq", "p"))
     return rows.select("path", "seq", "p.text", F.regexp_replace("p.style", r"^Heading(\d)$", "Heading $1").alias("style"))
+
+
+def docx_sections(files: DataFrame, untitled: str = "Document") -> DataFrame:
+    """(path, section_no, heading, level, text, n_paragraphs) of DOCX files: what stands between two headings.
+
+    Paragraphs before the first heading are a section of level 1 named ``untitled``; empty ones
+    count nowhere. A paragraph is a heading by its style (``STYLES``); a file without paragraphs has no row.
+    """
+    table = F.create_map(*[F.lit(x) for kv in STYLES.items() for x in kv])
+    rows = docx_paragraphs(files).filter(F.trim("text") != "").withColumn("level", F.element_at(table, F.col("style")))
+    upto = Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)  # a document
+    rows = rows.withColumn("section_no", F.count("level").over(upto).cast("int"))
+    head, body = F.col("level").isNotNull(), F.array_sort(F.collect_list(F.when(F.col("level").isNull(), F.struct("seq", "text"))))
+    out = rows.groupBy("path", "section_no").agg(
+        F.max(F.when(head, F.col("text"))).alias("heading"),
+        F.max("level").alias("level"),
+        F.array_join(F.transform(body, lambda x: x["text"]), "\n").alias("text"),
+        F.count_if(~head).alias("n_paragraphs"),
+    )
+    return out.withColumns({"heading": F.coalesce("heading", F.lit(untitled)), "level": F.coalesce("level", F.lit(1))}).select("path", "section_no", "heading", "level", "text", "n_paragraphs")

@@ -169,3 +169,18 @@ def test_a_failing_chunk_stops_nothing(spark, tmp_path):
     assert [(r.doc_id, r.chunk_no, r.embedding) for r in good] == [(1, 0, [10.0]), (1, 1, [10.0]), (1, 2, [5.0]), (5, 0, [4.0])]
     bad = spark.read.parquet(str(tmp_path / "bad")).collect()
     assert [(r.doc_id, r.error, r.tried) for r in bad] == [(2, "no vector", 3)]
+
+
+def test_docx_sections(spark, tmp_path):
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    style = lambda s: f'<w:pPr><w:pStyle w:val="{s}"/></w:pPr>' if s else ""
+    paragraph = lambda t, s="": f"<w:p>{style(s)}<w:r><w:t>{t}</w:t></w:r></w:p>"
+    texts = [("before",), ("One", "Heading1"), ("a",), ("b",), ("  ",), ("Inner", "Heading3"), ("Last", "Title"), ("c", "Quote")]
+    for name, body in (("a", "".join(paragraph(*t) for t in texts)), ("c", "")):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as file:
+            file.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+        (tmp_path / f"{name}.docx").write_bytes(data.getvalue())
+    (tmp_path / "b.docx").write_bytes(b"no archive")
+    rows = sections.docx_sections(readers.scan_files(spark, str(tmp_path), "*.docx")).orderBy("section_no").collect()
+    assert [tuple(r)[1:] for r in rows] == [(0, "Document", 1, "before", 1), (1, "One", 1, "a\nb", 2), (2, "Inner", 3, "", 0), (3, "Last", 1, "c", 1)]
