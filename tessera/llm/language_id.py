@@ -13,7 +13,8 @@ language of most letters on the path; the score is their share, less the chance
 the language that comes second in the whole text.
 
 Edge cases: null text and text without a letter are ``und`` with score 1; without rows
-to learn from every text with a letter is ``und`` with score 0; texts are read whole;
+to learn from every text with a letter is ``und`` with score 0; a text whose letters all
+are among signs (``ℝ``) is the first language with score 0; texts are read whole;
 repeated rows are predicted each by itself; rows without doc_id count as held out; of
 languages that tie the first in order is taken; only doc_id, text and lang are read.
 """
@@ -35,23 +36,39 @@ MOST_ROWS, BUCKETS, GRAMS = 5_000, 1 << 15, (1, 2, 3, 4)
 #: Cost of a switch (in nats), weight of an n-gram's evidence, least share of a script a language uses.
 PENALTY, TEMPER, LEAST_SCRIPT = 12.0, 0.3, 0.005
 
-#: Script of a character by its first UTF-8 byte (Unicode block layout; fixed values).
-SCRIPTS = ("latin", "greek", "cyrillic", "hebrew", "arabic", "indic", "cjk", "hangul", "other")
-_SCRIPT_OF = np.full(256, -1, np.int8)
-_SCRIPT_OF[65:91] = _SCRIPT_OF[97:123] = 0
-_SCRIPT_OF[0xC3:0xCA] = 0
-_SCRIPT_OF[0xCA:0xCE] = 8
-_SCRIPT_OF[0xCE:0xD0] = 1
-_SCRIPT_OF[0xD0:0xD4] = 2
-_SCRIPT_OF[0xD4:0xD7] = 8
-_SCRIPT_OF[0xD7] = 3
-_SCRIPT_OF[0xD8:0xDC] = 4
-_SCRIPT_OF[0xDC:0xE0] = 8
-_SCRIPT_OF[0xE0] = 5
-_SCRIPT_OF[0xE1:0xE3] = 8
-_SCRIPT_OF[0xE3:0xEA] = 6
-_SCRIPT_OF[0xEA:0xEE] = 7
-_SCRIPT_OF[0xF0:0xF5] = 8
+#: Scripts by the first and last character of their blocks (Unicode's layout; fixed values); blocks not named are ``other``.
+BLOCKS = (
+    ("latin", 0x41, 0x5A), ("latin", 0x61, 0x7A), ("latin", 0xC0, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F),
+    ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("arabic", 0x750, 0x77F), ("arabic", 0x8A0, 0x8FF),
+    ("devanagari", 0x900, 0x97F), ("bengali", 0x980, 0x9FF), ("gurmukhi", 0xA00, 0xA7F), ("gujarati", 0xA80, 0xAFF),
+    ("oriya", 0xB00, 0xB7F), ("tamil", 0xB80, 0xBFF), ("telugu", 0xC00, 0xC7F), ("kannada", 0xC80, 0xCFF), ("malayalam", 0xD00, 0xD7F),
+    ("sinhala", 0xD80, 0xDFF), ("thai", 0xE00, 0xE7F), ("lao", 0xE80, 0xEFF), ("tibetan", 0xF00, 0xFFF), ("burmese", 0x1000, 0x107F),
+    ("georgian", 0x1080, 0x10FF), ("hangul", 0x1100, 0x11FF), ("ethiopic", 0x1200, 0x13BF), ("khmer", 0x1780, 0x17FF),
+    ("mongolian", 0x1800, 0x18BF), ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("kana", 0x3040, 0x30FF),
+    ("cjk", 0x3100, 0x9FFF), ("hangul", 0xA980, 0xA9BF), ("hangul", 0xAC00, 0xD7FF), ("cjk", 0xF900, 0xFAFF), ("cjk", 0x20000, 0x3FFFF),
+)
+SCRIPTS = (*dict.fromkeys(name for name, _, _ in BLOCKS), "other")
+
+
+def _script_table() -> np.ndarray:
+    """The script by a character's first two UTF-8 bytes (an ASCII one: its byte alone); -1 for bytes that begin none."""
+    out = np.full((256, 256), -1, np.int8)
+    out[0xC2:0xF5] = SCRIPTS.index("other")
+    for name, first, last in BLOCKS:
+        # two bytes tell 64 characters of two or three bytes apart, 4096 of four
+        for c in range(first, last + 1, 1 if last < 0x800 else 0x40 if last < 0x10000 else 0x1000):
+            lead = chr(c).encode("utf-8", "surrogatepass")
+            out[lead[0], lead[1] if len(lead) > 1 else slice(None)] = SCRIPTS.index(name)
+    return out.ravel()
+
+
+_SCRIPT_OF = _script_table()
+
+
+def scripts_at(plane: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The script of the characters that begin at the bytes ``at``; -1 where none begins."""
+    return _SCRIPT_OF[plane[at].astype(np.int32) * 256 + plane[np.minimum(at + 1, len(plane) - 1)]]
+
 
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[65:91] = _IS_WORD[97:123] = True
@@ -118,13 +135,13 @@ def grams(plane: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
 def word_scripts(plane: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The script of most of each word's characters (the first in order where two tie)."""
-    out, n = _SCRIPT_OF[plane[starts]], len(SCRIPTS)
+    out, n = scripts_at(plane, starts), len(SCRIPTS)
     high = np.concatenate(([0], np.cumsum(plane >= 128)))
     some = np.flatnonzero(high[ends] > high[starts])  # words of ASCII letters are Latin
     starts, ends = starts[some], ends[some]
     sizes = ends - starts
     at = np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    script = _SCRIPT_OF[plane[at]]
+    script = scripts_at(plane, at)
     first = script >= 0  # first bytes of characters
     joint = np.repeat(np.arange(len(starts)), sizes)[first] * n + script[first]
     counts = np.bincount(joint, minlength=len(starts) * n).reshape(-1, n)
@@ -295,6 +312,12 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, list
         lettered[d] = any(c.isalpha() for c in column[int(d)].as_py())
     langs, share = ["und"] * n, np.where(lettered, 0.0, 1.0)
     spans: list[list[tuple]] = [[] for _ in range(n)]
+    # letters among signs only (as in letterlike symbols) make no word to score
+    wide = np.concatenate(([0], np.cumsum(plane >= 128)))
+    for d in np.flatnonzero((counts == 0) & (wide[offsets[1:]] > wide[offsets[:-1]])):
+        if any(c.isalpha() for c in column[int(d)].as_py()):
+            share[d] = 0.0
+            langs[d] = model.langs[0] if model.langs else "und"
     if not len(starts) or not model.langs:
         return langs, share, spans
     scores = word_scores(model, plane, starts, ends)

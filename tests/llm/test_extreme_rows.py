@@ -128,3 +128,22 @@ def test_two_hundred_languages(spark):
     assert sum(got[i].lang_pred == n for i, _, n in rows) >= 0.98 * len(rows)
     assert sum(got[100_000 + k].lang_pred == names[199 - k] for k in range(60)) >= 57
     assert sum(got[100_000 + k].spans == f"0:25:{names[k]},25:70:{names[199 - k]}" for k in range(60)) >= 50
+
+
+def test_scripts_by_block():
+    words = {"latin": "Việt", "greek": "ἄνθρωπος", "cyrillic": "слово", "armenian": "բառ", "hebrew": "מילה", "arabic": "كلمة", "devanagari": "शब्द", "bengali": "শব্দ", "tamil": "சொல்", "thai": "คำ", "tibetan": "ཚིག", "georgian": "სიტყვა", "ethiopic": "ቃል", "khmer": "ពាក្យ", "hangul": "단어", "kana": "ことば", "cjk": "词语", "other": "ⵜⴰⵡⴰⵍ"}
+    for script, word in words.items():
+        plane = np.frombuffer(word.encode(), np.uint8)
+        got = language_id.word_scripts(plane, np.array([0]), np.array([len(plane)]))
+        assert language_id.SCRIPTS[got[0]] == script, (script, word)
+    mixed = np.frombuffer("abcдеж漢字漢字".encode(), np.uint8)
+    assert language_id.SCRIPTS[language_id.word_scripts(mixed, np.array([0]), np.array([len(mixed)]))[0]] == "cjk"
+
+
+def test_scripts_tell_languages_of_one_alphabet_apart(spark):
+    rows = [(k, text, lang) for k in range(40) for text, lang in (("शब्द और वाक्य", "hi"), ("শব্দ এবং বাক্য", "bn"), ("คำและประโยค", "th"))]
+    rows = [(i, t, lang) for i, (_, t, lang) in enumerate(rows)] + [(900, "ประโยค", None), (901, "বাক্য", None), (902, "ℝ", None), (903, "々 〆", None), (904, "→ ★", None), (905, "12 €", None)]
+    got = {x.doc_id: x for x in language_id.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert (got[900].lang_pred, got[901].lang_pred) == ("th", "bn")
+    assert got[902].lang_pred in ("hi", "bn", "th") and got[902].score == 0 and got[903].lang_pred in ("hi", "bn", "th")
+    assert got[904].lang_pred == got[905].lang_pred == "und" and got[904].score == 1
