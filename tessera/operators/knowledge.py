@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import graph
+from tessera.operators import graph, similarity
 from tessera.operators.analytics import ranks
-from tessera.session import small
+from tessera.session import saved, small
 
 
 # ---- time -------------------------------------------------------------------
@@ -223,3 +225,38 @@ def clusters(vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
     found = KMeans(k=max(2, min(k, n)), seed=seed, featuresCol="features", predictionCol="cluster").fit(rows).transform(rows)
     score = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(found) if found.select("cluster").distinct().count() > 1 else 1.0
     return found.select("vec_id", "cluster", F.lit(score).alias("silhouette"))
+
+
+def spherical(points: DataFrame, k: int, rounds: int = 3) -> DataFrame:
+    """(id, cluster, score) of points (id, embedding): clusters by cosine to mean vectors, from the ``k`` least ids.
+
+    Each round every point goes to its nearest centre (the first on ties, six digits) and
+    centres become means; one without points stays. Batches of points meet the centres, k
+    rows, as a matrix; means are pre-aggregated by component. Vectors without a direction,
+    or of another size than the first one, are in no cluster.
+    """
+    own = similarity.usable(points).select("id", "v")
+    first = own.orderBy("id").limit(k).collect()
+    if not first:
+        return own.select("id", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("score"))
+    centres = np.array([r["v"] for r in first if len(r["v"]) == len(first[0]["v"])])
+    own = saved(own.filter(F.size("v") == centres.shape[1]))
+
+    def assigned(centres: np.ndarray) -> DataFrame:
+        size = np.sqrt((centres * centres).sum(axis=1))
+
+        def run(batches):
+            for batch in batches:
+                x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                score = np.round(x @ centres.T / (np.sqrt((x * x).sum(axis=1))[:, None] * np.where(size > 0, size, np.inf)), 6)
+                at = score.argmax(axis=1) if len(x) else np.zeros(0, int)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32()), pa.array(score[np.arange(len(x)), at])], names=["id", "v", "cluster", "score"])
+
+        return own.mapInArrow(run, "id long, v array<double>, cluster int, score double")
+
+    for _ in range(rounds):
+        means = assigned(centres).select("cluster", F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("m"))
+        centres = centres.copy()
+        for r in means.collect():  # k centres' components
+            centres[r["cluster"], r["i"]] = r["m"]
+    return assigned(centres).select("id", "cluster", "score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import entities as en
+from tessera.operators import knowledge as kn
 from tessera.operators import memory as m
 from tessera.operators import similarity as s
 from tessera.plans.registry import query
@@ -54,3 +55,23 @@ def memory_consolidation(spark, d):
 def type_clusters(spark, d):
     """Average-linkage clusters of each label's vectors; tests hold them against a plain dendrogram."""
     return s.average_linkage(points(spark, d), 0.25)
+
+
+def _domains(k: int = 8, rounds: int = 3) -> str:
+    """SQL: rounds of means and nearest means, component by component."""
+    steps = ["p AS MATERIALIZED (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)",
+             "n AS MATERIALIZED (SELECT id, sqrt(sum(x * x)) AS n FROM p GROUP BY id)",
+             f"c0 AS MATERIALIZED (SELECT j, i, x AS m FROM p JOIN (SELECT id, row_number() OVER (ORDER BY id) - 1 AS j FROM n ORDER BY id LIMIT {k}) USING (id))"]
+    for r in range(rounds + 1):
+        steps.append(f"s{r} AS MATERIALIZED (SELECT id, j, round(sum(x * m) / (any_value(n.n) * any_value(z.z)), 6) AS score FROM p JOIN c{r} USING (i) JOIN n USING (id) JOIN (SELECT j, sqrt(sum(m * m)) AS z FROM c{r} GROUP BY j) z USING (j) GROUP BY id, j)")
+        steps.append(f"a{r} AS MATERIALIZED (SELECT id, j, score FROM s{r} QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, j) = 1)")
+        if r < rounds:
+            steps.append(f"m{r} AS (SELECT j, i, avg(x) AS m FROM p JOIN a{r} USING (id) GROUP BY j, i)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.j, c.i, coalesce(m.m, c.m) AS m FROM c{r} c LEFT JOIN m{r} m ON m.j = c.j AND m.i = c.i)")
+    return "WITH " + ",\n".join(steps) + f"\nSELECT id, j::INTEGER AS cluster, score FROM a{rounds}"
+
+
+@query(_domains())
+def spherical_domains(spark, d):
+    """Domains of all vectors by cosine to mean vectors, three rounds from the eight least ids."""
+    return kn.spherical(points(spark, d), 8).select("id", "cluster", "score")

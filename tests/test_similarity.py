@@ -126,3 +126,23 @@ def test_names_by_embedding(spark):
     names = frame(spark, x).select((F.col("id") + 100).alias("id"), F.lit("k").alias("kind"), F.md5(F.col("id").cast("string").cast("binary")).alias("name"), "embedding")
     got = {r.id - 100: r.canonical - 100 for r in entities.same_entities(names, cosine=0.9).collect()}
     assert got == {k: k // 5 * 5 for k in range(50)}
+
+
+def test_spherical_clusters(spark):
+    from tessera.operators import knowledge
+
+    r = np.random.default_rng(9)
+    x = np.concatenate([r.normal(c, 0.2, (20, 3)) for c in ([3, 0, 0], [0, 3, 0], [0, 0, 3])])[r.permutation(60)]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(90, [0.0, 0.0, 0.0]), (91, None), (92, [1.0]), (None, [1.0, 0.0, 0.0])]
+    points = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    centres = x[:6].copy()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = lambda: np.round(u @ (centres / np.linalg.norm(centres, axis=1, keepdims=True)).T, 6)
+    for _ in range(4):
+        at = near().argmax(axis=1)
+        for j in np.unique(at):
+            centres[j] = x[at == j].mean(axis=0)
+    got = {q.id: (q.cluster, q.score) for q in knowledge.spherical(points, 6, rounds=4).collect()}
+    assert {k: v[0] for k, v in got.items()} == dict(enumerate(near().argmax(axis=1).tolist()))
+    assert all(abs(got[k][1] - s) < 2e-6 for k, s in enumerate(near().max(axis=1)))
+    assert knowledge.spherical(points.filter("false"), 6).count() == 0
