@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators.patterns import pattern
+from tessera.operators.templates import Templates
 from tessera.plans.registry import query
 from tessera.sources.tables import load
 
@@ -72,3 +73,43 @@ def template_nearest_parts(spark, d):
     p = graph(spark, d).node("a", "label = 'Supplier'").relationship("a", "SUPPLIES", "b", "-", 1, 3, name="r").node("b", "label = 'Part'")
     near = p.shortest("a", "b", "r")
     return p._with(near).properties("a", "name").properties("b", "name").matches("a", "a_name", "b", "b_name", "hops")
+
+
+@query(f"""WITH {_GRAPH.format(least=45)}, nd AS (SELECT 's' || s_suppkey AS id, 'Supplier' AS label, s_name AS name FROM supplier UNION ALL SELECT 'p' || p_partkey, 'Part', p_name FROM part UNION ALL SELECT 'n' || n_nationkey, 'Nation', n_name FROM nation),
+one AS (SELECT DISTINCT b FROM u WHERE a = 's1'), two AS (SELECT DISTINCT y.b FROM u x JOIN u y ON y.a = x.b AND y.id <> x.id WHERE x.a = 's1'),
+deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id), ins AS (SELECT 's1' AS b UNION SELECT b FROM one)
+SELECT 'neighbours' AS template, b AS a, '' AS b, min(h)::BIGINT AS n FROM (SELECT b, 1 AS h FROM one UNION ALL SELECT b, 2 FROM two) WHERE b <> 's1' GROUP BY b
+UNION ALL SELECT 'outgoing', b, id, 1 FROM (SELECT dst AS b, id FROM e WHERE src = 's1') UNION ALL SELECT 'incoming', src, id, 1 FROM e WHERE dst = 'n3'
+UNION ALL SELECT 'statistics', label, '', count(*) FROM nd GROUP BY label UNION ALL SELECT 'relationship_statistics', type, '', count(*) FROM e GROUP BY type
+UNION ALL SELECT 'orphans', id, name, 1 FROM nd WHERE id NOT IN (SELECT id FROM deg) UNION ALL SELECT 'highly_connected', id, '', degree FROM deg WHERE degree >= 5
+UNION ALL SELECT 'degree_distribution', degree::VARCHAR, '', count(*) FROM deg GROUP BY degree UNION ALL SELECT 'subgraph', src, dst, 1 FROM e WHERE src IN (SELECT b FROM ins) AND dst IN (SELECT b FROM ins)
+UNION ALL (SELECT 'search', id, name, 1 FROM nd WHERE contains(lower(name), 'an') ORDER BY name, id LIMIT 20) UNION ALL (SELECT 'by_type', id, name, 1 FROM nd WHERE label = 'Part' ORDER BY name, id LIMIT 50)
+UNION ALL (SELECT 'by_relationship', src, dst, 1 FROM e WHERE type = 'SUPPLIES' ORDER BY src, dst LIMIT 100) UNION ALL SELECT 'lookup', id, name, 1 FROM nd WHERE name = (SELECT min(s_name) FROM supplier)
+UNION ALL (SELECT 'similar', b, '', common FROM (SELECT y.b, count(DISTINCT x.b) AS common FROM u x JOIN u y ON y.a = x.b AND y.id <> x.id JOIN nd ON nd.id = y.b AND label = 'Supplier' WHERE x.a = 's1' AND y.b <> 's1' GROUP BY y.b) ORDER BY common DESC, b LIMIT 10)""")
+def template_answers(spark, d):
+    """Fourteen stock questions on the graph of suppliers, parts and nations, answered as rows."""
+    p = graph(spark, d, 45)
+    t, name = Templates(p.nodes, p.edges), load(spark, d, "supplier").agg(F.min("s_name")).first()[0]
+    none, one = F.lit(""), F.lit(1)
+    answers = {
+        "neighbours": (t.neighbours("s1", 2), "b", none, "hops"),
+        "outgoing": (t.relationships("s1", "->"), "b", "edge", one),
+        "incoming": (t.relationships("n3", "<-"), "b", "edge", one),
+        "statistics": (t.statistics(), "label", none, "n"),
+        "relationship_statistics": (t.relationship_statistics(), "type", none, "n"),
+        "orphans": (t.orphans(), "id", "name", one),
+        "highly_connected": (t.highly_connected(5), "id", none, "degree"),
+        "degree_distribution": (t.degree_distribution(), "degree", none, "n"),
+        "subgraph": (t.subgraph(["s1"], 1), "src", "dst", one),
+        "search": (t.search("an", 20), "id", "name", one),
+        "by_type": (t.by_type("Part"), "id", "name", one),
+        "by_relationship": (t.relationships_by_type("SUPPLIES"), "src", "dst", one),
+        "lookup": (t.lookup(name), "id", "name", one),
+        "similar": (t.similar("s1"), "b", none, "common"),
+    }
+    as_column = lambda c: F.col(c) if isinstance(c, str) else c
+    out = None
+    for template, (rows, a, b, n) in answers.items():
+        part = rows.select(F.lit(template).alias("template"), as_column(a).cast("string").alias("a"), as_column(b).cast("string").alias("b"), as_column(n).cast("long").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out

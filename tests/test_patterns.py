@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from tessera.operators.patterns import pattern
+from tessera.operators.templates import Templates
 
 
 def graph(spark, edges, labels=None):
@@ -66,3 +67,19 @@ def test_misuse_is_told(spark, edges):
         g.node("x").relationship("x", "R", "y", "->", 3, 2)
     with pytest.raises(ValueError):
         g.node("x").node("y")
+
+
+def test_templates(spark):
+    edges = spark.createDataFrame([(1, "a", "b", "R"), (2, "b", "c", "R"), (3, "c", "d", "S"), (4, "b", "b", "S"), (5, "a", "d", "S")], "id long, src string, dst string, type string")
+    nodes = spark.createDataFrame([(x, "even" if x in "bd" else "odd", x.upper() + "x", f"2024-01-0{k + 1} 00:00:00") for k, x in enumerate("abcdef")], "id string, label string, name string, at string")
+    t = Templates(nodes.withColumn("created_at", nodes["at"].cast("timestamp")), edges)
+    rows = lambda frame: sorted(map(tuple, frame.collect()))
+    assert rows(t.neighbours("a", 2)) == [("b", 1), ("c", 2), ("d", 1)] and rows(t.neighbours("a", 3, "R")) == [("b", 1), ("c", 2)]
+    assert rows(t.relationships("b")) == [("a", 1), ("b", 4), ("c", 2)] and rows(t.relationships("b", "<-", "R")) == [("a", 1)]
+    assert rows(t.path("a", "c")) == [(2,)] and rows(t.path("a", "a")) == [(0,)] and rows(t.path("a", "e")) == []
+    assert rows(t.subgraph(["Ax"], 1).select("id")) == [(1,), (4,), (5,)]
+    assert rows(t.degrees()) == [("a", 2), ("b", 3), ("c", 2), ("d", 2)] and [r.id for r in t.orphans().orderBy("id").collect()] == ["e", "f"]
+    assert rows(t.highly_connected(3)) == [("b", 3)] and rows(t.degree_distribution()) == [(2, 3), (3, 1)]
+    assert [r.id for r in t.by_type("odd", 2).collect()] == ["a", "c"] and [r.id for r in t.search("X", 3).collect()] == ["a", "b", "c"]
+    assert [r.id for r in t.recent("2024-01-05").orderBy("id").collect()] == ["e", "f"] and rows(t.similar("b")) == [("d", 2)]
+    assert [r.id for r in t.relationships_by_type("S", 2).collect()] == [5, 4] and t.lookup("Cx").first().id == "c"
