@@ -165,13 +165,15 @@ def sharded(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, buc
     cut = pieces_of(units, shards)
     large = spark.createDataFrame([tuple(map(int, r)) for r in cut.itertuples(index=False)], "h long, pieces int")
     known = rows.join(F.broadcast(large), "h", "left")
-    alone = F.col("pieces").isNotNull()
-    known = known.select(
-        "doc_id", "size", "tokens", "text_crc32", "row",
-        F.when(alone, F.col("h")).otherwise(F.pmod("h", F.lit(buckets))).alias("key"),
-        F.when(alone, F.pmod(F.xxhash64("row", F.lit(3)), F.col("pieces"))).otherwise(-1).cast("int").alias("piece"),
-        F.when(alone, F.pmod(F.xxhash64("row", F.lit(5)), F.lit(PARTS))).otherwise(0).cast("int").alias("sub"),
-    )
+    # a large group's rows are dealt in turn within each part of the written table, so its pieces differ by a row a part
+    part = F.shiftright("row", 33)
+    turn = F.row_number().over(Window.partitionBy("h", part).orderBy("row")) + F.pmod(F.xxhash64("h", part), F.col("pieces"))
+    fields = ["doc_id", "size", "tokens", "text_crc32", "row"]
+    alone = known.filter("pieces IS NOT NULL").select(
+        *fields, F.col("h").alias("key"), F.pmod(turn, F.col("pieces")).cast("int").alias("piece"), F.pmod(F.xxhash64("row", F.lit(5)), F.lit(PARTS)).cast("int").alias("sub")
+    )
+    dealt = known.filter("pieces IS NULL").select(*fields, F.pmod("h", F.lit(buckets)).alias("key"), F.lit(-1).alias("piece"), F.lit(0).alias("sub"))
+    known = alone.unionByName(dealt)
     bucket = ["key", "piece", "sub"]
     subs = known.groupBy(*bucket).agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n"))
     subs = subs.orderBy(*bucket).toPandas()
