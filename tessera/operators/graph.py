@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tessera.session import saved, small
 
+#: A partition's size beside the mean from which a key counts as hot, in tables of more than ``FEW`` rows.
+HOT, FEW = 4, 100_000
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Both directions of every edge once, without loops."""
@@ -36,8 +39,23 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 
 def by_node(df: DataFrame, key: str) -> DataFrame:
-    """Saved in a fixed number of hash partitions of ``key``, so that rounds of joins on it don't shuffle it again."""
-    return saved(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key))
+    """Saved in a fixed number of hash partitions of ``key``, so that rounds of joins on it don't shuffle it again.
+
+    An adaptive plan doesn't tell how its rows are dealt, so this one checkpoint is made by a plain one.
+    Where one key would make its partition ``HOT`` times the mean, the rows are saved as they
+    are: each join then shuffles them, and adaptive execution splits what is skewed.
+    """
+    conf, adaptive = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before, n = conf.get(adaptive), int(conf.get("spark.sql.shuffle.partitions"))
+    rows = saved(df)
+    total, most = rows.groupBy(key).agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    if total and most * n > HOT * total and total > FEW:
+        return rows
+    conf.set(adaptive, "false")
+    try:
+        return saved(rows.repartition(n, key))
+    finally:
+        conf.set(adaptive, before)
 
 
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:

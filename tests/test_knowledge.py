@@ -184,3 +184,22 @@ def test_docx_sections(spark, tmp_path):
     (tmp_path / "b.docx").write_bytes(b"no archive")
     rows = sections.docx_sections(readers.scan_files(spark, str(tmp_path), "*.docx")).orderBy("section_no").collect()
     assert [tuple(r)[1:] for r in rows] == [(0, "Document", 1, "before", 1), (1, "One", 1, "a\nb", 2), (2, "Inner", 3, "", 0), (3, "Last", 1, "c", 1)]
+
+
+def test_dealt_tables_are_not_shuffled_again(spark):
+    rows = spark.range(1000).select((F.col("id") % 97).alias("src"), F.col("id").alias("dst"))
+    ways = graph.by_node(rows, "src")
+    sums = rows.groupBy("src").agg(F.sum("dst").alias("s"))
+    plan = ways.join(sums.hint("merge"), "src")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # of the sums
+    assert sorted(map(tuple, ways.collect())) == sorted(map(tuple, rows.collect()))
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_hot_nodes_are_left_to_adaptive_joins(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FEW", 100)
+    monkeypatch.setattr(graph, "HOT", 2)
+    rows = spark.range(1000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("src"), F.col("id").alias("dst"))
+    ways = graph.by_node(rows, "src")
+    plan = ways.join(rows.groupBy("src").count().hint("merge"), "src")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and ways.count() == 1000
