@@ -9,7 +9,10 @@ crosses the plane between c and h, so y lies within their distance r of it:
 y is a guest of all cells for which that holds, and each cell compares its own vectors
 with all that are there. That is exact; ``slack`` < 1 takes only guests within slack * r
 and so loses some pairs (the tests measure how many). Cells of more than a block are cut
-to tiles, so that no task holds a whole crowded one.
+to tiles, so that no task holds a whole crowded one. Where the vectors have no clusters or
+``least`` is low, a vector would be a guest of most cells, and all of them together would
+hold the square of the vectors: a sample tells, and then the blocks of a scope meet
+directly, each vector in as many tiles as its scope has blocks.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from tessera.session import saved, small
 
 #: Vectors that centres are learnt from at most, vectors a cell should hold, centres at most, vectors of a block.
 SAMPLE, CELL, CENTRES, BLOCK = 8192, 512, 2048, 1024
+#: Vectors of a block where cells would not divide the vectors, rows of scores that are held at once.
+WIDE, STRIP = 4096, 512
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64())])
 
 
@@ -57,23 +62,35 @@ def guests(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.n
     """The home of each row, and a matrix of the cells it is in: its home and all planes within ``reach``."""
     d = (x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * x @ c.T
     home = d.argmin(axis=1)
-    apart = np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(axis=2), 0))
+    own = (c * c).sum(axis=1)
+    apart = np.sqrt(np.maximum(own[:, None] + own - 2 * c @ c.T, 0)) + 1e-7  # what the products may lose
     inside = d - d[np.arange(len(x)), home][:, None] <= 2 * apart[home] * reach + 1e-9
     inside[np.arange(len(x)), home] = True
     return home, inside
 
 
-def _celled(rows: DataFrame, reach: float) -> DataFrame:
-    """(id, scope, v, d, cell, home): a row for each cell that a vector is in."""
-    spark, learnt = rows.sparkSession, {}
-    for d, n in rows.groupBy("d").count().collect():  # sizes of vectors are few
+def _learnt(rows: DataFrame, counts: dict[int, int], reach: float) -> dict[int, tuple[np.ndarray, float]]:
+    """Centres for each size of vectors, and in how many cells a vector is on the average (of a sample)."""
+    learnt = {}
+    for d, n in counts.items():  # sizes of vectors are few
         share = min(1.0, SAMPLE / n)
         own = rows.filter((F.col("d") == d) & (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1))
-        x = np.array([r["v"] for r in own.orderBy("id").select("v").limit(2 * SAMPLE).collect()], float)
+        x = np.array([r["v"] for r in own.orderBy("id").select("v").limit(2 * SAMPLE).collect()], float).reshape(-1, d)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-        learnt[d] = centres_of(x, max(1, min(CENTRES, len(x), -(-n // CELL))))
-    shared = spark.sparkContext.broadcast(learnt)
+        few = x[:: max(1, len(x) // 512)]
+        centres = centres_of(x, max(1, min(CENTRES, len(x), -(-n // CELL))), rounds=1)
+        mean = float(guests(few, centres, reach)[1].sum() / max(1, len(few)))
+        if mean < len(centres):  # finer ones may help
+            centres = centres_of(x, len(centres))
+            mean = float(guests(few, centres, reach)[1].sum() / max(1, len(few)))
+        learnt[d] = centres, mean
+    return learnt
+
+
+def _celled(rows: DataFrame, learnt: dict[int, np.ndarray], reach: float) -> DataFrame:
+    """(id, scope, v, d, cell, home): a row for each cell that a vector is in."""
+    shared = rows.sparkSession.sparkContext.broadcast(learnt)
 
     def run(batches):
         for batch in batches:
@@ -82,7 +99,9 @@ def _celled(rows: DataFrame, reach: float) -> DataFrame:
                 own = batch.take(pa.array(np.flatnonzero(size == d)))
                 home, inside = guests(_units(own.column("v"), own.num_rows), shared.value[int(d)], reach)
                 at, cell = np.nonzero(inside)
-                yield pa.RecordBatch.from_arrays([*own.take(pa.array(at)).columns, pa.array(cell, pa.int32()), pa.array(home[at] == cell)], names=[*own.schema.names, "cell", "home"])
+                for k in range(0, len(at), 10_000):
+                    part = slice(k, k + 10_000)
+                    yield pa.RecordBatch.from_arrays([*own.take(pa.array(at[part])).columns, pa.array(cell[part], pa.int32()), pa.array(home[at[part]] == cell[part])], names=[*own.schema.names, "cell", "home"])
 
     return rows.mapInArrow(run, "id long, scope string, v array<double>, d int, cell int, home boolean")
 
@@ -96,12 +115,27 @@ def near_pairs(points: DataFrame, least: float, slack: float = 1.0) -> DataFrame
     """
     r = float(np.sqrt(max(0.0, 2 - 2 * (least - 1e-9))))
     rows = saved(usable(points).withColumn("d", F.size("v")))
-    placed = _celled(rows, slack * r)
+    sizes = rows.groupBy("scope", "d").agg(F.count("*").alias("n")).groupBy("d").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum(F.col("n") * F.col("n")).cast("double").alias("squares")).collect()
+    learnt = _learnt(rows, {x["d"]: x["n"] for x in sizes}, slack * r)
+    # a vector goes to one cell for each block of its scope if it would go to more cells than that
+    open_ = [x["d"] for x in sizes if learnt[x["d"]][1] >= max(1.0, x["squares"] / x["n"] / WIDE)]
+    parts = []
+    if open_:
+        parts.append(_tiled(rows.filter(F.col("d").isin(open_)).withColumns({"cell": F.lit(0), "home": F.lit(True)}), least, WIDE, True))
+    if len(open_) < len(sizes):
+        found = _tiled(_celled(rows.filter(~F.col("d").isin(open_)), {d: c for d, (c, _) in learnt.items() if d not in open_}, slack * r), least, BLOCK, max((x["most"] for x in sizes), default=0) > BLOCK)
+        parts.append(found.groupBy("a", "b").agg(F.max("score").alias("score")))  # a pair may meet in both homes
+    if not parts:
+        return rows.sparkSession.createDataFrame([], "a long, b long, score double")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _tiled(placed: DataFrame, least: float, width: int, crowded: bool) -> DataFrame:
+    """Near pairs (a, b, score) of the rows of each cell, in tiles of two blocks of about ``width`` rows."""
     key = ["scope", "d", "cell"]
-    sizes = rows.groupBy("scope", "d").count().agg(F.max("count")).first()[0] or 0
-    crowded = placed.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
-    if sizes > BLOCK:
-        placed = placed.join(small(saved(crowded)), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    if crowded:
+        blocks = placed.groupBy(*key).agg(F.ceil(F.count("*") / width).cast("int").alias("blocks")).filter("blocks > 1")
+        placed = placed.join(small(saved(blocks)), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     else:
         placed = placed.withColumn("blocks", F.lit(1))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -118,15 +152,19 @@ def near_pairs(points: DataFrame, least: float, slack: float = 1.0) -> DataFrame
         if n < 2 or not len(one) or not len(two):
             return _PAIR.empty_table()
         x, ids = _units(group.column("v"), n), group.column("id").to_numpy()
-        score = np.round(x[one] @ x[two].T, 9)
-        i, j = np.nonzero(score >= least)
-        a, b = one[i], two[j]
-        fits = (home[a] | home[b]) & ((ids[a] < ids[b]) if first == second else (ids[a] != ids[b]))
-        a, b, s = ids[a[fits]], ids[b[fits]], score[i[fits], j[fits]]
-        return pa.table([np.minimum(a, b), np.maximum(a, b), s], schema=_PAIR)
-
-    found = tiles.groupBy(*key, "first", "second").applyInArrow(compare, "a long, b long, score double")
-    return found.groupBy("a", "b").agg(F.max("score").alias("score"))  # a pair may meet in both homes
+        right, found = x[two], []
+        for k in range(0, len(one), STRIP):  # a strip of scores at a time
+            own = one[k : k + STRIP]
+            score = x[own] @ right.T
+            i, j = np.nonzero(score >= least - 1e-8)
+            s = np.round(score[i, j], 9)
+            a, b = own[i], two[j]
+            fits = (s >= least) & (home[a] | home[b]) & ((ids[a] < ids[b]) if first == second else (ids[a] != ids[b]))
+            a, b = ids[a[fits]], ids[b[fits]]
+            found.append(pa.table([np.minimum(a, b), np.maximum(a, b), s[fits]], schema=_PAIR))
+        return pa.concat_tables(found)
+
+    return tiles.groupBy(*key, "first", "second").applyInArrow(compare, "a long, b long, score double")
 
 
 def distinct_vectors(points: DataFrame) -> tuple[DataFrame, DataFrame]:

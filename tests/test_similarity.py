@@ -146,3 +146,35 @@ def test_spherical_clusters(spark):
     assert {k: v[0] for k, v in got.items()} == dict(enumerate(near().argmax(axis=1).tolist()))
     assert all(abs(got[k][1] - s) < 2e-6 for k, s in enumerate(near().max(axis=1)))
     assert knowledge.spherical(points.filter("false"), 6).count() == 0
+
+
+def test_vectors_without_clusters_meet_in_tiles(spark, monkeypatch):
+    """At a low cosine a vector would be a guest of all cells; it goes to as many tiles as its scope has blocks."""
+    monkeypatch.setattr(s, "CELL", 10)
+    monkeypatch.setattr(s, "WIDE", 50)
+    monkeypatch.setattr(s, "STRIP", 7)
+    monkeypatch.setattr(s, "_celled", None)  # is not called
+    x, scope = np.random.default_rng(11).normal(size=(300, 32)), np.arange(300) % 2
+    got = [(r.a, r.b) for r in s.near_pairs(frame(spark, x, scope), 0.3).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_pairs(x, 0.3, scope) and len(got) > 100
+
+
+def test_clustered_vectors_still_go_to_cells(spark, small_cells, monkeypatch):
+    monkeypatch.setattr(s, "WIDE", 20)
+    x = clustered(seed=12, groups=40, size=12, d=24, noise=0.02)
+    called, plain = [], s._celled
+    monkeypatch.setattr(s, "_celled", lambda *a: called.append(1) or plain(*a))
+    got = {(r.a, r.b) for r in s.near_pairs(frame(spark, x), 0.97).collect()}
+    assert called and got == plain_pairs(x, 0.97)
+
+
+def test_planes_between_many_centres_take_little_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(13)
+    x, c = r.normal(size=(100, 64)), r.normal(size=(600, 64))
+    tracemalloc.start()
+    s.guests(x, c, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 600 * 600 * 8 * 8  # some matrices of centres by centres, not one more for each component
