@@ -215,37 +215,77 @@ def average_linkage(points: DataFrame, least: float, most_rounds: int = 200) ->
     """(id, cluster) of points (id, embedding[, scope]): agglomeration while the mean cosine of two clusters is over ``least``.
 
     The mean cosine of two clusters is the product of their sums of unit vectors by their
-    sizes. Two clusters that are each other's nearest merge, all such at once in a round; as
-    a merged cluster is never nearer to a third than the nearer of its parts was, that gives
-    the clusters of merging one pair after another. Clusters over ``least`` hold a pair over
-    it, so only clusters tied by such pairs are compared. A cluster is named by its least id.
+    sizes. Vectors of one direction (twelve digits) are one cluster from the start. Two clusters
+    that are each other's nearest merge, all such at once in a round; as a merged cluster is
+    never nearer to a third than the nearer of its parts was, that gives the clusters of merging
+    one pair after another, and a cluster with none over ``least`` is done. A round sends the sums to
+    tiles of two blocks of a scope, of which only each one's nearest comes back. A cluster is named by its least id.
     """
     unit = usable(points).withColumn("m", F.array_max(F.transform("v", F.abs))).withColumn("v", F.transform("v", lambda x: x / F.col("m")))
-    unit = unit.withColumn("s", F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))).select("id", F.transform("v", lambda x: x / F.col("s")).alias("v"))
-    clusters = saved(unit.select(F.col("id").alias("c"), "v", F.lit(1).alias("n")))
-    ties = saved(near_pairs(points, least).select("a", "b"))
-    member = points.select(F.col("id").cast("long").alias("id"), F.col("id").cast("long").alias("cluster")).filter("id IS NOT NULL")
-    for k in range(most_rounds):
-        one = clusters.select(F.col("c").alias("a"), F.col("v").alias("va"), F.col("n").alias("na"))
-        two = clusters.select(F.col("c").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb"))
-        mean = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x) / (F.col("na") * F.col("nb"))
-        near = saved(ties.join(one, "a").join(two, "b").select("a", "b", F.round(mean, 9).alias("s")).filter(F.col("s") > least))
-        ends = near.select("a", "b", "s", F.col("a").alias("x")).unionByName(near.select("a", "b", "s", F.col("b").alias("x")))
-        best = ends.groupBy("x").agg(F.min(F.struct((-F.col("s")).alias("o"), "a", "b")).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("k"))
-        merge = saved(best.filter("k = 2").select(F.col("b").alias("c"), F.col("a").alias("into")))
-        if merge.isEmpty():
-            return member
-        renamed = lambda df, col: df.join(merge, df[col] == merge["c"], "left").withColumn(col, F.coalesce("into", df[col])).drop("c", "into")  # noqa: E731, B023
-        member = renamed(member, "cluster")
-        if k % 4 == 3:
-            member = saved(member)
-        moved = clusters.join(merge, "c", "left").select(F.coalesce("into", "c").alias("c"), "v", "n")
-        sums = moved.groupBy("c").agg(F.collect_list("v").alias("vs"), F.sum("n").alias("n"))  # two at most
-        v = F.when(F.size("vs") == 1, F.col("vs")[0]).otherwise(F.zip_with(F.col("vs")[0], F.get("vs", F.lit(1)), lambda x, y: x + y))
-        clusters = saved(sums.select("c", v.alias("v"), "n"))
-        # a mean over the threshold has a part over it, so the ties below it are not needed again
-        ties = renamed(renamed(near.select("a", "b"), "a"), "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    raise RuntimeError("the clusters did not settle")
+    unit = unit.withColumn("s", F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))).select("id", "scope", F.size("v").alias("d"), F.transform("v", lambda x: x / F.col("s")).alias("v"))
+    unit = saved(unit.withColumn("h", F.sha2(F.array_join(F.transform("v", lambda x: (F.round(x, 12) + F.lit(0.0)).cast("string")), ",").cast("binary"), 256)))
+    same = unit.groupBy("scope", "d", "h").agg(F.min("id").alias("c"), F.count("*").alias("n"), F.first("v").alias("v"))
+    ties = [unit.join(same.select("scope", "d", "h", "c"), ["scope", "d", "h"]).filter("id <> c").select(F.col("c").alias("src"), F.col("id").alias("dst"))]
+    clusters = saved(same.select("c", F.lit(None).cast("long").alias("gone"), "scope", "d", F.transform("v", lambda x: x * F.col("n")).alias("v"), "n"))
+    member = points.select(F.col("id").cast("long").alias("id")).filter("id IS NOT NULL")
+    for _ in range(most_rounds):
+        crowd = clusters.groupBy("scope", "d").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        nearest = _nearest(clusters, least, crowd).withColumnRenamed("x", "c")
+        own = clusters.drop("gone").join(nearest, "c").groupBy("a", "b").agg(F.count("*").alias("k"), F.collect_list(F.struct("c", "scope", "d", "v", "n")).alias("r"))  # two at most
+        one, two, both = F.col("r")[0], F.get("r", F.lit(1)), F.col("k") == 2
+        clusters = saved(own.select(
+            F.when(both, F.col("a")).otherwise(one["c"]).alias("c"), F.when(both, F.col("b")).alias("gone"), one["scope"].alias("scope"), one["d"].alias("d"),
+            F.when(both, F.zip_with(one["v"], two["v"], lambda x, y: x + y)).otherwise(one["v"]).alias("v"), F.when(both, one["n"] + two["n"]).otherwise(one["n"]).alias("n"),
+        ))
+        merged = clusters.filter("gone IS NOT NULL").select(F.col("c").alias("src"), F.col("gone").alias("dst"))
+        if merged.isEmpty():
+            break
+        ties.append(merged)
+    else:
+        raise RuntimeError("the clusters did not settle")
+    every = ties[0]
+    for more in ties[1:]:
+        every = every.unionByName(more)
+    found = graph.components(every).withColumnRenamed("node", "id")
+    return member.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
+
+
+def _nearest(clusters: DataFrame, least: float, crowd: int) -> DataFrame:
+    """(x, a, b) of clusters (c, scope, d, v, n): each one x in the pair with its nearest one over ``least``, the least one on ties."""
+    key = ["scope", "d"]
+    if crowd > WIDE:
+        blocks = clusters.groupBy(*key).agg(F.ceil(F.count("*") / WIDE).cast("int").alias("blocks"))
+        placed = clusters.join(small(blocks), key)
+    else:
+        placed = clusters.withColumn("blocks", F.lit(1))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tiles = placed.select(*key, "c", "v", "n", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids = group.column("c").to_numpy()
+        order = np.argsort(ids)
+        block, ids = group.column("block").to_numpy()[order], ids[order]
+        v = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order]
+        v = v / group.column("n").to_numpy()[order][:, None]
+        first, second = group.column("first")[0].as_py(), group.column("second")[0].as_py()
+        one, two = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        out = []
+        for own, others in ([(one, two)] if first == second else [(one, two), (two, one)]):
+            right = v[others]
+            for k in range(0, len(own) if len(others) else 0, STRIP):
+                part = own[k : k + STRIP]
+                score = np.round(v[part] @ right.T, 9)
+                if first == second:
+                    score[np.arange(len(part)), np.arange(k, k + len(part))] = -np.inf
+                at = score.argmax(axis=1)
+                best = score[np.arange(len(part)), at]
+                fits = best > least
+                out.append(pa.table({"x": ids[part][fits], "y": ids[others[at]][fits], "s": best[fits]}))
+        return pa.concat_tables(out) if out else pa.table({"x": pa.array([], pa.int64()), "y": pa.array([], pa.int64()), "s": pa.array([], pa.float64())})
+
+    found = tiles.groupBy(*key, "first", "second").applyInArrow(compare, "x long, y long, s double")
+    best = found.groupBy("x").agg(F.min(F.struct((-F.col("s")).alias("o"), "y"))["y"].alias("y"))
+    return best.select("x", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def components(pairs: DataFrame) -> DataFrame:

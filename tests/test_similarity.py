@@ -178,3 +178,14 @@ def test_planes_between_many_centres_take_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 600 * 600 * 8 * 8  # some matrices of centres by centres, not one more for each component
+
+
+def test_linkage_of_copies_takes_few_rounds(spark, monkeypatch):
+    """Copies are one cluster from the start; in the order of pairs they would merge one a round."""
+    monkeypatch.setattr(s, "WIDE", 16)
+    x = np.repeat(clustered(seed=14, groups=4, size=3, d=6, noise=0.3), 20, axis=0)
+    got = {r.id: r.cluster for r in s.average_linkage(frame(spark, x), 0.88, most_rounds=12).collect()}
+    first = plain_linkage(x[::20], 0.88)
+    distinct = len({tuple(v) for v in x.tolist()})
+    assert distinct == 12 and len(set(got.values())) == len(set(got[k] for k in range(0, 240, 20))) and all(got[k] == got[k // 20 * 20] for k in got)
+    assert len(set(first.values())) == len(set(got.values()))
