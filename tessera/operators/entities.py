@@ -132,7 +132,8 @@ def canonical_records(mentions: DataFrame) -> DataFrame:
     first = F.min("place").over(Window.partitionBy("canonical", "form")) == F.col("place")
     rows = mentions.withColumn("_fresh", first.cast("int"))
     rows = rows.withColumn("_k", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    later = order.rowsBetween(1, Window.unboundedFollowing)
+    # what is later is read backwards: a frame that reaches to the end would be summed anew for each row
+    later = Window.partitionBy("canonical").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
     decay = F.sum(F.log((F.col("_k") - 1) / F.greatest(F.col("_k"), F.lit(2)) + F.when(F.col("_k") == 1, 1.0).otherwise(0.0))).over(later)
     restarts = F.sum(F.when(F.col("_k") == 1, 1).otherwise(0)).over(later)
     weight = F.when(F.coalesce(restarts, F.lit(0)) > 0, 0.0).otherwise(F.exp(F.coalesce(decay, F.lit(0.0))) / F.col("_k"))
