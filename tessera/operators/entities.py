@@ -17,33 +17,38 @@ ALONE, MOST = 1200, 1800
 def section_chunks(sections: DataFrame, alone: int = ALONE, most: int = MOST) -> DataFrame:
     """Sections (doc_id, seq, heading, text, tokens) to chunks: long ones alone, others merged while they fit.
 
-    A greedy fold in section order; a document is one group.
+    A greedy fold in section order. Each task passes its documents' sorted sections in batches
+    and keeps only the open chunk, so that no document is a group or frame of its own.
     """
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        out, open_ = [], []
-
-        def flush():
-            if open_:
-                out.append(open_.copy())
-                open_.clear()
-
-        for row in frame.sort_values("seq").itertuples(index=False):
-            if row.tokens > alone:
-                flush()
-                out.append([row])
-                continue
-            if sum(r.tokens for r in open_) + row.tokens > most:
-                flush()
-            open_.append(row)
-        flush()
-        return pd.DataFrame(
-            [(rows[0].doc_id, k, "\n".join(r.text for r in rows), [r.heading for r in rows], int(sum(r.tokens for r in rows))) for k, rows in enumerate(out)],
-            columns=["doc_id", "chunk_no", "text", "headings", "tokens"],
-        )
-
     kind = dict(sections.dtypes)["doc_id"]
-    return sections.groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, chunk_no int, text string, headings array<string>, tokens long")
+
+    def chunk(doc, number, rows):
+        return doc, number, "\n".join(r.text for r in rows), [r.heading for r in rows], int(sum(r.tokens for r in rows))
+
+    def fold(frames):
+        doc, number, open_, size, begun = None, 0, [], 0, False
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                own = None if pd.isna(row.doc_id) else row.doc_id
+                other = not begun or own != doc
+                if open_ and (other or row.tokens > alone or size + row.tokens > most):
+                    out.append(chunk(doc, number, open_))
+                    number, open_, size = number + 1, [], 0
+                if other:
+                    doc, number, begun = own, 0, True
+                if row.tokens > alone:
+                    out.append(chunk(doc, number, [row]))
+                    number += 1
+                else:
+                    open_.append(row)
+                    size += row.tokens
+            yield pd.DataFrame(out, columns=["doc_id", "chunk_no", "text", "headings", "tokens"])
+        if open_:
+            yield pd.DataFrame([chunk(doc, number, open_)], columns=["doc_id", "chunk_no", "text", "headings", "tokens"])
+
+    rows = sections.select("doc_id", "seq", "heading", "text", "tokens").repartition("doc_id").sortWithinPartitions("doc_id", "seq")
+    return rows.mapInPandas(fold, f"doc_id {kind}, chunk_no int, text string, headings array<string>, tokens long")
 
 
 def same_entities(names: DataFrame, edits: int = 2, least: int = 5, inside: int = 6, cosine: float = 0.93) -> DataFrame:
