@@ -11,7 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import saved
+
 DIRECTIONS = ("->", "<-", "-")
+#: Walks that one task counts, edges of a list.
+WALKS, LISTED = 2_000_000, 4_096
 
 
 class Pattern:
@@ -74,6 +78,30 @@ class Pattern:
             found = found.withColumns({name: F.col("_walk"), f"{name}_hops": F.size("_walk")})
         return self._with(found.drop("_walk", *([] if target != "_end" else ["_end"])))
 
+    def walk_counts(self, source: str, kind: str | None = None, direction: str = "->", min_hops: int = 1, max_hops: int | None = None) -> DataFrame:
+        """(source, end, hops, n): how many walks of each length, as of ``relationship``, lead from a bound node to an end."""
+        most = min_hops if max_hops is None else max_hops
+        if self.rows is None or source not in self.rows.columns:
+            raise ValueError(f"{source} is not bound")
+        if not 0 <= min_hops <= most:
+            raise ValueError("hops are bounded: 0 <= min_hops <= max_hops")
+        ways = saved(self._ways(kind, direction))
+        step, found = saved(self.rows.select(source, F.col(source).alias("_at"), "_used")), []
+        for hop in range(most + 1):
+            if hop == most and hop:
+                counts = _last_counts(step, ways, source)
+            else:
+                if hop:
+                    step = step.join(ways, F.col("_at") == F.col("_a")).filter(~F.array_contains("_used", F.col("_e")))
+                    step = saved(step.select(source, F.col("_b").alias("_at"), F.array_append("_used", F.col("_e")).alias("_used")))
+                counts = step.groupBy(source, F.col("_at").alias("end")).agg(F.count("*").alias("n"))
+            if hop >= min_hops:
+                found.append(counts.select(source, "end", F.lit(hop).alias("hops"), "n"))
+        out = found[0]
+        for part in found[1:]:
+            out = out.unionByName(part)
+        return out
+
     def properties(self, name: str, *columns: str) -> Pattern:
         """Add columns of a variable's node as ``<name>_<column>``; null where the id has no node."""
         own = self.nodes.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
@@ -92,5 +120,28 @@ class Pattern:
         return self.rows.groupBy(source, target).agg(F.min(f"{hops}_hops").alias("hops"))
 
 
+def _last_counts(step: DataFrame, ways: DataFrame, source: str) -> DataFrame:
+    """(source, end, n): walks (source, _at, _used) and one edge more (_e, _a, _b), counted.
+
+    The walks through a node are the product of those to it and its edges, so many of them are
+    neither shuffled nor met by node: sources are dealt to groups of about ``WALKS`` walks, each
+    gets a node's edges once, as lists, and counts its own.
+    """
+    ends, degree = step.groupBy("_at").agg(F.count("*").alias("_n")), ways.groupBy("_a").agg(F.count("*").alias("_d"))
+    total = ends.join(degree, F.col("_at") == F.col("_a")).agg(F.sum(F.col("_n") * F.col("_d"))).first()[0] or 0
+    if total <= WALKS:
+        met = step.join(ways, F.col("_at") == F.col("_a")).filter(~F.array_contains("_used", F.col("_e")))
+        return met.groupBy(source, F.col("_b").alias("end")).agg(F.count("*").alias("n"))
+    groups = -(-total // WALKS)
+    own = step.withColumn("_g", F.pmod(F.xxhash64(source), F.lit(groups)).cast("int"))
+    own = own.groupBy("_g", "_at").agg(F.collect_list(F.struct(F.col(source).alias("s"), F.col("_used").alias("u"))).alias("_own"))
+    piece = F.pmod(F.xxhash64("_e"), F.ceil(F.col("_d") / LISTED))
+    lists = ways.join(degree, "_a").groupBy("_a", piece.alias("_p")).agg(F.collect_list(F.struct(F.col("_e").alias("e"), F.col("_b").alias("b"))).alias("_ways"))
+    met = own.join(lists, F.col("_at") == F.col("_a")).select("_g", "_own", "_ways").repartitionById(groups, "_g")
+    met = met.select("_g", F.explode("_own").alias("_o"), "_ways").select("_g", F.col("_o.s").alias(source), F.col("_o.u").alias("_u"), F.explode("_ways").alias("_w"))
+    met = met.filter(~F.array_contains("_u", F.col("_w.e")))
+    return met.groupBy("_g", source, F.col("_w.b").alias("end")).agg(F.count("*").alias("n")).drop("_g")
+
+
 def pattern(nodes: DataFrame, edges: DataFrame) -> Pattern:
     return Pattern(nodes, edges)

@@ -35,8 +35,7 @@ SELECT a, b, hops, count(*) AS n FROM w WHERE hops >= {least} GROUP BY ALL"""
 
 
 def walks(spark, d, least, most, kind, start):
-    found = graph(spark, d).node("a", start).relationship("a", kind, "b", "-", least, most, name="r")
-    return found.rows.groupBy("a", "b", F.col("r_hops").alias("hops")).agg(F.count("*").alias("n"))
+    return graph(spark, d).node("a", start).walk_counts("a", kind, "-", least, most).withColumnRenamed("end", "b")
 
 
 @query(_walks(0, 2, "", "true"))
