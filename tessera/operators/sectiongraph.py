@@ -30,19 +30,27 @@ def parents(sections: DataFrame) -> DataFrame:
 
 
 def _pairs_of_words(text):
+    # words are bound to a lambda's variable, so that the text is split once
+    def pairs(words):
+        n = F.greatest(F.size(words) - 1, F.lit(0))
+        return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    n = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.get(F.transform(F.array(words), pairs), F.lit(0))
 
 
 def references(sections: DataFrame, least: int = 8) -> DataFrame:
     """(src, dst, kind, weight): a section names another one of its document by the first two words of its heading.
 
     The two words stand side by side and have ``least`` characters with their space, so that
-    short phrases name nothing; they are met by equality, not by comparing all sections.
+    short phrases name nothing. Each section gets the phrases that its document's headings
+    name, so that of its own only these go on to meet them by equality.
     """
-    named = sections.select("doc", F.col("id").alias("dst"), F.get(_pairs_of_words(F.col("heading")), F.lit(0)).alias("phrase")).filter(F.length("phrase") >= least)
-    said = sections.select("doc", F.col("id").alias("src"), F.explode(F.array_distinct(_pairs_of_words(F.col("text")))).alias("phrase"))
+    first = F.array_join(F.slice(F.filter(F.split(F.lower("heading"), r"[^\p{L}\p{N}]+", 4), lambda w: w != ""), 1, 2), " ")
+    named = sections.select("doc", F.col("id").alias("dst"), first.alias("phrase")).filter((F.length("phrase") >= least) & F.col("phrase").contains(" "))
+    names = named.groupBy("doc").agg(F.collect_set("phrase").alias("_named"))
+    said = sections.select("doc", F.col("id").alias("src"), "text").join(names, "doc")
+    said = said.select("doc", "src", F.explode(F.array_intersect(_pairs_of_words(F.col("text")), "_named")).alias("phrase"))
     rows = said.join(named, ["doc", "phrase"]).filter("src <> dst").select("src", "dst").distinct()
     return rows.select("src", "dst", F.lit("REFERENCES").alias("kind"), F.lit(WEIGHTS["REFERENCES"]).alias("weight"))
 
