@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import graph
-from tessera.session import saved, small
+from tessera.session import dropped, freed, saved, small, stored
 
 #: Vectors that centres are learnt from at most, vectors a cell should hold, centres at most, vectors of a block.
 SAMPLE, CELL, CENTRES, BLOCK = 8192, 512, 2048, 1024
 #: Vectors of a block where cells would not divide the vectors, rows of scores that are held at once.
 WIDE, STRIP = 4096, 512
+#: Clusters of a scope that one task merges to the end.
+LOCAL = 8192
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64())])
 
 
@@ -211,7 +213,7 @@ def first_kept(pairs: DataFrame, nodes: DataFrame, most_rounds: int = 200) -> Da
     return place.join(keeper, "id", "left").select("id", F.coalesce("keeper", "id").alias("keeper"))
 
 
-def average_linkage(points: DataFrame, least: float, most_rounds: int = 200) -> DataFrame:
+def average_linkage(points: DataFrame, least: float, most_rounds: int | None = None) -> DataFrame:
     """(id, cluster) of points (id, embedding[, scope]): agglomeration while the mean cosine of two clusters is over ``least``.
 
     The mean cosine of two clusters is the product of their sums of unit vectors by their
@@ -219,37 +221,94 @@ def average_linkage(points: DataFrame, least: float, most_rounds: int = 200) ->
     that are each other's nearest merge, all such at once in a round; as a merged cluster is
     never nearer to a third than the nearer of its parts was, that gives the clusters of merging
     one pair after another, and a cluster with none over ``least`` is done. A round sends the sums to
-    tiles of two blocks of a scope, of which only each one's nearest comes back. A cluster is named by its least id.
+    tiles of two blocks of a scope, of which only each one's nearest comes back, and merges one pair at least; when no scope
+    has more than ``LOCAL`` clusters left, a task makes the other rounds of each. A cluster is named by its least id.
     """
     unit = usable(points).withColumn("m", F.array_max(F.transform("v", F.abs))).withColumn("v", F.transform("v", lambda x: x / F.col("m")))
     unit = unit.withColumn("s", F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))).select("id", "scope", F.size("v").alias("d"), F.transform("v", lambda x: x / F.col("s")).alias("v"))
     unit = saved(unit.withColumn("h", F.sha2(F.array_join(F.transform("v", lambda x: (F.round(x, 12) + F.lit(0.0)).cast("string")), ",").cast("binary"), 256)))
     same = unit.groupBy("scope", "d", "h").agg(F.min("id").alias("c"), F.count("*").alias("n"), F.first("v").alias("v"))
     ties = [unit.join(same.select("scope", "d", "h", "c"), ["scope", "d", "h"]).filter("id <> c").select(F.col("c").alias("src"), F.col("id").alias("dst"))]
-    clusters = saved(same.select("c", F.lit(None).cast("long").alias("gone"), "scope", "d", F.transform("v", lambda x: x * F.col("n")).alias("v"), "n"))
+    clusters = stored(same.select("c", F.lit(None).cast("long").alias("gone"), "scope", "d", F.transform("v", lambda x: x * F.col("n")).alias("v"), "n"))
     member = points.select(F.col("id").cast("long").alias("id")).filter("id IS NOT NULL")
-    for _ in range(most_rounds):
+    rounds = 0
+    while True:
         crowd = clusters.groupBy("scope", "d").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if crowd <= LOCAL:
+            ties.append(stored(clusters.drop("gone").groupBy("scope", "d").applyInArrow(_merged(least), "src long, dst long")))
+            break
+        rounds += 1
+        if most_rounds is not None and rounds > most_rounds:
+            raise RuntimeError("the clusters did not settle")
         nearest = _nearest(clusters, least, crowd).withColumnRenamed("x", "c")
         own = clusters.drop("gone").join(nearest, "c").groupBy("a", "b").agg(F.count("*").alias("k"), F.collect_list(F.struct("c", "scope", "d", "v", "n")).alias("r"))  # two at most
         one, two, both = F.col("r")[0], F.get("r", F.lit(1)), F.col("k") == 2
-        clusters = saved(own.select(
+        before, clusters = clusters, stored(own.select(
             F.when(both, F.col("a")).otherwise(one["c"]).alias("c"), F.when(both, F.col("b")).alias("gone"), one["scope"].alias("scope"), one["d"].alias("d"),
             F.when(both, F.zip_with(one["v"], two["v"], lambda x, y: x + y)).otherwise(one["v"]).alias("v"), F.when(both, one["n"] + two["n"]).otherwise(one["n"]).alias("n"),
         ))
-        merged = clusters.filter("gone IS NOT NULL").select(F.col("c").alias("src"), F.col("gone").alias("dst"))
+        dropped(before)
+        merged = stored(clusters.filter("gone IS NOT NULL").select(F.col("c").alias("src"), F.col("gone").alias("dst")))
         if merged.isEmpty():
             break
         ties.append(merged)
-    else:
-        raise RuntimeError("the clusters did not settle")
-    every = ties[0]
-    for more in ties[1:]:
-        every = every.unionByName(more)
-    found = graph.components(every).withColumnRenamed("node", "id")
+        if len(ties) > 16:
+            ties = [stored(_all(ties))]
+        del nearest, own
+        freed(points.sparkSession)
+    dropped(clusters)
+    found = graph.components(_all(ties)).withColumnRenamed("node", "id")
     return member.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _merged(least: float):
+    """A function of the clusters (c, v, n) of a scope: (src, dst) of all merges, in the rounds of ``average_linkage``.
+
+    A cluster looks for its nearest one anew only when that one, or itself, has merged.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, n = group.column("c").to_numpy(), group.column("n").to_numpy().astype(float)
+        order = np.argsort(ids)
+        ids, n = ids[order], n[order]
+        v = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order]
+        mean = v / n[:, None]
+        near, left, stale, ties = np.full(len(ids), -1), np.arange(len(ids)), np.arange(len(ids)), []
+        while len(stale):
+            place = np.full(len(ids), -1)
+            place[left] = np.arange(len(left))
+            right, done = mean[left], np.zeros(len(ids), bool)
+            for k in range(0, len(stale), STRIP):
+                own = stale[k : k + STRIP]
+                score = np.round(mean[own] @ right.T, 9)
+                score[np.arange(len(own)), place[own]] = -np.inf
+                at = score.argmax(axis=1)
+                near[own], done[own] = left[at], score[np.arange(len(own)), at] <= least
+            left = left[~done[left]]
+            a = left[(near[near[left]] == left) & (left < near[left]) & ~done[near[left]]]
+            b = near[a]
+            ties.append(pa.table({"src": ids[a], "dst": ids[b]}))
+            v[a] += v[b]
+            n[a] += n[b]
+            mean[a] = v[a] / n[a][:, None]
+            moved = np.zeros(len(ids), bool)
+            moved[a] = moved[b] = True
+            gone = done
+            gone[b] = True
+            left = left[~gone[left]]
+            stale = left[moved[left] | moved[near[left]] | gone[near[left]]] if len(a) else left[:0]
+        return pa.concat_tables(ties)
+
+    return run
+
+
 def _nearest(clusters: DataFrame, least: float, crowd: int) -> DataFrame:
     """(x, a, b) of clusters (c, scope, d, v, n): each one x in the pair with its nearest one over ``least``, the least one on ties."""
     key = ["scope", "d"]
