@@ -60,7 +60,7 @@ def k_hop(spark, d):
     "SELECT node, round(rank, 9) AS rank FROM {r}", 10))
 def pagerank(spark, d):
     """Ten rounds on the supply graph."""
-    return g.pagerank(both_ways(spark, d), rounds=10, every=10).select("node", F.round("rank", 9).alias("rank"))
+    return g.pagerank(g.undirected(supply_numbers(spark, d)), rounds=10).select(supply_name("node").alias("node"), F.round("rank", 9).alias("rank"))
 
 
 @query(in_rounds("SELECT node, node AS component FROM nodes",
